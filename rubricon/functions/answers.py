@@ -53,7 +53,7 @@ def cot_answer(text: Column | str) -> Column:
 # --- JSON inside text -----------------------------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def balanced_object(content: pd.Series) -> pd.Series:
     """First brace-balanced JSON object holding `final_answer`; NULL rows pass through."""
 

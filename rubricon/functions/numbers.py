@@ -95,12 +95,12 @@ def milli_price(price: Column | str) -> Column:
     return F.round(as_col(price) * 1000).cast("bigint")
 
 
-def split_cost_micros(prompt: Column | str, completion: Column | str, price_in: Column, price_out: Column) -> Column:
+def split_cost_micros(prompt: Column | str, completion: Column | str, milli_in: Column, milli_out: Column) -> Column:
     """Cost in micro-dollars, rounded half up from exact integer nano-dollars.
 
     Integer money keeps sums independent of row order, which DOUBLE does not.
     """
-    nano = as_col(prompt).cast("bigint") * milli_price(price_in) + as_col(completion).cast("bigint") * milli_price(price_out)
+    nano = as_col(prompt).cast("bigint") * milli_in + as_col(completion).cast("bigint") * milli_out
     return int_div(nano + 500, 1000)
 
 

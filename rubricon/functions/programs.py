@@ -9,11 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rubricon.functions.numbers import to_number
-from rubricon.functions.text import as_col, contains_any, lines, starts_with_any, strip
+from rubricon.functions.text import as_col, contains_any, let, lines, starts_with_any, strip
 
 # Fences, code markers, error names.
-PYTHON_FENCE = r"(?s)```python\s*\n?(.*?)\n?```"
-ANY_FENCE = r"(?s)```\s*\n?(.*?)\n?```"
+FENCE = "```"
+PYTHON_FENCE = "```python"
 CODE_MARKS = ["=", "+", "-", "*", "/"]
 CODE_STARTS = ["def ", "class ", "return ", "print(", "if ", "else:", "for ", "while ", "import ", "from "]
 SOLUTION_HEAD = "def solution():"
@@ -54,32 +54,42 @@ def code_lines(text: Column | str) -> Column:
     return F.filter(rows, keep)
 
 
+def fenced_code(text: Column | str) -> Column:
+    """Trimmed text of the first closed Python fence, else of the first closed fence; NULL
+    without one. Plain searches for the fence marks: no backtracking over long responses."""
+    t = as_col(text)
+
+    def closed(opening: str) -> Column:
+        rest = F.substr(t, F.instr(t, opening) + len(opening))
+        return F.when(t.contains(opening) & rest.contains(FENCE), strip(F.substring_index(rest, FENCE, 1)))
+
+    return F.when(t.contains(FENCE), F.coalesce(closed(PYTHON_FENCE), closed(FENCE)))
+
+
 def extract_code(text: Column | str) -> Column:
     """Code of a Python fence, of any fence, or the lines that look like code; else NULL."""
     t = as_col(text)
     loose = code_lines(t)
-    return (
-        F.when(t.rlike(PYTHON_FENCE), strip(F.regexp_extract(t, PYTHON_FENCE, 1)))
-        .when(t.rlike(ANY_FENCE), strip(F.regexp_extract(t, ANY_FENCE, 1)))
-        .when(F.size(loose) > 0, strip(F.array_join(loose, "\n")))
-    )
+    return F.coalesce(fenced_code(t), F.when(F.size(loose) > 0, strip(F.array_join(loose, "\n"))))
 
 
 def fenced_or_whole(text: Column | str) -> Column:
     """Fenced code, or the whole trimmed response when no fence holds anything."""
     t = as_col(text)
-    fenced = F.when(t.rlike(PYTHON_FENCE), strip(F.regexp_extract(t, PYTHON_FENCE, 1))).when(
-        t.rlike(ANY_FENCE), strip(F.regexp_extract(t, ANY_FENCE, 1))
-    )
-    return F.coalesce(F.nullif(fenced, F.lit("")), strip(t))
+    return let(fenced_code(t), lambda code: F.when(code != "", code).otherwise(strip(t)))
 
 
 def wrap_solution(code: Column | str) -> Column:
     """Program text with a `solution()` function and a call that keeps its result."""
     c = as_col(code)
     body = F.when(c.contains(SOLUTION_HEAD), c).otherwise(F.concat(F.lit(SOLUTION_OPENING), c))
-    called = body.rlike(r"(?m)^\s*solution\(\)")
-    return F.when(called, body).otherwise(F.concat(body, F.lit(SOLUTION_CALL)))
+
+    def with_call(program: Column) -> Column:
+        elsewhere = F.replace(program, F.lit("def solution()"), F.lit("")).contains("solution()")
+        called = elsewhere & program.rlike(r"(?m)^\s*solution\(\)")
+        return F.when(called, program).otherwise(F.concat(program, F.lit(SOLUTION_CALL)))
+
+    return let(body, with_call)
 
 
 def program_output(output: Column | str) -> Column:
@@ -90,17 +100,17 @@ def program_output(output: Column | str) -> Column:
 
 def program_output_text(output: Column | str) -> Column:
     """The answer in recorded output: an assignment, the last line or the last number, else all of it."""
-    out = strip(output)
-    assigned = strip(F.regexp_extract(out, ASSIGNED_ANSWER, 1))
-    unquoted = F.regexp_replace(assigned, QUOTED, "$2")
-    last_line = strip(F.try_element_at(lines(out), F.lit(-1)))
-    last_number = F.try_element_at(F.regexp_extract_all(out, F.lit(OUTPUT_NUMBER), 0), F.lit(-1))
-    return (
-        F.when(out == "", F.lit(None).cast("string"))
-        .when(assigned != "", unquoted)
-        .when(last_line.rlike(PLAIN_NUMBER), last_line)
-        .otherwise(F.coalesce(last_number, out))
-    )
+
+
+    def read(out: Column) -> Column:
+        last_line = strip(F.try_element_at(lines(out), F.lit(-1)))
+        last_number = F.try_element_at(F.regexp_extract_all(out, F.lit(OUTPUT_NUMBER), 0), F.lit(-1))
+        loose = F.when(last_line.rlike(PLAIN_NUMBER), last_line).otherwise(F.coalesce(last_number, out))
+        assigned = strip(F.regexp_extract(out, ASSIGNED_ANSWER, 1))
+        answer = let(assigned, lambda a: F.when(a != "", F.regexp_replace(a, QUOTED, "$2")).otherwise(loose))
+        return F.when(out != "", answer)
+
+    return let(strip(output), read)
 
 
 def execution_error_type(message: Column | str) -> Column:

@@ -36,10 +36,19 @@ def read_answers(runs: DataFrame) -> DataFrame:
 
 
 def with_cost(runs: DataFrame) -> DataFrame:
-    """Add `cost_micros` from the registry's two prices; NULL for models outside it."""
-    prices = F.broadcast(dims.models(runs.sparkSession).select("model_name", "price_in", "price_out"))
-    cost = N.split_cost_micros("prompt_tokens", "completion_tokens", F.col("price_in"), F.col("price_out"))
-    return runs.join(prices, "model_name", "left").withColumn("cost_micros", cost).drop("price_in", "price_out")
+    """Add `cost_micros` from the registry's two prices (NULL for models outside it) and
+    `model_type` (general outside it)."""
+    registry = dims.models(runs.sparkSession).select(
+        "model_name",
+        N.milli_price("price_in").alias("_milli_in"),
+        N.milli_price("price_out").alias("_milli_out"),
+        F.col("model_type").alias("_type"),
+    )
+    cost = N.split_cost_micros("prompt_tokens", "completion_tokens", F.col("_milli_in"), F.col("_milli_out"))
+    joined = runs.join(F.broadcast(registry), "model_name", "left")
+    return joined.withColumns(
+        {"cost_micros": cost, "model_type": F.coalesce("_type", F.lit(dims.GENERAL))}
+    ).drop("_milli_in", "_milli_out", "_type")
 
 
 def score_runs(runs: DataFrame) -> DataFrame:
@@ -47,20 +56,17 @@ def score_runs(runs: DataFrame) -> DataFrame:
 
     Rows whose call raised (`call_error`) become execution errors of confidence 1 at no cost.
     """
-    spark = runs.sparkSession
     if "call_error" not in runs.columns:
         runs = runs.withColumn("call_error", F.lit(None).cast("string"))
-    registry = F.broadcast(dims.models(spark).select("model_name", "model_type"))
-    scored = with_cost(read_answers(runs)).join(registry, "model_name", "left")
     raised = F.col("call_error").isNotNull()
+    has_program = (F.col("method") == "POT") & ~raised
+    scored = with_cost(read_answers(runs))
+    scored = bind(scored, {"_code": F.when(has_program, P.fenced_or_whole("raw_response"))})
+    scored = bind(scored, {"executed_code": P.wrap_solution("_code")}).drop("_code")
     answered = F.col("predicted_num").isNotNull() | F.col("predicted_text").isNotNull()
     scored = scored.withColumns(
         {
             "is_correct": F.col("is_correct") & ~raised,
-            "model_type": F.coalesce("model_type", F.lit(dims.GENERAL)),
-            "executed_code": F.when(
-                (F.col("method") == "POT") & ~raised, P.wrap_solution(P.fenced_or_whole("raw_response"))
-            ),
             "parse_status": F.when(answered, "success").otherwise("failed"),
             "cost_micros": F.when(raised, F.lit(0)).otherwise(F.col("cost_micros")),
         }

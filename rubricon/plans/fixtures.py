@@ -18,12 +18,20 @@ MODEL_NAMES = [m[0] for m in dims.MODELS] + [UNLISTED]
 ECONOMIC = dims.BUDGET_SETS["economic"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A driver table, spread over all cores when it comes in fewer splits than that.
+
+    Only narrow input rows are moved, before anything is derived from them; large tables
+    arrive in enough splits and are not moved at all.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
     k, cents = F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("bigint")
     first = F.left("o_orderpriority", F.lit(1))
     total = money(cents)
@@ -179,7 +187,7 @@ def structured_texts(spark: SparkSession, sf_dir: str, models: list[str] | None
 
 def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The function library, one row per document."""
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", "doc_id", "source", "text").select(
         F.col("doc_id").alias("pos"),
         F.col("doc_id").alias("function_id"),
         F.col("source").alias("article_title"),
@@ -192,7 +200,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval queries: benchmark passages and two literal ones without usable words."""
     literal = dims.literal_table(spark, [(-1, "what is the"), (-2, "12")], "query_id BIGINT; query STRING")
     return (
-        table(spark, sf_dir, "benchmark")
+        table(spark, sf_dir, "benchmark", "item_id", "text")
         .select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
         .unionByName(literal)
     )
@@ -200,7 +208,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cached calls, one row per event."""
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props").select(
         F.col("event_id").alias("pos"),
         F.col("ts").alias("created_at"),
         F.col("user_id").cast("string").alias("example_id"),
