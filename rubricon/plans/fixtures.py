@@ -210,7 +210,7 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cached calls, one row per event."""
     return table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props").select(
         F.col("event_id").alias("pos"),
-        F.col("ts").alias("created_at"),
+        F.col("ts").cast("timestamp").alias("created_at"),
         F.col("user_id").cast("string").alias("example_id"),
         F.col("event_type").alias("model"),
         F.round(F.col("value") * 100).cast("bigint").alias("cost_cents"),

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rubricon.dims import LEVELS
-from rubricon.operators.selection import head, of_level
+from rubricon.operators.selection import combine, head, of_level
 from rubricon.schemas import EXAMPLE_COLUMNS, RAW_EXAMPLE, RAW_FUNCTION, TRACE, TRACED_ITEM
 
 LAYOUTS = ("array", "lines")
@@ -131,6 +131,23 @@ def load_transformed(spark: SparkSession, path: str, limit: int | None = None, l
     return head(_as_examples(rows, F.coalesce("level", F.lit("unknown")), F.lit("hard_transformed")), limit)
 
 
+def load_combined(
+    spark: SparkSession,
+    root: str,
+    traced_path: str,
+    hard_limit: int | None = None,
+    hard_level: str | None = None,
+    traced_limit: int | None = None,
+    traced_level: str | None = None,
+    layout: str = "lines",
+) -> DataFrame:
+    """The hard split, plus traced examples when a traced argument is given; one row per id."""
+    hard = load_hard(spark, root, hard_limit, hard_level, layout)
+    if traced_limit is None and traced_level is None:
+        return combine(hard)
+    return combine(hard, load_traced(spark, traced_path, traced_limit, traced_level, layout))
+
+
 def load_functions(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
     """The function library; broken rows are skipped, missing fields are empty."""
     rows = read_records(spark, path, RAW_FUNCTION, layout)
