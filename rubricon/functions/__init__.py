@@ -1,2 +1 @@
-"""Column expressions: every function takes and returns `Column` and stays in the JVM,
-except the one Arrow helper named in `answers.balanced_object`."""
+"""Column expressions: every function takes and returns `Column` and stays in the JVM."""

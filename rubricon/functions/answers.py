@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rubricon.functions import steps as S
 from rubricon.functions.numbers import is_numeric, to_number
-from rubricon.functions.text import as_col, lines, preview, strip
+from rubricon.functions.text import as_col, let, lines, preview, strip
 
 # Answer phrases in order of priority, number shapes, JSON shapes.
 COT_PATTERNS = [
@@ -20,9 +19,12 @@ COT_PATTERNS = [
     r"[Ff]inal\s+answer[:\s]*([+-]?\d+\.?\d*%?)",
     r"[Aa]nswer[:\s]*([+-]?\d+\.?\d*%?)\s*$",
 ]
+PHRASE_GUARD = "nswer"
 ANY_NUMBER = r"[+-]?\d+\.?\d*"
 FLAT_OBJECT = r'\{[^{}]*"final_answer"[^{}]*\}'
-TAIL_OBJECT = r'\{[\s\S]*?"final_answer"[\s\S]*?\}(?=\s*$|\s*```)'
+TAIL_END = r'\}\s*(?:$|```)'
+ANSWER_KEY = '"final_answer"'
+BRACE_OR_TEXT = r"[{}]|[^{}]+"
 ANSWER_NUMBER = r'"final_answer"\s*:\s*(\d+\.?\d*)'
 ANSWER_QUOTED = r'"final_answer"\s*:\s*"([^"]*)"'
 ANSWER_BARE = r'"final_answer"\s*:\s*([^,}\s]+)'
@@ -45,73 +47,81 @@ def cot_answer(text: Column | str) -> Column:
     """DOUBLE from a worked answer: the first phrase that matches, else the last number."""
     t = as_col(text)
     # A phrase that does not match extracts '', which is no number, so coalesce moves on.
+    # All phrases contain the guard; other texts go straight to their last number.
     phrases = [F.translate(F.regexp_extract(t, p, 1), "%", "").try_cast("double") for p in COT_PATTERNS]
     last = F.try_element_at(F.regexp_extract_all(t, F.lit(ANY_NUMBER), 0), F.lit(-1)).try_cast("double")
-    return F.coalesce(*phrases, last)
+    return F.coalesce(F.when(t.contains(PHRASE_GUARD), F.coalesce(*phrases)), last)
 
 
 # --- JSON inside text -----------------------------------------------------------------
 
 
-@F.pandas_udf(T.StringType())
-def balanced_object(content: pd.Series) -> pd.Series:
-    """First brace-balanced JSON object holding `final_answer`; NULL rows pass through."""
-
-    def scan(text):
-        depth, start = 0, None
-        for at, char in enumerate(text):
-            if char == "{":
-                if depth == 0:
-                    start = at
-                depth += 1
-            elif char == "}":
-                depth -= 1
-                if depth == 0 and start is not None:
-                    piece = text[start : at + 1]
-                    if '"final_answer"' in piece:
-                        try:
-                            if "final_answer" in json.loads(piece):
-                                return piece
-                        except ValueError:
-                            pass
-                    start = None
-        return None
-
-    return content.map(scan, na_action="ignore")
+def holds_answer(text: Column) -> Column:
+    return F.try_variant_get(F.try_parse_json(text), "$.final_answer", "variant").isNotNull()
+
+
+def balanced_objects(content: Column | str) -> Column:
+    """ARRAY of the outermost brace-balanced pieces of a text, in order.
+
+    A stray closing brace leaves the depth below zero, so that nothing opens until it is
+    made up for.
+    """
+    state = "struct<depth: int, piece: string, done: array<string>>"
+    start = F.struct(F.lit(0).alias("depth"), F.lit(None).alias("piece"), F.array().alias("done")).cast(state)
+
+    def step(acc: Column, token: Column) -> Column:
+        opens, closes = token == "{", token == "}"
+        depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        piece = F.when(opens & (acc["depth"] == 0), F.lit("{")).otherwise(F.concat(acc["piece"], token))
+        complete = closes & (depth == 0) & acc["piece"].isNotNull()
+        return F.struct(
+            depth.alias("depth"),
+            F.when(~complete, piece).alias("piece"),
+            F.when(complete, F.array_append(acc["done"], piece)).otherwise(acc["done"]).alias("done"),
+        ).cast(state)
+
+    tokens = F.regexp_extract_all(as_col(content), F.lit(BRACE_OR_TEXT), 0)
+    return F.aggregate(tokens, start, step, lambda acc: acc["done"])
+
+
+def balanced_object(content: Column | str) -> Column:
+    """First balanced piece that is JSON with a `final_answer` key."""
+    return F.get(F.filter(balanced_objects(content), lambda p: p.contains(ANSWER_KEY) & holds_answer(p)), F.lit(0))
 
 
 def valid_json(text: Column) -> Column:
     return F.when(F.try_parse_json(text).isNotNull(), text)
 
 
-def regex_object(content: Column | str) -> Column:
-    """JSON text by regex: a flat object, else one that runs to the end or a closing fence."""
+def tail_object(content: Column | str) -> Column:
+    """Text from the first brace to the first closing brace behind the answer key that ends
+    the text or precedes a fence; NULL without one. Positions instead of a lazy pattern:
+    one pass over the text, whatever its length."""
+    opened = F.substr(as_col(content), F.instr(as_col(content), "{"))
+    key_at = F.instr(opened, ANSWER_KEY)
+    behind_key = key_at + (len(ANSWER_KEY) - 1)
+    end_at = F.regexp_instr(F.substr(opened, behind_key + 1), F.lit(TAIL_END))
+    return F.when((key_at > 0) & (end_at > 0), F.left(opened, behind_key + end_at))
+
+
+def find_object(content: Column | str) -> Column:
+    """JSON text of the answer object: a flat one, else one that runs to the end or a closing
+    fence, else the first balanced one. Texts without the answer key are not searched."""
     c = as_col(content)
     flat = F.nullif(F.regexp_extract(c, FLAT_OBJECT, 0), F.lit(""))
-    tail = F.nullif(F.regexp_extract(c, TAIL_OBJECT, 0), F.lit(""))
-    return F.coalesce(valid_json(flat), valid_json(tail))
+    found = F.coalesce(let(flat, valid_json), let(tail_object(c), valid_json), balanced_object(c))
+    return F.when(c.contains(ANSWER_KEY) & c.contains("{"), found)
 
 
 def collapse_braces(content: Column | str) -> Column:
     return F.replace(F.replace(as_col(content), F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
 
 
-def needs_scan(content: Column) -> Column:
-    return content.contains('"final_answer"') & content.contains("{") & content.contains("}")
-
-
 def json_object(content: Column | str) -> Column:
-    """The answer object: from the text as it is, else with doubled braces collapsed.
-
-    The balanced scan runs in Python, but only rows that the regexes left over reach it
-    with text; all others arrive as NULL.
-    """
+    """The answer object: from the text as it is, else with doubled braces collapsed."""
     raw = as_col(content)
-    single = F.when(raw.contains("{{") | raw.contains("}}"), collapse_braces(raw))
-    found_raw, found_single = regex_object(raw), regex_object(single)
-    scan_raw = balanced_object(F.when(found_raw.isNull() & needs_scan(raw), raw))
-    scan_single = balanced_object(F.when(found_raw.isNull() & found_single.isNull() & needs_scan(raw), single))
-    return F.coalesce(found_raw, scan_raw, found_single, scan_single)
+    doubled = raw.contains("{{") | raw.contains("}}")
+    return F.coalesce(find_object(raw), F.when(doubled, let(collapse_braces(raw), find_object)))
 
 
 def answer_by_regex(content: Column | str) -> Column:
@@ -150,34 +160,38 @@ def _no_steps() -> Column:
 
 
 def _from_json(found: Column) -> Column:
-    doc = F.try_parse_json(found)
-    value = F.try_variant_get(doc, "$.final_answer", "variant")
-    kind = F.regexp_extract(F.schema_of_variant(value), "^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)", 1)
-    return _parsed(
-        F.try_variant_get(doc, "$.final_answer", "string"),
-        F.when(kind != "", "numeric").otherwise("text"),
-        F.coalesce(S.steps_from_json(doc), _no_steps()),
-        "success",
-        F.lit("Successfully parsed structured JSON"),
-    )
+    def read(doc: Column) -> Column:
+        value = F.try_variant_get(doc, "$.final_answer", "variant")
+        kind = F.regexp_extract(F.schema_of_variant(value), "^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)", 1)
+        return _parsed(
+            F.try_variant_get(doc, "$.final_answer", "string"),
+            F.when(kind != "", "numeric").otherwise("text"),
+            F.coalesce(S.steps_from_json(doc), _no_steps()),
+            "success",
+            F.lit("Successfully parsed structured JSON"),
+        )
+
+    return let(F.try_parse_json(found), read)
 
 
 def _from_regex(value: Column) -> Column:
     return _parsed(value, answer_type(value), _no_steps(), "partial", F.lit("Extracted final_answer from content"))
 
 
+def _from_line(value: Column) -> Column:
+    message = F.lit("Extracted ANSWER from last line (fallback mode)")
+    return _parsed(value, answer_type(value), _no_steps(), "partial", message)
+
+
+def _if_found(value: Column, result: Callable[[Column], Column]) -> Column:
+    """`result(value)` where there is a value, evaluated once; else NULL."""
+    return let(value, lambda v: F.when(v.isNotNull(), result(v)))
+
+
 def parse_structured(content: Column | str, found: Column | str) -> Column:
     """Chat-completion text → parsed response. `found` is `json_object(content)`."""
     raw, found = as_col(content), as_col(found)
     body = collapse_braces(raw)
-    by_regex, by_line = answer_by_regex(body), answer_line(body)
-    line_result = _parsed(
-        by_line,
-        answer_type(by_line),
-        _no_steps(),
-        "partial",
-        F.lit("Extracted ANSWER from last line (fallback mode)"),
-    )
     raw_result = _parsed(
         F.when(body != "", preview(strip(body), RAW_TEXT_PREVIEW)),
         F.lit("text"),
@@ -185,31 +199,28 @@ def parse_structured(content: Column | str, found: Column | str) -> Column:
         "partial",
         F.lit("No structured format found, using raw text"),
     )
-    return (
-        F.when(found.isNotNull(), _from_json(found))
-        .when(by_regex.isNotNull(), _from_regex(by_regex))
-        .when(by_line.isNotNull(), line_result)
-        .otherwise(raw_result)
+    return F.coalesce(
+        F.when(found.isNotNull(), _from_json(found)),
+        _if_found(answer_by_regex(body), _from_regex),
+        _if_found(answer_line(body), _from_line),
+        raw_result,
     )
 
 
+def _from_text(steps: Column) -> Column:
+    count = F.size(steps).cast("string")
+    message = F.concat(F.lit("Parsed "), count, F.lit(" reasoning steps from unstructured text"))
+    return _parsed(F.lit(None), F.lit("text"), steps, "partial", message)
+
+
 def parse_blocks(content: Column | str, found: Column | str) -> Column:
     """Content-block text → parsed response; unstructured text becomes steps line by line."""
     raw, found = as_col(content), as_col(found)
     body = collapse_braces(raw)
-    by_regex = answer_by_regex(body)
-    steps = S.text_steps(body)
-    text_result = _parsed(
-        F.lit(None),
-        F.lit("text"),
-        steps,
-        "partial",
-        F.concat(F.lit("Parsed "), F.size(steps).cast("string"), F.lit(" reasoning steps from unstructured text")),
-    )
-    return (
-        F.when(found.isNotNull(), _from_json(found))
-        .when(by_regex.isNotNull(), _from_regex(by_regex))
-        .otherwise(text_result)
+    return F.coalesce(
+        F.when(found.isNotNull(), _from_json(found)),
+        _if_found(answer_by_regex(body), _from_regex),
+        let(S.text_steps(body), _from_text),
     )
 
 

@@ -63,7 +63,7 @@ lined AS (SELECT *, {strip(f"substr({strip('last_answer')}, 8)")} AS by_line FRO
 
 
 def _with_found(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("found", A.json_object("content"))
+    return bind(rows, {"found": A.json_object("content")})
 
 
 @query(
