@@ -43,15 +43,16 @@ def looks_like_code(line: Column | str) -> Column:
 def code_lines(text: Column | str) -> Column:
     """Lines that look like code, plus every line behind an unclosed fence."""
     rows = lines(text)
-    fences = F.transform(rows, lambda l: strip(l).startswith("```"))
-    opened = F.array_position(fences, F.lit(True))
+    fences = F.transform(rows, lambda l: strip(l).startswith(FENCE))
 
-    def keep(line: Column, at: Column) -> Column:
-        fence = strip(line).startswith("```")
-        inside = (opened > 0) & (at >= opened)
-        return ~fence & (inside | looks_like_code(line))
+    def kept(opened: Column) -> Column:
+        def keep(line: Column, at: Column) -> Column:
+            inside = (opened > 0) & (at >= opened)
+            return ~strip(line).startswith(FENCE) & (inside | looks_like_code(line))
 
-    return F.filter(rows, keep)
+        return F.filter(rows, keep)
+
+    return let(F.array_position(fences, F.lit(True)), kept)
 
 
 def fenced_code(text: Column | str) -> Column:
@@ -70,7 +71,8 @@ def extract_code(text: Column | str) -> Column:
     """Code of a Python fence, of any fence, or the lines that look like code; else NULL."""
     t = as_col(text)
     loose = code_lines(t)
-    return F.coalesce(fenced_code(t), F.when(F.size(loose) > 0, strip(F.array_join(loose, "\n"))))
+    joined = let(loose, lambda l: F.when(F.size(l) > 0, strip(F.array_join(l, "\n"))))
+    return F.coalesce(fenced_code(t), joined)
 
 
 def fenced_or_whole(text: Column | str) -> Column:

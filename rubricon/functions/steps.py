@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rubricon.functions.text import as_col, contains_any, lines, strip
+from rubricon.functions.text import as_col, contains_any, let, lines, strip
 
 STEP_TYPE = T.StructType(
     [
@@ -30,7 +30,6 @@ VARIABLE, CALCULATION, CONDITIONAL, RESULT = STEP_TYPES = [
 ]
 OPERATORS = ["+", "-", "*", "/"]
 TEXT_DEFINITION = r"^[\p{L}\p{N}_\s]+=\s*[\d.]+"
-TEXT_CALCULATION = r"[+\-*/]"
 TEXT_CONDITIONAL = r"^(if|elif)\s"
 TEXT_RESULT = r"^(return|answer)\s"
 TEXT_NUMBERED = r"^[\d\s-]+\.\s"
@@ -113,8 +112,8 @@ def text_steps(content: Column | str) -> Column:
 
     def shape(line: Column) -> Column:
         return (
-            F.when(line.rlike(TEXT_DEFINITION), "v")
-            .when(line.rlike(TEXT_CALCULATION), "c")
+            F.when(line.contains("=") & line.rlike(TEXT_DEFINITION), "v")
+            .when(contains_any(line, OPERATORS), "c")
             .when(line.rlike(TEXT_CONDITIONAL), "i")
             .when(line.rlike(TEXT_RESULT), "r")
             .when(line.rlike(TEXT_NUMBERED), "N")
@@ -122,9 +121,8 @@ def text_steps(content: Column | str) -> Column:
         )
 
     marked = F.transform(rows, lambda l: F.struct(shape(l).alias("mark"), l.alias("line")))
-    marks = F.array_join(F.transform(marked, lambda m: m["mark"]), "")
 
-    def read(m: Column, at: Column) -> Column:
+    def read(m: Column, at: Column, marks: Column) -> Column:
         number = F.length(F.translate(F.left(marks, at + 1), "vcir", ""))
         kind = (
             F.when(m["mark"].isin("v", "N"), VARIABLE)
@@ -141,7 +139,11 @@ def text_steps(content: Column | str) -> Column:
         )
         return make_step(number, kind, F.coalesce(F.concat(label, m["line"]), F.lit("")), m["line"])
 
-    return F.transform(marked, read)
+    def number_all(m: Column) -> Column:
+        marks = F.array_join(F.transform(m, lambda e: e["mark"]), "")
+        return let(marks, lambda text: F.transform(m, lambda e, at: read(e, at, text)))
+
+    return let(marked, number_all)
 
 
 # --- comparing two lists ---------------------------------------------------------------

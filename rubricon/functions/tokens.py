@@ -21,14 +21,15 @@ QUERY_STOP_WORDS = [
     "calculate", "compute",
 ]
 QUERY_TERMS = ["return", "growth", "rate"]
-WORD_RUN = r"[\p{L}\p{N}_]+"
+NOT_WORD = r"[^\p{L}\p{N}_]+"
 MIN_LENGTH = 3
 QUERY_CONTEXT_CHARS = 200
 
 
 def _latin_words(text: Column) -> Column:
     """Whole words made of a-z only, at least three letters."""
-    return F.filter(F.regexp_extract_all(text, F.lit(WORD_RUN), 0), lambda w: w.rlike("^[a-z]{3,}$"))
+    words = F.array_distinct(F.split(text, NOT_WORD))
+    return F.filter(words, lambda w: w.rlike("^[a-z]{3,}$"))
 
 
 def _present_terms(text: Column, terms: list[str]) -> Column:

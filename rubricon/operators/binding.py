@@ -11,7 +11,7 @@ def bind(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
     A plain derived column is pasted into every filter and condition that mentions it:
     with nested regular expressions the plan grows multiplicatively and each copy is
-    evaluated again. Here the values come out of a one-element generator, which stays a
+    evaluated again; an explode even adds a filter on the exploded value's size. Here the values come out of a one-element generator, which stays a
     pipelined narrow step (no shuffle, no materialisation) but ends the pasting.
     """
     kept = [c for c in df.columns if c not in columns]

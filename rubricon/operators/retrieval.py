@@ -1,16 +1,16 @@
 """Finding library functions for questions by exact keyword Jaccard.
 
-The plan depends on the measured size of the function library:
+The plan follows the measured number of postings (keywords over all rows) on both sides:
 
-* It fits the broadcast bound: queries are spread by id once, as narrow rows, and meet a
-  broadcast posting table. Scores are then summed and ranked where they arise; no pair
-  of query and function is ever shuffled.
-* It does not fit: postings meet on the token. Tokens found in very many functions stay
+* The smaller side fits the broadcast bound: the other side is spread by its own id once,
+  as narrow rows, and meets the broadcast posting table. Common keywords are counted where
+  they meet, so no pair of query and function is shuffled before it is ranked.
+* Neither side fits: postings meet on the token. Tokens found in very many functions stay
   out of that join. They are counted on the candidates the rarer tokens bring, and only
   queries for which functions sharing nothing but frequent tokens could still reach the
   top k go through the full join, salted so that no token lands in one task.
 
-Both give the same rows: no candidate is dropped on a guess.
+All give the same rows: no candidate is dropped on a guess.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rubricon.functions.tokens import function_keywords, query_keywords
+from rubricon.operators.binding import bind
 from rubricon.operators.positions import top_per_key
 
 BROADCAST_POSTINGS = 4_000_000  # about 100 MB of (token, position, size) rows
@@ -29,11 +30,13 @@ SALT_ROWS = 100_000
 def index_functions(functions: DataFrame) -> DataFrame:
     """`pos, keywords, n_keywords` per function; the only pass over function text."""
     words = function_keywords("function", "function_docstring")
-    return functions.select("pos", words.alias("keywords")).withColumn("n_keywords", F.size("keywords"))
+    bound = bind(functions.select("pos", "function", "function_docstring"), {"keywords": words})
+    return bound.select("pos", "keywords", F.size("keywords").alias("n_keywords"))
 
 
 def index_queries(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", query_keywords("query").alias("keywords")).withColumn("n_keywords", F.size("keywords"))
+    bound = bind(queries.select("query_id", "query"), {"keywords": query_keywords("query")})
+    return bound.select("query_id", "keywords", F.size("keywords").alias("n_keywords"))
 
 
 def keyword_index(indexed: DataFrame) -> DataFrame:
@@ -41,10 +44,20 @@ def keyword_index(indexed: DataFrame) -> DataFrame:
     return indexed.select(F.explode("keywords").alias("keyword"), "pos")
 
 
-def postings_fit(indexed: DataFrame, limit: int = BROADCAST_POSTINGS) -> bool:
-    """Measure the posting table; one narrow pass that returns a single number."""
-    total = indexed.agg(F.sum("n_keywords").alias("n")).first()["n"] or 0
-    return total <= limit
+def count_postings(indexed: DataFrame) -> int:
+    """Measure one side; a narrow pass that returns a single number."""
+    return indexed.agg(F.sum("n_keywords").alias("n")).first()["n"] or 0
+
+
+def choose_plan(queries: DataFrame, functions: DataFrame, limit: int = BROADCAST_POSTINGS) -> str:
+    """Which side to broadcast, `queries` or `functions`; `tokens` when neither fits the bound."""
+    asked = count_postings(queries)
+    if asked <= limit // 10:  # far below the bound: no need to measure the library
+        return "queries"
+    held = count_postings(functions)
+    if min(asked, held) > limit:
+        return "tokens"
+    return "queries" if asked <= held else "functions"
 
 
 def _query_tokens(queries: DataFrame) -> DataFrame:
@@ -63,9 +76,11 @@ def _count_common(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("query_id", "pos", "n_query", "n_function").agg(F.count(F.lit(1)).alias("common"))
 
 
-def _scores_by_broadcast(queries: DataFrame, functions: DataFrame) -> DataFrame:
-    spread = queries.repartition("query_id")
-    pairs = _query_tokens(spread).join(F.broadcast(_function_tokens(functions)), "token")
+def _scores_by_broadcast(queries: DataFrame, functions: DataFrame, small: str) -> DataFrame:
+    if small == "queries":
+        pairs = _function_tokens(functions.repartition("pos")).join(F.broadcast(_query_tokens(queries)), "token")
+    else:
+        pairs = _query_tokens(queries.repartition("query_id")).join(F.broadcast(_function_tokens(functions)), "token")
     return _count_common(pairs)
 
 
@@ -85,13 +100,16 @@ def _scores_by_token(queries: DataFrame, functions: DataFrame, salt_rows: int) -
     return _count_common(asked.drop("pieces").join(salted.drop("pieces"), ["token", "salt"]))
 
 
-def score_pairs(queries: DataFrame, functions: DataFrame, fits: bool | None = None, salt_rows: int = SALT_ROWS) -> DataFrame:
+def score_pairs(queries: DataFrame, functions: DataFrame, plan: str | None = None, salt_rows: int = SALT_ROWS) -> DataFrame:
     """Every query and function that share a keyword, with their Jaccard `score`.
 
     Takes the output of `index_queries` and `index_functions`.
     """
-    fits = postings_fit(functions) if fits is None else fits
-    common = _scores_by_broadcast(queries, functions) if fits else _scores_by_token(queries, functions, salt_rows)
+    plan = plan or choose_plan(queries, functions)
+    if plan == "tokens":
+        common = _scores_by_token(queries, functions, salt_rows)
+    else:
+        common = _scores_by_broadcast(queries, functions, plan)
     return common.select("query_id", "pos", "common", jaccard(F.col("common")).alias("score"))
 
 
@@ -99,15 +117,15 @@ def top_functions(
     queries: DataFrame,
     functions: DataFrame,
     k: int = 5,
-    fits: bool | None = None,
+    plan: str | None = None,
     hot_functions: int = HOT_TOKEN_FUNCTIONS,
     salt_rows: int = SALT_ROWS,
 ) -> DataFrame:
     """The k best functions per query by score, then library position."""
-    fits = postings_fit(functions) if fits is None else fits
-    if fits:
-        return _best(score_pairs(queries, functions, True), k)
-    return _top_by_rare_tokens(queries, functions, k, hot_functions, salt_rows)
+    plan = plan or choose_plan(queries, functions)
+    if plan == "tokens":
+        return _top_by_rare_tokens(queries, functions, k, hot_functions, salt_rows)
+    return _best(score_pairs(queries, functions, plan), k)
 
 
 def _best(scores: DataFrame, k: int) -> DataFrame:
@@ -150,7 +168,7 @@ def _top_by_rare_tokens(queries: DataFrame, functions: DataFrame, k: int, hot_fu
     )
     open_queries = queries.join(judged.filter("open"), "query_id", "left_semi")
     closed = best.join(judged.filter(~F.col("open")), "query_id", "left_semi")
-    return closed.unionByName(_best(score_pairs(open_queries, functions, False, salt_rows), k))
+    return closed.unionByName(_best(score_pairs(open_queries, functions, "tokens", salt_rows), k))
 
 
 def first_functions(functions: DataFrame, k: int) -> DataFrame:

@@ -167,7 +167,7 @@ def json_steps(spark, sf_dir):
     return read.select(*PAIR, F.size("steps").cast(BIG).alias("n_steps"), F.md5(steps_text("steps")).alias("steps_md5"))
 
 
-_MARK_SQL = f"""CASE WHEN regexp_matches(l, {quote(S.TEXT_DEFINITION)}) THEN 'v' WHEN regexp_matches(l, {quote(S.TEXT_CALCULATION)}) THEN 'c'
+_MARK_SQL = f"""CASE WHEN regexp_matches(l, {quote(S.TEXT_DEFINITION)}) THEN 'v' WHEN regexp_matches(l, '[-+*/]') THEN 'c'
   WHEN regexp_matches(l, {quote(S.TEXT_CONDITIONAL)}) THEN 'i' WHEN regexp_matches(l, {quote(S.TEXT_RESULT)}) THEN 'r'
   WHEN regexp_matches(l, {quote(S.TEXT_NUMBERED)}) THEN 'N' ELSE 'O' END"""
 
@@ -188,7 +188,8 @@ _MARK_SQL = f"""CASE WHEN regexp_matches(l, {quote(S.TEXT_DEFINITION)}) THEN 'v'
 )
 def text_steps(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents", "doc_id", "text")
-    rows = docs.select("doc_id", F.posexplode(S.text_steps("text")).alias("at", "s"))
+    docs = bind(docs, {"steps": S.text_steps("text")})
+    rows = docs.select("doc_id", F.posexplode("steps").alias("at", "s"))
     return rows.select(
         "doc_id",
         (F.col("at") + 1).cast(BIG).alias("line_no"),
@@ -318,7 +319,8 @@ def code_extract(spark, sf_dir):
 )
 def code_lines(spark, sf_dir):
     rows = fx.table(spark, sf_dir, "conversations", "conv_id", "turn", "text").withColumn("l", F.split("text", "\n"))
-    per_row = rows.select("conv_id", "turn", F.size("l").alias("n"), F.size(F.filter("l", P.looks_like_code)).alias("c"))
+    code = F.size(F.filter("l", P.looks_like_code))
+    per_row = rows.select("conv_id", "turn", F.size("l").alias("n"), code.alias("c"))
     return per_row.groupBy("conv_id", "turn").agg(F.sum("n").alias("n_lines"), F.sum("c").alias("n_code"))
 
 
@@ -359,7 +361,8 @@ truth_steps AS (SELECT *, CASE step_type WHEN 'variable_definition' THEN 'Define
     f"WITH {sql.EXAMPLES}, {sql.SOLUTIONS}, {_TRUTH_ROWS_SQL} SELECT example_id, step_number, step_type, description, code_snippet FROM truth_steps",
 )
 def truth_steps(spark, sf_dir):
-    rows = fx.solutions(spark, sf_dir).select("example_id", F.inline(S.truth_steps("python_solution")))
+    rows = bind(fx.solutions(spark, sf_dir), {"steps": S.truth_steps("python_solution")})
+    rows = rows.select("example_id", F.inline("steps"))
     return rows.withColumn("step_number", F.col("step_number").cast(BIG))
 
 
@@ -374,7 +377,8 @@ answers AS (SELECT {PAIRS}, pos, step_number, s.description AS description, s.co
     f"WITH {sql.answer_steps()}, {_ANSWER_ROWS_SQL} SELECT {PAIRS}, step_number, step_type, description FROM answers",
 )
 def answer_steps(spark, sf_dir):
-    rows = fx.answer_step_rows(spark, sf_dir).select(*PAIR, F.inline(S.answer_steps("raw_steps")))
+    rows = bind(fx.answer_step_rows(spark, sf_dir), {"steps": S.answer_steps("raw_steps")})
+    rows = rows.select(*PAIR, F.inline("steps"))
     return rows.select(*PAIR, F.col("step_number").cast(BIG).alias("step_number"), "step_type", "description")
 
 
