@@ -166,7 +166,7 @@ def _from_json(found: Column) -> Column:
         return _parsed(
             F.try_variant_get(doc, "$.final_answer", "string"),
             F.when(kind != "", "numeric").otherwise("text"),
-            F.coalesce(S.steps_from_json(doc), _no_steps()),
+            F.coalesce(S.read_steps(found), _no_steps()),
             "success",
             F.lit("Successfully parsed structured JSON"),
         )

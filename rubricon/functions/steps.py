@@ -84,8 +84,29 @@ def answer_steps(raw_steps: Column | str) -> Column:
     return F.transform(as_col(raw_steps), read)
 
 
+def with_defaults(step: Column) -> Column:
+    return make_step(
+        F.coalesce(step["step_number"], F.lit(0)),
+        F.coalesce(step["step_type"], F.lit(VARIABLE)),
+        F.coalesce(step["description"], F.lit("")),
+        F.coalesce(step["code_snippet"], F.lit("")),
+    )
+
+
+def read_steps(text: Column | str) -> Column:
+    """`reasoning_steps` of a JSON text; missing fields get defaults, non-objects are skipped.
+
+    Well-formed lists are read in one typed pass; only lists that do not fit the schema go
+    through the slower open-shaped reader.
+    """
+    t = as_col(text)
+    typed = F.from_json(t, f"reasoning_steps ARRAY<{STEP_TYPE.simpleString()}>")["reasoning_steps"]
+    clean = F.when(F.forall(typed, lambda s: s.isNotNull()), typed)
+    return F.coalesce(F.transform(clean, with_defaults), steps_from_json(F.try_parse_json(t)))
+
+
 def steps_from_json(doc: Column) -> Column:
-    """`reasoning_steps` of a VARIANT; missing fields get defaults, non-objects are skipped."""
+    """`reasoning_steps` of a VARIANT of any shape."""
     items = F.filter(
         F.try_variant_get(doc, "$.reasoning_steps", "array<variant>"),
         lambda v: F.schema_of_variant(v).startswith("OBJECT"),

@@ -163,7 +163,7 @@ def answer_line(spark, sf_dir):
 def json_steps(spark, sf_dir):
     rows = fx.answer_step_rows(spark, sf_dir).filter(F.col("raw_steps").isNotNull())
     doc = F.concat(F.lit('{"reasoning_steps":'), F.to_json("raw_steps"), F.lit("}"))
-    read = bind(rows, {"steps": S.steps_from_json(F.try_parse_json(doc))})
+    read = bind(rows, {"steps": S.read_steps(doc)})
     return read.select(*PAIR, F.size("steps").cast(BIG).alias("n_steps"), F.md5(steps_text("steps")).alias("steps_md5"))
 
 
