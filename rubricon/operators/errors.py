@@ -26,25 +26,26 @@ SAMPLE_CONTEXT_VALUES = 10
 
 
 def written_numbers(text: Column) -> Column:
-    """Every number written in the text, commas dropped."""
+    """Every number written in the text, commas dropped; NULL entries for lone commas."""
     found = F.regexp_extract_all(text, F.lit(WRITTEN_NUMBER), 0)
-    numbers = F.transform(found, lambda m: F.translate(m, ",", "").try_cast("double"))
-    return F.filter(numbers, lambda n: n.isNotNull())
+    return F.transform(found, lambda m: F.translate(m, ",", "").try_cast("double"))
 
 
 def context_numbers(context: Column) -> Column:
     """Numbers of the context, also as percent, fraction, and scaled by a thousand."""
     scaled = F.transform(written_numbers(context), lambda n: F.array(n, n * 100, n / 100, n * 1000, n / 1000))
-    return F.array_distinct(F.flatten(scaled))
+    return F.flatten(scaled)
 
 
 def foreign_numbers(answer_text: Column, context: Column) -> Column:
     """Sorted distinct numbers of the answer that the context cannot explain; NULL without context."""
     low, high = FOREIGN_RANGE
-    used = F.filter(written_numbers(answer_text), lambda n: (n > SMALLEST_NUMBER) & ~n.isin(COMMON_NUMBERS))
-    foreign = F.filter(F.array_except(used, context_numbers(context)), lambda n: (n > low) & (n < high))
+    used = F.filter(
+        written_numbers(answer_text),
+        lambda n: (n > max(low, SMALLEST_NUMBER)) & (n < high) & ~n.isin(COMMON_NUMBERS),
+    )
     has_context = context.isNotNull() & ~context.isin("", "[]")
-    return F.when(has_context, F.array_sort(foreign))
+    return F.when(has_context, F.sort_array(F.array_except(used, context_numbers(context))))
 
 
 def _percent(value: Column, digits: int) -> Column:
@@ -94,7 +95,8 @@ def _error_struct() -> Column:
         F.lit("ground_truth"), F.col("ground_truth"),
         F.lit("deviation_percent"), (spread * 100).cast("string"),
     )
-    context_sample = F.slice(F.array_sort(context_numbers(F.col("context"))), 1, SAMPLE_CONTEXT_VALUES)
+    known = F.array_distinct(F.array_compact(context_numbers(F.col("context"))))
+    context_sample = F.slice(F.sort_array(known), 1, SAMPLE_CONTEXT_VALUES)
     return F.struct(
         rule.alias("category"),
         by_rule(

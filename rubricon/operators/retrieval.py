@@ -22,7 +22,7 @@ from rubricon.functions.tokens import function_keywords, query_keywords
 from rubricon.operators.binding import bind
 from rubricon.operators.positions import top_per_key
 
-BROADCAST_POSTINGS = 4_000_000  # about 100 MB of (token, position, size) rows
+BROADCAST_POSTINGS = 1_000_000  # about 100 MB once hashed, as (token, id, size) rows
 HOT_TOKEN_FUNCTIONS = 50_000
 SALT_ROWS = 100_000
 
