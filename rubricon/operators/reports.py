@@ -111,12 +111,13 @@ def error_distribution_full(cells: DataFrame) -> DataFrame:
 
 def model_errors(cells: DataFrame) -> DataFrame:
     """Error counts per model and category; models with an error get every category."""
-    errors = _error_cells(cells).groupBy("model_name", "error_category").agg(F.sum("errors").alias("errors"))
-    every = F.array(*[F.lit(c[0]) for c in dims.CATEGORIES])
-    full = errors.select("model_name").distinct().select("model_name", F.explode(every).alias("error_category"))
-    return full.join(errors, ["model_name", "error_category"], "left").withColumn(
-        "errors", F.coalesce("errors", F.lit(0))
+    names = [c[0] for c in dims.CATEGORIES]
+    here = F.col("error_category")
+    wide = _error_cells(cells).groupBy("model_name").agg(
+        *[F.coalesce(F.sum(F.when(here == c, F.col("errors"))), F.lit(0)).alias(c) for c in names]
     )
+    pairs = F.array(*[F.struct(F.lit(c).alias("error_category"), F.col(c).alias("errors")) for c in names])
+    return wide.select("model_name", F.inline(pairs))
 
 
 def model_error_map(cells: DataFrame) -> DataFrame:

@@ -179,11 +179,25 @@ def first_functions(functions: DataFrame, k: int) -> DataFrame:
     ).withColumn("rank", F.col("rank") + 1)
 
 
+def with_fallback(queries: DataFrame, found: DataFrame, functions: DataFrame, k: int = 5) -> DataFrame:
+    """Matches of every query; a query without any gets the first k functions of the library
+    (`matched` false, score 0). The matches are computed once and joined by rank, not searched again."""
+    rows = queries.select("query_id").join(found.select("query_id", "rank", "pos", "score"), "query_id", "left")
+    ranks = F.when(F.col("pos").isNull(), F.sequence(F.lit(1), F.lit(k))).otherwise(F.array("rank"))
+    slots = rows.select("query_id", "pos", "score", F.explode(ranks).alias("rank"))
+    first = first_functions(functions, k).withColumnRenamed("pos", "_first")
+    return (
+        slots.join(F.broadcast(first), "rank", "left")
+        .withColumn("matched", F.col("pos").isNotNull())
+        .withColumns({"pos": F.coalesce("pos", "_first"), "score": F.coalesce("score", F.lit(0.0))})
+        .filter(F.col("pos").isNotNull())
+        .drop("_first")
+    )
+
+
 def fallback(queries: DataFrame, found: DataFrame, functions: DataFrame, k: int = 5) -> DataFrame:
-    """For queries without any match: the first k functions of the library."""
-    unmatched = queries.select("query_id").join(found.select("query_id"), "query_id", "left_anti")
-    slots = unmatched.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
-    return slots.join(F.broadcast(first_functions(functions, k)), "rank").select("query_id", "rank", "pos")
+    """Only the rows that stand in for missing matches."""
+    return with_fallback(queries, found, functions, k).filter(~F.col("matched")).select("query_id", "rank", "pos")
 
 
 def retrieve(queries: DataFrame, functions: DataFrame, k: int = 5, keep: Column | None = None, **plan) -> DataFrame:
@@ -194,8 +208,7 @@ def retrieve(queries: DataFrame, functions: DataFrame, k: int = 5, keep: Column
     """
     q, f = index_queries(queries), index_functions(functions)
     best = top_functions(q, f, k, **plan)
-    rest = fallback(queries, best, functions, k).withColumn("score", F.lit(0.0))
-    candidates = best.select("query_id", "rank", "pos", "score").unionByName(rest)
+    candidates = with_fallback(queries, best, functions, k).select("query_id", "rank", "pos", "score")
     return candidates if keep is None else candidates.filter(keep)
 
 

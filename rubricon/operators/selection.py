@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rubricon import dims
+from rubricon.operators.binding import bind
 from rubricon.operators.positions import (
     BUCKET_WIDTH,
     bucket_of,
@@ -47,19 +48,15 @@ def stride_sample(examples: DataFrame, n: int, group: str = "level", order: str
         F.transform(near, lambda i: F.struct(i.alias("i"), stride_index(i, n, total).alias("at"))),
         lambda p: (p["at"] >= start) & (p["at"] < end),
     )
-    picks = buckets.select(
-        F.col(group).alias("_g"), F.col("_bucket").alias("_b"), "_n_before", F.inline(inside)
-    )
-    wanted = picks.select("_g", "_b", "_n_before").distinct()
+    picks = bind(buckets, {"_picks": inside}).filter(F.size("_picks") > 0)
+    picks = picks.select(F.col(group).alias("_g"), F.col("_bucket").alias("_b"), "_n_before", "_picks")
     keyed = examples.withColumn("_eb", bucket_of(order, width))
-    in_bucket = keyed.join(wanted, (keyed[group] == wanted["_g"]) & (keyed["_eb"] == wanted["_b"]))
-    numbered = in_bucket.withColumn(
-        "_at", F.col("_n_before") + F.row_number().over(Window.partitionBy(group, "_eb").orderBy(order)) - 1
-    ).drop("_g", "_b", "_n_before")
-    hit = picks.select(F.col("_g"), F.col("at").alias("_pick"), (F.col("i") + 1).alias("selection_index"))
-    return numbered.join(hit, (numbered[group] == hit["_g"]) & (numbered["_at"] == hit["_pick"])).select(
-        *examples.columns, "selection_index"
-    )
+    near_rows = keyed.join(picks, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_eb") == F.col("_b")))
+    inside_bucket = Window.partitionBy(group, "_eb").orderBy(order)
+    numbered = near_rows.withColumn("_at", F.col("_n_before") + F.row_number().over(inside_bucket) - 1)
+    hit = F.get(F.filter("_picks", lambda p: p["at"] == F.col("_at")), F.lit(0))
+    chosen = numbered.withColumn("selection_index", hit["i"] + 1).filter(F.col("selection_index").isNotNull())
+    return chosen.select(*examples.columns, "selection_index")
 
 
 def combine(primary: DataFrame, *others: DataFrame) -> DataFrame:

@@ -23,23 +23,19 @@ def append(table: DataFrame, path: str, *partitions: str) -> None:
 
 def run_header(runs: DataFrame, eval_id: Column, created_at: Column, version: str) -> DataFrame:
     """One header row per evaluation of `runs`: examples, models, and empty totals."""
-    # Models are folded before they are listed, so the list is as long as the registry.
-    pairs = runs.groupBy(eval_id.alias("eval_id"), "model_name").agg(
-        F.min(created_at).alias("created_at"), F.count(F.lit(1)).alias("n")
+    # The list holds distinct model names only, folded map-side.
+    found = runs.groupBy(eval_id.alias("eval_id")).agg(
+        F.min(created_at).alias("created_at"),
+        F.count_distinct("example_id").alias("num_examples"),
+        F.array_sort(F.collect_set("model_name")).alias("_models"),
     )
-    counted = runs.groupBy(eval_id.alias("eval_id")).agg(F.count_distinct("example_id").alias("num_examples"))
-    listed = pairs.groupBy("eval_id").agg(
-        F.min("created_at").alias("created_at"),
-        F.count(F.lit(1)).alias("num_models"),
-        F.array_join(F.array_sort(F.collect_list("model_name")), ",").alias("models"),
-    )
-    return listed.join(counted, "eval_id").select(
+    return found.select(
         "eval_id",
         "created_at",
         F.lit(version).alias("dataset_version"),
         "num_examples",
-        "num_models",
-        "models",
+        F.size("_models").cast("bigint").alias("num_models"),
+        F.array_join("_models", ",").alias("models"),
         F.lit(0.0).alias("total_cost_usd"),
         F.lit(0).cast("bigint").alias("total_tokens"),
         F.lit(0.0).alias("duration_seconds"),
@@ -143,9 +139,7 @@ def nested_report(summary: DataFrame, by_model: DataFrame, by_error: DataFrame)
     def listed(table: DataFrame, name: str) -> DataFrame:
         return table.agg(F.array_sort(F.collect_list(F.struct(*table.columns))).alias(name))
 
-    one = summary.select(F.struct(*summary.columns).alias("summary"), F.lit(1).alias("_k"))
-    models = listed(by_model, "by_model").withColumn("_k", F.lit(1))
-    errors = listed(by_error, "error_distribution").withColumn("_k", F.lit(1))
-    return one.join(models, "_k").join(errors, "_k").drop("_k")
-
-
+    parts = summary.select(F.struct(*summary.columns).alias("summary"))
+    for name, table in (("by_model", by_model), ("error_distribution", by_error)):
+        parts = parts.unionByName(listed(table, name), allowMissingColumns=True)
+    return parts.agg(*[F.first(c, ignorenulls=True).alias(c) for c in parts.columns])
