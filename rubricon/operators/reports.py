@@ -31,7 +31,10 @@ def accuracy(digits: int = 6) -> Column:
 
 
 def summary_cells(scored: DataFrame) -> DataFrame:
-    """Runs folded to one row per combination of the report dimensions."""
+    """Runs folded to one row per combination of the report dimensions they have.
+
+    Reports without error categories can start from unclassified runs.
+    """
     keys = [c for c in CELL_KEYS if c in scored.columns]
     return scored.groupBy(*keys).agg(*counts(), F.sum("cost_micros").alias("cost_micros"))
 

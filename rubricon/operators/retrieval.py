@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from rubricon.functions.tokens import function_keywords, query_keywords
 from rubricon.operators.binding import bind
 from rubricon.operators.positions import top_per_key
+from rubricon.session import stored
 
 BROADCAST_POSTINGS = 1_000_000  # about 100 MB once hashed, as (token, id, size) rows
 HOT_TOKEN_FUNCTIONS = 50_000
@@ -124,6 +125,8 @@ def top_functions(
     """The k best functions per query by score, then library position."""
     plan = plan or choose_plan(queries, functions)
     if plan == "tokens":
+        # Both indexes are read several times from here on: the text is worked through once.
+        queries, functions = stored(queries, "query-index"), stored(functions, "function-index")
         return _top_by_rare_tokens(queries, functions, k, hot_functions, salt_rows)
     return _best(score_pairs(queries, functions, plan), k)
 

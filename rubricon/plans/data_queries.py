@@ -13,7 +13,7 @@ from rubricon.plans import fixtures as fx
 from rubricon.plans import sql
 from rubricon.plans.registry import query
 from rubricon.plans.report_queries import cells
-from rubricon.session import shared_dir
+from rubricon.session import shared_dir, stored
 from rubricon.sources import files, store
 from rubricon.streaming import live
 
@@ -390,7 +390,7 @@ def experiment_summary(spark, sf_dir):
 def report_nested(spark, sf_dir):
     """The sections written as JSON tables, read back, and nested into one report row."""
     path = shared_dir(spark, "report")
-    found = cells(spark, sf_dir).transform(lambda df: _kept(spark, df))
+    found = stored(cells(spark, sf_dir), "cells")  # several sections read it
     sections = {
         "summary": R.overall(found),
         "by_model": R.by_model(found).select("model_name", "total", "correct"),
@@ -411,13 +411,6 @@ def report_nested(spark, sf_dir):
     )
 
 
-def _kept(spark, df: DataFrame) -> DataFrame:
-    """A small folded table written once, since several sections read it."""
-    path = shared_dir(spark, "cells")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 # --- streams ---------------------------------------------------------------------------
 
 

@@ -33,6 +33,11 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.summary_cells(scored(spark, sf_dir))
 
 
+def accuracy_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells for reports that need no error category: nothing is classified for them."""
+    return R.summary_cells(scoring.with_cost(scoring.read_answers(fx.runs(spark, sf_dir))))
+
+
 # --- grid, responses, model choice -----------------------------------------------------
 
 
@@ -476,7 +481,7 @@ _SCORED = f"WITH {sql.scored()}"
 
 @query("overall", f"{_SCORED} SELECT {_COUNTS}, count(*) FILTER (NOT is_correct) AS incorrect, {_ACC} FROM scored")
 def overall(spark, sf_dir):
-    return R.overall(cells(spark, sf_dir))
+    return R.overall(accuracy_cells(spark, sf_dir))
 
 
 @query(
@@ -484,12 +489,12 @@ def overall(spark, sf_dir):
     f"{_SCORED} SELECT model_name, method, {_COUNTS}, {_COST}, {_ACC}, round(count(*) FILTER (is_correct) / count(*) * 100, 1) AS accuracy_1 FROM scored GROUP BY 1, 2",
 )
 def by_model_method(spark, sf_dir):
-    return R.by_model_method(cells(spark, sf_dir))
+    return R.by_model_method(accuracy_cells(spark, sf_dir))
 
 
 @query("by_model", f"{_SCORED} SELECT model_name, {_COUNTS}, {_COST}, {_ACC} FROM scored GROUP BY 1")
 def by_model(spark, sf_dir):
-    return R.by_model(cells(spark, sf_dir))
+    return R.by_model(accuracy_cells(spark, sf_dir))
 
 
 @query(
@@ -497,7 +502,7 @@ def by_model(spark, sf_dir):
     f"{_SCORED} SELECT model_name, {_COUNTS}, {_COST}, {_ACC} FROM scored GROUP BY 1 ORDER BY accuracy DESC, model_name",
 )
 def leaderboard(spark, sf_dir):
-    return R.leaderboard(cells(spark, sf_dir))
+    return R.leaderboard(accuracy_cells(spark, sf_dir))
 
 
 @query(
@@ -507,12 +512,12 @@ def leaderboard(spark, sf_dir):
       FROM ({rows([(x,) for x in dims.LEVELS])}) AS l(level) LEFT JOIN g USING (level)""",
 )
 def by_level(spark, sf_dir):
-    return R.by_level(cells(spark, sf_dir))
+    return R.by_level(accuracy_cells(spark, sf_dir))
 
 
 @query("model_level", f"{_SCORED} SELECT model_name, level, {_COUNTS}, {_ACC} FROM scored GROUP BY 1, 2")
 def model_level(spark, sf_dir):
-    return R.model_level(cells(spark, sf_dir))
+    return R.model_level(accuracy_cells(spark, sf_dir))
 
 
 @query(
@@ -525,12 +530,12 @@ def model_level(spark, sf_dir):
     + " FROM scored GROUP BY 1",
 )
 def model_level_pivot(spark, sf_dir):
-    return R.model_level_pivot(cells(spark, sf_dir))
+    return R.model_level_pivot(accuracy_cells(spark, sf_dir))
 
 
 @query("by_model_type", f"{_SCORED} SELECT model_type, {_COUNTS}, {_ACC} FROM scored GROUP BY 1")
 def by_model_type(spark, sf_dir):
-    return R.by_model_type(cells(spark, sf_dir))
+    return R.by_model_type(accuracy_cells(spark, sf_dir))
 
 
 @query("type_lookup_default", f"{_SCORED} SELECT model_name, model_type, count(*) AS runs FROM scored GROUP BY 1, 2")
@@ -596,7 +601,7 @@ def top_errors(spark, sf_dir):
 
 @query("pot_series", f"{_SCORED} SELECT model_name, {_COUNTS}, {_ACC} FROM scored WHERE method = 'POT' GROUP BY 1")
 def pot_series(spark, sf_dir):
-    return R.pot_series(cells(spark, sf_dir))
+    return R.pot_series(accuracy_cells(spark, sf_dir))
 
 
 @query(
