@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rubricon.llm.flat import text_bytes
-from rubricon.llm.pretokens import encoded_rounds, word_encoder
+from rubricon.llm.pretokens import encoded_rounds, load_tokenizer, word_encoder
 from rubricon.session import stored
 
 K1, B = 1.2, 0.75
@@ -53,12 +53,17 @@ def doc_terms(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (keys[first] >> np.uint64(32)).astype(np.int64), (keys[first] & np.uint64(0xFFFFFFFF)).astype(np.int64), times
 
 
+def stored_ids(tokenizer: str) -> np.dtype:
+    """Two bytes an id where the vocabulary allows it."""
+    return np.dtype("<u2" if load_tokenizer(tokenizer).get_vocab_size() <= 1 << 16 else "<u4")
+
+
 def encoded(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Documents with ids and lexical key; each task adds one row (n = -1) with its counts of
     documents and ids and its document frequencies."""
 
     def run(batches):
-        encoder = word_encoder(tokenizer)
+        encoder, kind = word_encoder(tokenizer), stored_ids(tokenizer)
         size = encoder.tokenizer.get_vocab_size()
         frequency, docs, tokens = np.zeros(size, np.int64), 0, 0
         names = ["doc_id", "n", "near", "nearer", "ids", "counts"]
@@ -74,8 +79,8 @@ def encoded(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 # Pairs of neighbouring ids stand for words in the finer key.
                 hashed = (ids * 0x9E3779B1 >> 7) & 0xFFFFFFFF
                 pairs = ((ids * 0x85EBCA6B ^ np.append(ids[1:], 0) * 0xC2B2AE35) >> 5) & 0xFFFFFFFF
-                offsets = pa.py_buffer((bounds * 4).astype(np.int32))
-                made = pa.BinaryArray.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(ids.astype("<u4").tobytes())])
+                offsets = pa.py_buffer((bounds * kind.itemsize).astype(np.int32))
+                made = pa.BinaryArray.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(ids.astype(kind).tobytes())])
                 columns = [
                     doc_ids.slice(lo, n),
                     pa.array(np.diff(bounds), pa.int32()),
@@ -214,11 +219,11 @@ def pack(df: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0) ->
 
     def run(batches):
         sequence, filled = TaskContext.get().partitionId() << 40, 0
-        docs, parts, held = [], [], 0
+        docs, parts, held, kind = [], [], 0, stored_ids(tokenizer)
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 docs.append(name)
-                parts.append(np.frombuffer(value.as_buffer(), "<u4").astype(np.int64))
+                parts.append(np.frombuffer(value.as_buffer(), kind).astype(np.int64))
                 held += len(parts[-1])
                 if held >= SHARD_IDS or len(docs) >= SHARD_DOCS:
                     rows, sequence, filled = shard_rows(docs, parts, sequence, filled)

@@ -156,7 +156,7 @@ class WordEncoder:
     `store_words` bounds what a worker keeps; when it is full the cache starts anew.
     """
 
-    def __init__(self, path: str, slots_log2: int = 20, store_words: int = 1_000_000):
+    def __init__(self, path: str, slots_log2: int = 21, store_words: int = 1_400_000):
         self.tokenizer, self.splitter = load_tokenizer(path), Splitter(path)
         self.shift, self.store_words = np.uint64(64 - slots_log2), store_words
         self.keys = np.zeros(1 << slots_log2, np.uint64)
