@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubricon.llm import bpe, nearest, packing, simhash, token_counts, token_files
-from rubricon.session import shared_dir
+from rubricon.llm import bpe, nearest, packing, quality, simhash, token_counts, token_files
+from rubricon.session import shared_dir, stored
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -63,6 +63,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = quality.with_counts(documents(spark, sf_dir, "lang", "source")).drop("text")
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    rows = stored(counted.withColumn("base_failed", failed), "counts")
+    return quality.judged_counts(rows).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "tokens")
