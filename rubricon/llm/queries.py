@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubricon.llm import bpe, nearest, packing, quality, simhash, token_counts, token_files
+from rubricon.llm import bpe, language, nearest, packing, quality, simhash, token_counts, token_files
 from rubricon.session import shared_dir, stored
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -80,6 +80,18 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def fold(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+@query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "lang").withColumn("held_out", F.coalesce(fold(4) == 2, F.lit(False)))
+    labelled = docs.filter(~F.col("held_out")).select("text", "lang")
+    found = language.identify(docs.drop("lang"), labelled)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "accepted")
+
+
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), BYTE_BPE).select(
