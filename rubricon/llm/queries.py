@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubricon.llm import bpe, language, nearest, packing, quality, simhash, token_counts, token_files
+from rubricon.llm import bpe, language, nearest, packing, quality, simhash, token_counts, token_files, tree_weighting
 from rubricon.session import shared_dir, stored
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,17 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", *columns)
 
 
+def fold(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+@query
+def op1_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tree_weighting.score(documents(spark, sf_dir, "lang"), fold(10) != 0, F.col("lang"))
+    held_out = (~F.col("training")).alias("held_out")
+    return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 @query
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(documents(spark, sf_dir), BYTE_BPE)
@@ -80,10 +91,6 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-def fold(modulus: int):
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
-
-
 @query
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "lang").withColumn("held_out", F.coalesce(fold(4) == 2, F.lit(False)))
