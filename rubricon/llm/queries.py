@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rubricon.llm import bpe, language, nearest, packing, quality, simhash, token_counts, token_files, tree_weighting
+from rubricon.llm import bpe, language, nearest, packing, quality, simhash, token_counts, token_files, toxicity, tree_weighting
 from rubricon.session import shared_dir, stored
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -49,6 +49,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False)))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold(5) != 0).select("doc_id", "toxic")
+    model = toxicity.train(docs.filter(~F.col("held_out")).select("doc_id", "text"), labels)
+    return toxicity.score(docs, model).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @query
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
