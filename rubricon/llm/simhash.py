@@ -152,7 +152,8 @@ def sharded(points: DataFrame) -> DataFrame:
                     own = np.flatnonzero(shards == shard)
                     index, part = sent_to(fps[own], levels)
                     rows_at.append(own[index])
-                    into.append((part + 1) * 0x9E3779B97F4A7C1 ^ (shard * 31 + len(levels)))
+                    salt = np.uint64((shard * 31 + len(levels)) % (1 << 64))
+                    into.append((((part + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ salt).view(np.int64))
                 at = pa.array(np.concatenate(rows_at))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(into))], ["fp", "rep", "shard"])
 

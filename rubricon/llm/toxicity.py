@@ -79,12 +79,12 @@ def feature_counts(texts: DataFrame) -> DataFrame:
 
 def chosen_features(counts, positives: int, others: int) -> np.ndarray:
     """Buckets with the largest likelihood ratio between positive and unlabelled texts."""
-    a, b = counts["positive"].to_numpy(float), counts["other"].to_numpy(float)
+    a, b = np.asarray(counts["positive"]).astype(float), np.asarray(counts["other"]).astype(float)
     p, q = (a + 0.5) / (positives + 1), (b + 0.5) / (others + 1)
     gain = a * np.log(p / q) + np.maximum(positives - a, 0) * np.log((1 - np.minimum(p, 0.999)) / (1 - np.minimum(q, 0.999)))
     gain[(a < LEAST_POSITIVES) | (p < LEAST_LIFT * q)] = 0
-    order = np.lexsort((counts["bucket"].to_numpy(), -gain))[:FEATURES]
-    return np.sort(counts["bucket"].to_numpy()[order[gain[order] > 0]])
+    order = np.lexsort((np.asarray(counts["bucket"]), -gain))[:FEATURES]
+    return np.sort(np.asarray(counts["bucket"])[order[gain[order] > 0]])
 
 
 def chosen_of(row: np.ndarray, bucket: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,11 +108,11 @@ def sampled_features(texts: DataFrame, features: np.ndarray) -> tuple[np.ndarray
                 lists += [number[a:b] for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lists, pa.list_(pa.int64()))], ["positive", "features"])
 
-    rows = texts.mapInArrow(run, "positive boolean, features array<long>").collect()
+    rows = texts.mapInArrow(run, "positive boolean, features array<long>").toArrow().combine_chunks()
+    lists = rows["features"].combine_chunks()
     x = np.zeros((len(rows), len(features)), bool)
-    for k, r in enumerate(rows):
-        x[k, r["features"]] = True
-    return x, np.array([r["positive"] for r in rows], bool)
+    x[np.repeat(np.arange(len(rows)), np.diff(np.asarray(lists.offsets))), np.asarray(lists.flatten())] = True
+    return x, np.asarray(rows["positive"]).astype(bool)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -156,7 +156,7 @@ def train(texts: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray,
     sizes = {r["positive"]: r["n"] for r in marked.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(True) or not sizes.get(False):
         return np.zeros(0, np.int64), np.zeros(0), -10.0
-    features = chosen_features(feature_counts(marked.select("text", "positive")).toPandas(), sizes[True], sizes[False])
+    features = chosen_features(feature_counts(marked.select("text", "positive")).toArrow(), sizes[True], sizes[False])
     place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)
     taken = marked.filter(F.col("positive") | (place < min(1.0, UNLABELLED / sizes[False])))
     x, positive = sampled_features(taken.select("text", "positive"), features)
