@@ -29,7 +29,7 @@ from rubricon.session import stored
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: A shard above the limit is split into parts of about the target.
-SHARD_LIMIT, SHARD_TARGET = 8192, 2048
+SHARD_LIMIT, SHARD_TARGET = 1 << 15, 1 << 13
 #: Fingerprints of a shard from which vantage points and radii are taken; they only set the balance.
 SAMPLE = 512
 LEVELS_AT_ONCE = 8
