@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +28,14 @@ def build_session(master: str | None = None, app: str = "rubricon", **conf: str)
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path for an intermediate table, readable by every executor.
 
-    Follows `spark.checkpoint.dir`. Only where that is unset (tests, a laptop)
-    does the session get a temporary one, which is then remembered.
+    It lies under `spark.checkpoint.dir`. Where that is unset, a local master uses the warehouse
+    folder; on a cluster this raises, because a folder of the driver's machine is no shared one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="rubricon-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 

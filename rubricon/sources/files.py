@@ -2,12 +2,15 @@
 
 Two layouts are read:
 
-* `array` – one JSON array (or a single object, taken as a one-row list) per file, the
-  form data sets are published in. Files are parsed in parallel, one task each.
+* `array` – one JSON array (or a single object, taken as a one-row list) per file, indented or
+  not, the form data sets are published in. Files are parsed in parallel, one task each.
 * `lines` – one object per line, the form for large sets: files are split between tasks.
-  Records may carry their position as `pos`; otherwise it follows file and line order.
+  Records may carry their position as `pos`.
 
-`pos` stands for list order, which a DataFrame does not have.
+`pos` stands for list order, which a DataFrame does not have. It is unique, follows the file's
+path, then the place in the file, and does not depend on how Spark packs files into tasks; in a
+single array it is the index. A file that is broken or in the other layout raises; only where
+`skip_broken` is asked for are single broken lines left out.
 """
 
 from __future__ import annotations
@@ -27,35 +30,62 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def read_records(spark: SparkSession, path: str, fields: str, layout: str = "lines", inner: str | None = None) -> DataFrame:
-    """Rows `pos` + `fields` of a JSON source; `inner` names a list inside the top object.
+def _in_file_order(rows: DataFrame, place: Column) -> DataFrame:
+    """Rows with `pos` from `place` within their file, files following each other by path."""
+    names = sorted(rows.inputFiles())
+    if len(names) == 1:
+        return rows.withColumn("pos", place)
+    ranks = rows.sparkSession.createDataFrame(list(enumerate(names)), "_rank BIGINT, _file STRING")
+    ranked = rows.withColumns({"_file": F.input_file_name(), "pos": place}).join(F.broadcast(ranks), "_file", "left")
+    return ranked.withColumn("pos", F.shiftleft("_rank", 44) + F.col("pos")).drop("_file", "_rank")
+
+
+def _checked(good: Column, what: str) -> Column:
+    return F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(what), F.input_file_name())).cast("boolean"))
+
+
+def _read_lines(spark: SparkSession, path: str, fields: str, skip_broken: bool) -> DataFrame:
+    # Lines are shorter than splits are long, so a split's start plus the row's number in its task
+    # is unique in a file and rises along it.
+    row_in_task = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_start"))
+    rows = _in_file_order(rows, F.col("_start") + row_in_task).filter(F.trim("value") != "")
+    parsed = F.from_json("value", f"pos BIGINT, {fields}, _broken STRING", {"columnNameOfCorruptRecord": "_broken"})
+    rows = rows.withColumn("r", parsed)
+    good = F.ltrim("value").startswith("{") & F.col("r._broken").isNull()
+    rows = rows.filter(good if skip_broken else _checked(good, "a line is no JSON object (one array per file is layout='array'): "))
+    names = spark.createDataFrame([], fields).columns
+    return rows.select(F.coalesce("r.pos", "pos").alias("pos"), *[F.col(f"r.{n}") for n in names])
+
+
+def _read_array(spark: SparkSession, path: str, fields: str, inner: str | None) -> DataFrame:
+    rows = _in_file_order(spark.read.text(path, wholetext=True), F.lit(0).cast("bigint"))
+    body = F.from_json("value", f"STRUCT<`{inner}`: STRING>").getField(inner) if inner else F.col("value")
+    rows = rows.withColumn("body", F.regexp_replace(body, r"^\s+", ""))
+    listed = F.col("body").startswith("[")
+    items = F.when(listed, F.from_json("body", "ARRAY<STRING>")).when(F.col("body").startswith("{"), F.array("body"))
+    rows = rows.withColumn("items", items).filter(_checked(F.col("items").isNotNull(), "no JSON array or object: "))
+    exploded = rows.select("pos", F.posexplode("items").alias("_index", "item"))
+    record = F.from_json("item", fields)
+    return (
+        exploded.filter(F.col("item").startswith("{"))
+        .select((F.col("pos") + F.col("_index")).cast("bigint").alias("pos"), record.alias("r"))
+        .select("pos", "r.*")
+    )
+
 
-    Broken records are left out and the rest are kept. A missing path gives no rows.
-    """
+def read_records(
+    spark: SparkSession, path: str, fields: str, layout: str = "lines", inner: str | None = None, skip_broken: bool = False
+) -> DataFrame:
+    """Rows `pos` + `fields` of a JSON source; `inner` names a list inside the top object. List
+    elements that are no objects are left out. A missing path gives no rows."""
     if layout not in LAYOUTS:
         raise ValueError(f"Invalid layout: {layout}. Must be one of {LAYOUTS}")
     if not path_exists(spark, path):
         return spark.createDataFrame([], f"pos BIGINT, {fields}")
     if layout == "lines":
-        rows = (
-            spark.read.schema(f"pos BIGINT, {fields}, _broken STRING")
-            .option("columnNameOfCorruptRecord", "_broken")
-            .json(path)
-        )
-        kept = rows.withColumn("pos", F.coalesce("pos", F.monotonically_increasing_id()))
-        return kept.filter(F.col("_broken").isNull()).drop("_broken")
-    text = spark.read.option("wholetext", True).text(path)
-    doc = F.try_parse_json("value")
-    body = F.try_variant_get(doc, f"$.{inner}", "variant") if inner else doc
-    is_list = F.schema_of_variant(body).startswith("ARRAY")
-    items = F.when(is_list, F.try_variant_get(body, "$", "array<variant>")).otherwise(F.array(body))
-    exploded = text.filter(doc.isNotNull()).select(F.posexplode(items).alias("pos", "item"))
-    record = F.from_json(F.to_json("item"), fields)
-    return (
-        exploded.filter(F.schema_of_variant("item").startswith("OBJECT"))
-        .select(F.col("pos").cast("bigint").alias("pos"), record.alias("r"))
-        .select("pos", "r.*")
-    )
+        return _read_lines(spark, path, fields, skip_broken)
+    return _read_array(spark, path, fields, inner)
 
 
 def _text(name: str, default: str = "") -> Column:
@@ -150,7 +180,7 @@ def load_combined(
 
 def load_functions(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
     """The function library; broken rows are skipped, missing fields are empty."""
-    rows = read_records(spark, path, RAW_FUNCTION, layout)
+    rows = read_records(spark, path, RAW_FUNCTION, layout, skip_broken=True)
     names = ["function_id", "article_title", "function", "function_docstring"]
     return rows.select("pos", *[_text(n) for n in names])
 

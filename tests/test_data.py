@@ -67,6 +67,40 @@ def root(tmp_path):
     return str(tmp_path)
 
 
+@pytest.mark.parametrize("indent", [None, 2])
+def test_arrays_of_several_files(spark, tmp_path, indent):
+    for name, ids in (("b", "cd"), ("a", "ab")):
+        (tmp_path / f"{name}.json").write_text(json.dumps([{"question_id": i} for i in ids], indent=indent))
+    rows = files.read_records(spark, str(tmp_path), "question_id STRING", layout="array")
+    assert rows.count() == 4
+    assert [r["question_id"] for r in rows.orderBy("pos").collect()] == ["a", "b", "c", "d"]
+    assert rows.select("pos").distinct().count() == 4
+
+
+def test_broken_files_and_wrong_layout_raise(spark, tmp_path):
+    (tmp_path / "cut.json").write_text(json.dumps([{"question_id": "a"}] * 3, indent=2)[:-9])
+    (tmp_path / "list.json").write_text(json.dumps([{"question_id": "a"}], indent=2))
+    for name, layout in (("cut", "array"), ("list", "lines")):
+        with pytest.raises(Exception, match="no JSON"):
+            files.read_records(spark, str(tmp_path / f"{name}.json"), "question_id STRING", layout=layout).collect()
+
+
+def test_lines_keep_file_order(spark, tmp_path):
+    (tmp_path / "part-0.json").write_text('{"question_id": "0"}\n\n{"question_id": "1"}\n')
+    (tmp_path / "part-1.json").write_text("".join(f'{{"question_id": "{i}"}}\n' for i in range(2, 500)))
+    rows = files.read_records(spark, str(tmp_path), "question_id STRING")
+    assert rows.count() == 500
+    assert [r["question_id"] for r in rows.orderBy("pos").collect()] == [str(i) for i in range(500)]
+
+
+def test_indented_items_and_long_arrays(spark, tmp_path):
+    items = {"items": [{"trace_id": f"{i}.trace", "question": "q"} for i in range(3)]}
+    (tmp_path / "traced.json").write_text("\n " + json.dumps(items, indent=4))
+    assert files.load_traced(spark, str(tmp_path / "traced.json"), layout="array").count() == 3
+    (tmp_path / "long.json").write_text(json.dumps([{"question_id": str(i), "question": "x" * 1000} for i in range(20_000)]))
+    assert files.read_records(spark, str(tmp_path / "long.json"), "question_id STRING", layout="array").count() == 20_000
+
+
 def test_array_layout(spark, root):
     rows = files.load_split(spark, root, "hard", layout="array", default_source="set").orderBy("pos").collect()
     assert [r["example_id"] for r in rows] == ["a", "b", "c"]
