@@ -214,7 +214,8 @@ def judged(df: DataFrame, text: str = "text", lang: str = "lang", source: str =
     """Adds COUNTS, `base_failed`, `distance` (squared Mahalanobis; null where the base rules fail)
     and `kept`."""
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    counted = with_counts(df, text).withColumn("base_failed", base_failed)
+    # Read once for every step of the fit, so the counts are written down first.
+    counted = stored(with_counts(df, text).withColumn("base_failed", base_failed), "counts")
     return judged_counts(counted, lang, source)
 
 
