@@ -215,7 +215,7 @@ def losses(df: DataFrame, models: Models) -> DataFrame:
             n = len(scorer.models.langs)
             sums = np.concatenate([p[0] for p in parts] or [np.zeros((0, n))])
             chars = np.concatenate([p[1] for p in parts] or [np.zeros(0)]).astype(np.int64)
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * n, pa.int32()), pa.array(sums.ravel()))
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * n, pa.int32()), pa.array(sums.ravel().astype(float)))
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, listed, pa.array(chars)], [*batch.schema.names[:-1], "_losses", "_chars"])
 
