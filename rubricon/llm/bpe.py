@@ -139,8 +139,8 @@ def vocabulary(path: str) -> Vocabulary:
 class MergeEncoder(WordEncoder):
     """The shared pre-token cache, filled by merge rounds instead of the library."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
+    def __init__(self, path: str, *size: int):
+        super().__init__(path, *size)
         self.vocabulary = vocabulary(path)
 
     def encode_misses(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +157,7 @@ class MergeEncoder(WordEncoder):
 
 @lru_cache(maxsize=2)
 def merge_encoder(path: str) -> MergeEncoder:
-    return MergeEncoder(path)
+    return MergeEncoder(path, 20, 600_000)
 
 
 def replaced_schema(df: DataFrame, name: str, kind: str):
