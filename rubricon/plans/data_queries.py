@@ -353,7 +353,7 @@ def save_results(spark, sf_dir):
 def _artifacts(spark, sf_dir) -> DataFrame:
     """Artifacts written per experiment (the level) with a summary beside them, read back."""
     path = shared_dir(spark, "artifacts")
-    runs = scoring.with_cost(fx.calls(spark, sf_dir, fx.ECONOMIC))
+    runs = scoring.with_cost(fx.calls(spark, sf_dir, fx.MODEL_NAMES))
     rows = runs.groupBy(F.col("level").alias("experiment"), "example_id").agg(
         F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"), F.sum("cost_micros").alias("cost_micros")
     )
@@ -361,10 +361,10 @@ def _artifacts(spark, sf_dir) -> DataFrame:
     return store.read_artifacts(spark, path, rows.schema)
 
 
-_ARTIFACT_SQL = f"""WITH {sql.runs(fx.ECONOMIC)}, {sql.MODELS}, per_example AS (
+_ARTIFACT_SQL = f"""WITH {sql.runs(fx.MODEL_NAMES)}, {sql.MODELS}, per_example AS (
   SELECT level AS experiment, example_id, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens,
     CAST(sum((prompt_tokens * milli_in + completion_tokens * milli_out + 500) // 1000) AS BIGINT) AS cost_micros
-  FROM fx_runs JOIN fx_models USING (model_name) GROUP BY 1, 2)"""
+  FROM fx_runs LEFT JOIN fx_models USING (model_name) GROUP BY 1, 2)"""
 
 
 @query("example_artifacts", f"{_ARTIFACT_SQL} SELECT * FROM per_example")
@@ -430,14 +430,22 @@ def stream_running(spark, sf_dir):
     return live.stream_running(spark, results)
 
 
-@query("stream_cache_dedup")
+@query(
+    "stream_cache_dedup",
+    f"""WITH {sql.LOG}, timed AS (
+      SELECT example_id, model, prompt_hash, list_sort(list(DISTINCT created_at)) AS times FROM fx_log GROUP BY 1, 2, 3)
+    SELECT example_id, model, prompt_hash, unnest(list_reduce(list_transform(times, lambda t: [t]),
+      lambda kept, t: CASE WHEN t[1] >= kept[len(kept)] + INTERVAL 24 HOUR THEN list_concat(kept, t) ELSE kept END)) AS created_at
+    FROM timed""",
+)
 def stream_cache_dedup(spark, sf_dir):
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = live.open_stream(spark, sf_dir, schema, "events.parquet")
-    calls = events.select(
-        F.col("ts").cast("timestamp").alias("created_at"),
-        F.col("user_id").cast("string").alias("example_id"),
-        F.col("event_type").alias("model"),
-        F.md5("props").alias("prompt_hash"),
-    )
-    return live.stream_cache_dedup(spark, calls)
+    """Calls arrive in four deliveries in time order; the stream stops and goes on after each."""
+    path = shared_dir(spark, "stream-dedup")
+    log = fx.log(spark, sf_dir).select("created_at", *store.CALL_KEY)
+    first, last = log.agg(F.min("created_at"), F.max("created_at")).first()
+    since = F.unix_micros("created_at") - F.unix_micros(F.lit(first))
+    delivery = F.coalesce(F.floor(since * 4 / (F.unix_micros(F.lit(last)) - F.unix_micros(F.lit(first)) + 1)), F.lit(0))
+    for n in range(4):
+        log.filter(delivery == n).write.mode("append").parquet(f"{path}/in")
+        live.drop_cached(live.open_stream(spark, f"{path}/in", log.schema), path, f"{path}/checkpoint")
+    return live.kept_calls(spark, path, log.schema)

@@ -15,7 +15,6 @@ from rubricon.operators.binding import bind
 
 UNLISTED = "unlisted"
 MODEL_NAMES = [m[0] for m in dims.MODELS] + [UNLISTED]
-ECONOMIC = dims.BUDGET_SETS["economic"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -140,7 +139,7 @@ def answer_step_rows(spark: SparkSession, sf_dir: str, models: list[str] | None
     def written(number: int, kind: str, label: str, code: Column, as_kind: str | None = None) -> Column:
         return step(as_kind or kind, F.concat(F.lit(label), code), code, number)
 
-    base = solutions(spark, sf_dir).select("*", F.inline(grid_cells(models or ECONOMIC, ["COT"])))
+    base = solutions(spark, sf_dir).select("*", F.inline(grid_cells(models or MODEL_NAMES, ["COT"])))
     qty = F.concat(F.lit("qty = "), (F.col("pos") % 50).cast("string"))
     price = F.concat(F.lit("price = "), F.col("cents").cast("string"))
     d, calc, cond, ret = "variable_definition", "calculation", "conditional", "return_result"

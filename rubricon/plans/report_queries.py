@@ -43,10 +43,10 @@ def accuracy_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "eval_grid",
-    f"WITH {sql.EXAMPLES} SELECT example_id, level, model_name, method FROM fx_examples, {sql.grid(fx.ECONOMIC)}",
+    f"WITH {sql.EXAMPLES} SELECT example_id, level, model_name, method FROM fx_examples, {sql.grid(fx.MODEL_NAMES)}",
 )
 def eval_grid(spark, sf_dir):
-    grid = G.evaluation_grid(fx.examples(spark, sf_dir), fx.ECONOMIC, dims.METHODS)
+    grid = G.evaluation_grid(fx.examples(spark, sf_dir), fx.MODEL_NAMES, dims.METHODS)
     return grid.select("example_id", "level", "model_name", "method")
 
 
@@ -54,15 +54,15 @@ def _answered(spark, sf_dir):
     """Responses of every model, except that some calls never came back."""
     lost = (F.col("pos") + F.col("ord")) % 11 == 0
     kept = ["raw_response", "prompt_tokens", "completion_tokens"]
-    return fx.runs(spark, sf_dir, fx.ECONOMIC).filter(~lost).select(*KEY, *kept)
+    return fx.runs(spark, sf_dir, fx.MODEL_NAMES).filter(~lost).select(*KEY, *kept)
 
 
-_ANSWERED_SQL = f"""WITH {sql.runs(fx.ECONOMIC)}, filled AS (
+_ANSWERED_SQL = f"""WITH {sql.runs(fx.MODEL_NAMES)}, filled AS (
   SELECT r.*, (pos + ord) % 11 = 0 AS lost FROM fx_runs r)"""
 
 
 def _filled(spark, sf_dir):
-    grid = G.evaluation_grid(fx.examples(spark, sf_dir), fx.ECONOMIC, dims.METHODS)
+    grid = G.evaluation_grid(fx.examples(spark, sf_dir), fx.MODEL_NAMES, dims.METHODS)
     return G.fill_grid(grid.select("example_id", "model_name", "method"), _answered(spark, sf_dir))
 
 
@@ -93,7 +93,7 @@ def failed_passthrough(spark, sf_dir):
     "cost_totals",
     f"""{_ANSWERED_SQL}, {sql.MODELS} SELECT example_id, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens,
       CAST(sum((prompt_tokens * milli_in + completion_tokens * milli_out + 500) // 1000) AS BIGINT) / 1000000.0 AS cost
-      FROM filled JOIN fx_models USING (model_name) WHERE NOT lost GROUP BY example_id""",
+      FROM filled LEFT JOIN fx_models USING (model_name) WHERE NOT lost GROUP BY example_id""",
 )
 def cost_totals(spark, sf_dir):
     return R.cost_totals(scoring.with_cost(_filled(spark, sf_dir)))
@@ -171,13 +171,13 @@ def model_overrides(spark, sf_dir):
 # --- scoring one answer ----------------------------------------------------------------
 
 
-@query("cot_extract", f"WITH {sql.runs(fx.ECONOMIC, ['COT'])} SELECT {KEYS}, {sql.cot('raw_response')} AS answer FROM fx_runs")
+@query("cot_extract", f"WITH {sql.runs(fx.MODEL_NAMES, ['COT'])} SELECT {KEYS}, {sql.cot('raw_response')} AS answer FROM fx_runs")
 def cot_extract(spark, sf_dir):
-    runs = fx.runs(spark, sf_dir, fx.ECONOMIC, ["COT"])
+    runs = fx.runs(spark, sf_dir, fx.MODEL_NAMES, ["COT"])
     return runs.select(*KEY, A.cot_answer("raw_response").alias("answer"))
 
 
-_SPELLED_SQL = f"""WITH {sql.runs(fx.ECONOMIC, ["POT"])}, spelled AS (SELECT *,
+_SPELLED_SQL = f"""WITH {sql.runs(fx.MODEL_NAMES, ["POT"])}, spelled AS (SELECT *,
   CASE pos % 4 WHEN 0 THEN ' ' || answer || ' ' WHEN 1 THEN answer || '%' WHEN 2 THEN '$' || answer
     ELSE '1,' || answer END AS pred
   FROM (SELECT *, nullif(regexp_extract(execution_output, 'answer = (.+)', 1), '') AS answer FROM fx_runs))"""
@@ -187,7 +187,7 @@ def _spelled(spark, sf_dir):
     """Recorded outputs in several spellings: blanks, percent, currency sign, commas."""
     answer = P.program_output("execution_output")["text"]
     pos = F.col("pos") % 4
-    runs = fx.runs(spark, sf_dir, fx.ECONOMIC, ["POT"]).withColumn("answer", answer)
+    runs = fx.runs(spark, sf_dir, fx.MODEL_NAMES, ["POT"]).withColumn("answer", answer)
     return runs.withColumn(
         "pred",
         F.when(pos == 0, F.concat(F.lit(" "), "answer", F.lit(" ")))
@@ -235,12 +235,12 @@ def cost_blended(spark, sf_dir):
 
 @query(
     "token_estimate",
-    f"""WITH {sql.runs(fx.ECONOMIC)} SELECT {KEYS}, round(length(question || context) * 1.3, 6) AS prompt_estimate,
+    f"""WITH {sql.runs(fx.MODEL_NAMES)} SELECT {KEYS}, round(length(question || context) * 1.3, 6) AS prompt_estimate,
       round(length(question || context) * 1.3 + completion_tokens, 6) AS total_estimate FROM fx_runs""",
 )
 def token_estimate(spark, sf_dir):
     estimate = N.estimate_tokens(F.length(F.concat("question", "context")))
-    runs = fx.calls(spark, sf_dir, fx.ECONOMIC)
+    runs = fx.calls(spark, sf_dir, fx.MODEL_NAMES)
     return runs.select(
         *KEY,
         F.round(estimate, 6).alias("prompt_estimate"),
@@ -250,12 +250,15 @@ def token_estimate(spark, sf_dir):
 
 @query(
     "previews",
-    f"""WITH {sql.runs(fx.ECONOMIC)} SELECT {KEYS}, left(raw_response, 20) AS cut,
-      CASE WHEN length(raw_response) > 30 THEN left(raw_response, 30) || '...' ELSE raw_response END AS dotted FROM fx_runs""",
+    """SELECT doc_id, left(text, 100) AS cut_100, left(text, 200) AS cut_200,
+      CASE WHEN length(text) > 2000 THEN left(text, 2000) || '...' ELSE text END AS dotted_2000,
+      CASE WHEN length(text) > 3000 THEN left(text, 3000) || '...' ELSE text END AS dotted_3000 FROM documents""",
 )
 def previews(spark, sf_dir):
-    runs = fx.runs(spark, sf_dir, fx.ECONOMIC)
-    return runs.select(*KEY, preview("raw_response", 20).alias("cut"), preview("raw_response", 30, "...").alias("dotted"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cuts = [preview("text", n).alias(f"cut_{n}") for n in (100, 200)]
+    dotted = [preview("text", n, "...").alias(f"dotted_{n}") for n in (2000, 3000)]
+    return docs.select("doc_id", *cuts, *dotted)
 
 
 # --- scored and classified rows --------------------------------------------------------
@@ -263,12 +266,12 @@ def previews(spark, sf_dir):
 
 @query(
     "score_runs",
-    f"""WITH {sql.scored(fx.ECONOMIC)} SELECT {KEYS}, level, model_type, predicted_num, is_correct, cost_micros,
+    f"""WITH {sql.scored(fx.MODEL_NAMES)} SELECT {KEYS}, level, model_type, predicted_num, is_correct, coalesce(cost_micros, -1) AS cost_micros,
       coalesce(error_category, '') AS error_category, md5(coalesce(executed_code, '')) AS code_md5 FROM scored""",
 )
 def score_runs(spark, sf_dir):
-    return scored(spark, sf_dir, fx.ECONOMIC).select(
-        *KEY, "level", "model_type", "predicted_num", "is_correct", "cost_micros",
+    return scored(spark, sf_dir, fx.MODEL_NAMES).select(
+        *KEY, "level", "model_type", "predicted_num", "is_correct", F.coalesce("cost_micros", F.lit(-1)).alias("cost_micros"),
         F.coalesce("error_category", F.lit("")).alias("error_category"),
         F.md5(F.coalesce("executed_code", F.lit(""))).alias("code_md5"),
     )
@@ -296,28 +299,28 @@ def _error_columns(rows):
     )
 
 
-@query("classify_errors", f"WITH {sql.scored(fx.ECONOMIC)} SELECT {KEYS}, {_ERROR_COLUMNS_SQL} FROM scored WHERE NOT is_correct")
+@query("classify_errors", f"WITH {sql.scored(fx.MODEL_NAMES)} SELECT {KEYS}, {_ERROR_COLUMNS_SQL} FROM scored WHERE NOT is_correct")
 def classify_errors(spark, sf_dir):
-    return _error_columns(E.classify(S.wrong_rows(scored(spark, sf_dir, fx.ECONOMIC))))
+    return _error_columns(E.classify(S.wrong_rows(scored(spark, sf_dir, fx.MODEL_NAMES))))
 
 
-@query("classify_batch", f"WITH {sql.scored(fx.ECONOMIC)} SELECT {KEYS}, {_ERROR_COLUMNS_SQL} FROM scored WHERE NOT is_correct")
+@query("classify_batch", f"WITH {sql.scored(fx.MODEL_NAMES)} SELECT {KEYS}, {_ERROR_COLUMNS_SQL} FROM scored WHERE NOT is_correct")
 def classify_batch(spark, sf_dir):
-    return _error_columns(E.classify_batch(scored(spark, sf_dir, fx.ECONOMIC), fx.examples(spark, sf_dir)))
+    return _error_columns(E.classify_batch(scored(spark, sf_dir, fx.MODEL_NAMES), fx.examples(spark, sf_dir)))
 
 
 @query(
     "wrong_rows",
-    f"WITH {sql.scored(fx.ECONOMIC)} SELECT {KEYS}, level, predicted_num FROM scored WHERE NOT is_correct",
+    f"WITH {sql.scored(fx.MODEL_NAMES)} SELECT {KEYS}, level, predicted_num FROM scored WHERE NOT is_correct",
 )
 def wrong_rows(spark, sf_dir):
-    read = scoring.read_answers(fx.runs(spark, sf_dir, fx.ECONOMIC))
+    read = scoring.read_answers(fx.runs(spark, sf_dir, fx.MODEL_NAMES))
     return S.wrong_rows(read).select(*KEY, "level", "predicted_num")
 
 
 @query(
     "hallucination",
-    f"""WITH {sql.scored(fx.ECONOMIC)}, found AS (
+    f"""WITH {sql.scored(fx.MODEL_NAMES)}, found AS (
       SELECT {KEYS}, {sql.foreign("coalesce(executed_code, raw_response)", "context")} AS numbers FROM scored)
       SELECT {KEYS}, len(numbers) AS n_foreign, len(numbers) >= 2 AS is_hallucination,
         array_to_string(list_transform(numbers[1:5], lambda n: CAST(CAST(round(n * 100) AS BIGINT) AS VARCHAR)), ',') AS sample_cents
@@ -325,7 +328,7 @@ def wrong_rows(spark, sf_dir):
 )
 def hallucination(spark, sf_dir):
     text = F.coalesce("executed_code", "raw_response")
-    found = scored(spark, sf_dir, fx.ECONOMIC).withColumn("numbers", E.foreign_numbers(text, F.col("context")))
+    found = scored(spark, sf_dir, fx.MODEL_NAMES).withColumn("numbers", E.foreign_numbers(text, F.col("context")))
     cents = F.transform(F.slice("numbers", 1, 5), lambda n: F.round(n * 100).cast("bigint").cast("string"))
     return found.filter(F.col("numbers").isNotNull()).select(
         *KEY,
@@ -355,10 +358,10 @@ def exec_error_type(spark, sf_dir):
 
 @query(
     "needs_analysis",
-    f"WITH {sql.scored(fx.ECONOMIC)} SELECT {KEYS}, error_category FROM scored WHERE error_category IN ({sql.names(dims.ROUTED_CATEGORIES)})",
+    f"WITH {sql.scored(fx.MODEL_NAMES)} SELECT {KEYS}, error_category FROM scored WHERE error_category IN ({sql.names(dims.ROUTED_CATEGORIES)})",
 )
 def needs_analysis(spark, sf_dir):
-    return S.needs_analysis(scored(spark, sf_dir, fx.ECONOMIC)).select(*KEY, "error_category")
+    return S.needs_analysis(scored(spark, sf_dir, fx.MODEL_NAMES)).select(*KEY, "error_category")
 
 
 _LABELS = ["FORMULA_ERROR", "UNIT_ERROR", "LOGIC_ERROR", "INCOMPLETE", "MISUNDERSTANDING", "SOMETHING_ELSE"]
@@ -431,7 +434,7 @@ _ALIAS_SQL = "aliases AS (SELECT * FROM (" + rows(dims.CATEGORY_ALIASES) + ") AS
 
 @query(
     "merge_analysis",
-    f"""WITH {sql.scored(fx.ECONOMIC)}, {_ALIAS_SQL},
+    f"""WITH {sql.scored(fx.MODEL_NAMES)}, {_ALIAS_SQL},
       a AS (SELECT {KEYS}, {_ANALYSIS_SQL} AS analysis FROM scored WHERE NOT is_correct AND pos % 2 = 0),
       f AS (SELECT {KEYS}, {_FIELDS_SQL} FROM a),
       m AS (SELECT s.example_id, s.model_name, s.method,
@@ -443,7 +446,7 @@ _ALIAS_SQL = "aliases AS (SELECT * FROM (" + rows(dims.CATEGORY_ALIASES) + ") AS
       FROM m LEFT JOIN aliases ON label = error_category""",
 )
 def merge_analysis(spark, sf_dir):
-    wrong = S.wrong_rows(scored(spark, sf_dir, fx.ECONOMIC))
+    wrong = S.wrong_rows(scored(spark, sf_dir, fx.MODEL_NAMES))
     fields = A.analysis_fields(_analysis_text())
     analyses = (
         wrong.filter(F.col("pos") % 2 == 0)
@@ -623,7 +626,7 @@ def report_cube(spark, sf_dir):
     return R.report_cube(cells(spark, sf_dir))
 
 
-_CARDS_SQL = f"""WITH {sql.scored(fx.ECONOMIC)}, g AS (
+_CARDS_SQL = f"""WITH {sql.scored(fx.MODEL_NAMES)}, g AS (
   SELECT example_id, level, model_name, method, {_COUNTS} FROM scored GROUP BY 1, 2, 3, 4),
 cards AS (
   SELECT example_id, level, CAST(sum(total) AS BIGINT) AS total, CAST(sum(correct) AS BIGINT) AS correct,
@@ -637,12 +640,12 @@ cards AS (
       correct > total / 2 AS majority, correct < total AS has_wrong, results FROM cards""",
 )
 def problem_cards(spark, sf_dir):
-    return R.problem_cards(scoring.read_answers(fx.runs(spark, sf_dir, fx.ECONOMIC)))
+    return R.problem_cards(scoring.read_answers(fx.runs(spark, sf_dir, fx.MODEL_NAMES)))
 
 
 @query("problem_filter", f"{_CARDS_SQL} SELECT example_id, level, correct, total FROM cards WHERE correct < total")
 def problem_filter(spark, sf_dir):
-    cards = R.problem_cards(scoring.read_answers(fx.runs(spark, sf_dir, fx.ECONOMIC)))
+    cards = R.problem_cards(scoring.read_answers(fx.runs(spark, sf_dir, fx.MODEL_NAMES)))
     return S.problem_filter(cards, "wrong").select("example_id", "level", "correct", "total")
 
 
@@ -681,27 +684,28 @@ def paper_missing(spark, sf_dir):
     return scoring.missing_cases(fx.examples(spark, sf_dir)).select("case_id", "paper_table")
 
 
-_PAPER_RUNS_SQL = f"""WITH {sql.scored(fx.ECONOMIC)}, {_CASES_SQL}, paper_runs AS (
+_PAPER_RUNS_SQL = f"""WITH {sql.scored(fx.MODEL_NAMES)}, {_CASES_SQL}, paper_runs AS (
   SELECT s.*, paper_table, paper_error_type FROM scored s LEFT JOIN fx_cases ON example_id = case_id)"""
 
 
 def _paper_runs(spark, sf_dir, how="inner"):
-    runs = scoring.read_answers(fx.runs(spark, sf_dir, fx.ECONOMIC))
+    runs = scoring.read_answers(fx.runs(spark, sf_dir, fx.MODEL_NAMES))
     cases = F.broadcast(fx.cases(spark))
     return runs.join(cases, runs["example_id"] == cases["case_id"], how)
 
 
 @query(
     "paper_runs",
-    f"""{_PAPER_RUNS_SQL} SELECT {KEYS}, paper_table, is_correct, coalesce(error_category, '') AS error_category, cost_micros
+    f"""{_PAPER_RUNS_SQL} SELECT {KEYS}, paper_table, is_correct, coalesce(error_category, '') AS error_category, coalesce(cost_micros, -1) AS cost_micros
       FROM paper_runs WHERE paper_table IS NOT NULL""",
 )
 def paper_runs(spark, sf_dir):
     cases = F.broadcast(fx.cases(spark))
-    runs = fx.runs(spark, sf_dir, fx.ECONOMIC)
+    runs = fx.runs(spark, sf_dir, fx.MODEL_NAMES)
     chosen = runs.join(cases, runs["example_id"] == cases["case_id"])
     return scoring.score_runs(chosen).select(
-        *KEY, "paper_table", "is_correct", F.coalesce("error_category", F.lit("")).alias("error_category"), "cost_micros"
+        *KEY, "paper_table", "is_correct", F.coalesce("error_category", F.lit("")).alias("error_category"),
+        F.coalesce("cost_micros", F.lit(-1)).alias("cost_micros"),
     )
 
 
@@ -796,13 +800,13 @@ def exp_prompts(spark, sf_dir):
 
 @query(
     "analysis_prompts",
-    f"""WITH {sql.scored(fx.ECONOMIC)}, w AS (SELECT {KEYS}, question, CASE WHEN pos % 4 = 0 THEN '' ELSE repeat(context || ' ', 200) END AS ctx,
+    f"""WITH {sql.scored(fx.MODEL_NAMES)}, w AS (SELECT {KEYS}, question, CASE WHEN pos % 4 = 0 THEN '' ELSE repeat(context || ' ', 200) END AS ctx,
         ground_truth, raw_response, predicted_text FROM scored WHERE error_category IN ({sql.names(dims.ROUTED_CATEGORIES)})),
       p AS (SELECT {KEYS}, {_template_sql(T.ANALYSIS_PROMPT, {"question": "question", "context": f"CASE WHEN ctx = '' THEN {quote(T.NO_CONTEXT)} ELSE left(ctx, 3000) END", "ground_truth": "ground_truth", "predicted_answer": "coalesce(predicted_text, 'None')", "raw_response": "left(repeat(raw_response || ' ', 60), 2000)"})} AS prompt FROM w)
       SELECT {KEYS}, md5(prompt) AS prompt_md5, length(prompt) AS n_chars FROM p""",
 )
 def analysis_prompts(spark, sf_dir):
-    rows_ = S.needs_analysis(scored(spark, sf_dir, fx.ECONOMIC))
+    rows_ = S.needs_analysis(scored(spark, sf_dir, fx.MODEL_NAMES))
     context = F.when(F.col("pos") % 4 == 0, "").otherwise(F.repeat(F.concat("context", F.lit(" ")), 200))
     prompt = prompts.analysis_prompt(
         F.col("question"), context, F.col("ground_truth"), F.col("predicted_text"),

@@ -6,7 +6,7 @@ from rubricon import dims
 from rubricon.functions import answers as A
 from rubricon.functions import numbers as N
 from rubricon.operators import errors as E
-from rubricon.plans.fixtures import ECONOMIC, MODEL_NAMES
+from rubricon.plans.fixtures import MODEL_NAMES
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 
@@ -197,7 +197,7 @@ def answer_steps(models: list[str] | None = None) -> str:
       WHEN 1 THEN [{s1}, {s2}, {s3}, {s4}, {s5}]
       WHEN 2 THEN [{s1}, {s2}, {s3}, {s4x}, {s5x}, {s6}]
       WHEN 3 THEN [{s1}, {s2}, {s3}, {s4}, {s5}, {s6}, {s7}, {s8}] END AS raw_steps
-  FROM fx_solutions e, {grid(models or ECONOMIC, ["COT"])})"""
+  FROM fx_solutions e, {grid(models or MODEL_NAMES, ["COT"])})"""
 
 
 def texts(models: list[str] | None = None) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rubricon import dims
 from rubricon.functions import answers as A
 from rubricon.functions import numbers as N
 from rubricon.functions import programs as P
@@ -14,7 +15,7 @@ from rubricon.operators.binding import bind
 from rubricon.plans import fixtures as fx
 from rubricon.plans import sql
 from rubricon.plans.registry import query
-from rubricon.plans.sql import number, quote, strip
+from rubricon.plans.sql import number, quote, rows, strip
 
 PAIR = ["example_id", "model_name"]
 PAIRS = "example_id, model_name"
@@ -122,18 +123,21 @@ def parse_blocks(spark, sf_dir):
     )
 
 
+#: Models whose answers are chat texts; those of the others are taken as program runs here.
+_CHAT_MODELS = [(m[0], m[2]) for m in dims.MODELS if m[2] in ("openai", "anthropic")]
+
+
 @query(
     "parse_all",
     f"""WITH {_parse_ctes()}, p AS (SELECT {PAIRS}, provider, ground_truth, {_PARSED_SQL.format(line="WHEN provider = 'openai' AND by_line IS NOT NULL THEN " + number("by_line"), line_type="WHEN provider = 'openai' AND by_line IS NOT NULL AND " + number("by_line") + " IS NOT NULL THEN 'numeric'")}
-      FROM lined JOIN (SELECT * FROM (VALUES ('gpt-4o-mini', 'openai'), ('claude-haiku-4', 'anthropic'), ('gemini-2.5-flash', 'program')) AS m(model_name, provider)) USING (model_name))
+      FROM (SELECT lined.*, coalesce(m.provider, 'program') AS provider FROM lined LEFT JOIN ({rows(_CHAT_MODELS)}) AS m(model_name, provider) ON m.model_name = lined.model_name))
       SELECT {PAIRS}, CASE provider WHEN 'program' THEN TRY_CAST(ground_truth AS DOUBLE) ELSE answer_num END AS answer_num,
         CASE provider WHEN 'program' THEN 'success' ELSE parse_status END AS parse_status FROM p""",
 )
 def parse_all(spark, sf_dir):
     rows = _with_found(fx.structured_texts(spark, sf_dir))
-    provider = F.when(F.col("model_name") == "gpt-4o-mini", "openai").when(
-        F.col("model_name") == "claude-haiku-4", "anthropic"
-    )
+    names = {p: [m for m, q in _CHAT_MODELS if q == p] for p in ("openai", "anthropic")}
+    provider = F.when(F.col("model_name").isin(names["openai"]), "openai").when(F.col("model_name").isin(names["anthropic"]), "anthropic")
     run = F.struct(F.lit(True).alias("success"), F.col("ground_truth").alias("output"), F.lit(None).cast("string").alias("error"))
     parsed = bind(rows, {"p": A.parse_response(provider, provider.isNull(), F.col("content"), F.col("found"), run)})
     return parsed.select(*PAIR, N.to_number("p.final_answer").alias("answer_num"), F.col("p.parse_status").alias("parse_status"))
@@ -224,25 +228,25 @@ def _envelope() -> Column:
 
 @query(
     "envelope",
-    f"""WITH {sql.runs(fx.ECONOMIC)} SELECT {PAIRS}, method, md5({strip("raw_response")}) AS text_md5, prompt_tokens, completion_tokens FROM fx_runs""",
+    f"""WITH {sql.runs(fx.MODEL_NAMES)} SELECT {PAIRS}, method, md5({strip("raw_response")}) AS text_md5, prompt_tokens, completion_tokens FROM fx_runs""",
 )
 def envelope(spark, sf_dir):
     m = F.col("model_name")
     provider = F.when(m == "gpt-4o-mini", "openai").when(m == "claude-haiku-4", "anthropic").otherwise("google")
-    runs = fx.runs(spark, sf_dir, fx.ECONOMIC).select(*PAIR, "method", provider.alias("provider"), _envelope().alias("envelope"))
+    runs = fx.runs(spark, sf_dir, fx.MODEL_NAMES).select(*PAIR, "method", provider.alias("provider"), _envelope().alias("envelope"))
     read = bind(runs, {"e": A.read_envelope("provider", "envelope")})
     return read.select(*PAIR, "method", F.md5("e.text").alias("text_md5"), "e.prompt_tokens", "e.completion_tokens")
 
 
 @query(
     "program_result",
-    f"""WITH {sql.runs(fx.ECONOMIC, ["POT"])} SELECT {PAIRS}, CASE WHEN execution_error IS NULL THEN 'success' ELSE 'failed' END AS parse_status,
+    f"""WITH {sql.runs(fx.MODEL_NAMES, ["POT"])} SELECT {PAIRS}, CASE WHEN execution_error IS NULL THEN 'success' ELSE 'failed' END AS parse_status,
       CASE WHEN execution_error IS NULL THEN nullif(regexp_extract(execution_output, 'answer = (.+)', 1), '') END AS answer,
       CASE WHEN execution_error IS NULL THEN 'Code executed successfully' ELSE execution_error END AS parse_message,
       CASE WHEN execution_error IS NULL AND execution_output IS NOT NULL THEN 'numeric' ELSE 'text' END AS answer_type FROM fx_runs""",
 )
 def program_result(spark, sf_dir):
-    runs = bind(fx.runs(spark, sf_dir, fx.ECONOMIC, ["POT"]), {"output": P.program_output_text("execution_output")})
+    runs = bind(fx.runs(spark, sf_dir, fx.MODEL_NAMES, ["POT"]), {"output": P.program_output_text("execution_output")})
     failed = F.col("execution_error").isNotNull()
     made = runs.select(*PAIR, A.program_result(~failed, F.col("output"), F.col("execution_error")).alias("p"))
     return made.select(

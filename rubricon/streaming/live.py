@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rubricon.operators.positions import first_per_key
@@ -57,23 +57,75 @@ def current_totals(spark: SparkSession, path: str) -> DataFrame:
     return first_per_key(written, ["model_name"], F.desc("batch_id")).drop("batch_id")
 
 
-def drop_cached(calls: DataFrame, ttl: str = "24 hours") -> DataFrame:
-    """Drop calls already seen within the TTL; state leaves with the watermark."""
-    return calls.withWatermark("created_at", ttl).dropDuplicatesWithinWatermark(CALL_KEY)
+FOLD_TYPE = "struct<last_kept: timestamp, kept: array<timestamp>>"
 
 
-def run_append(rows: DataFrame, path: str, checkpoint: str) -> None:
-    query = (
-        rows.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def fold_times(times: Column, last_kept: Column, ttl: str) -> Column:
+    """STRUCT<last_kept, kept> of one call key: a time passes unless a kept one lies less than
+    `ttl` before it. Times older than the last kept one have no kept time before them and pass."""
+    none = F.array().cast("array<timestamp>")
+    start = F.struct(last_kept.alias("last_kept"), none.alias("kept")).cast(FOLD_TYPE)
+
+    def step(acc: Column, t: Column) -> Column:
+        last = acc["last_kept"]
+        repeat = F.coalesce((t >= last) & (t < last + F.expr(f"interval {ttl}")), F.lit(False))
+        return F.struct(
+            F.when(repeat, last).otherwise(F.greatest(last, t)).alias("last_kept"),
+            F.when(repeat, acc["kept"]).otherwise(F.array_append(acc["kept"], t)).alias("kept"),
+        ).cast(FOLD_TYPE)
+
+    return F.aggregate(times, start, step)
+
+
+def open_keys(folded: DataFrame, ttl: str, lateness: str) -> DataFrame:
+    """State of the keys that a call at most `lateness` behind the newest could still repeat."""
+    newest = folded.agg(F.max("last_kept")).first()[0]
+    horizon = F.lit(newest) - F.expr(f"interval {ttl}") - F.expr(f"interval {lateness}")
+    return folded.filter(F.col("last_kept") > horizon)
+
+
+def drop_cached(calls: DataFrame, path: str, checkpoint: str, ttl: str = "24 hours", lateness: str = "24 hours") -> None:
+    """Process everything available; each batch appends the calls that no kept call answers.
+
+    State is one time per key, written after each batch; only keys younger than `ttl` and
+    `lateness` are carried on. A batch takes its times in order, whatever the order of its rows,
+    so the kept rows do not depend on how calls that arrive in time order are cut into batches.
+    Of calls with the same key and time one is kept; calls without a time are all kept. Only the
+    distinct times of a key meet in one task, at most those of one batch. A replayed batch reads
+    the state of the one before it and overwrites its own state and rows.
+    """
+    others = [c for c in calls.columns if c not in (*CALL_KEY, "created_at")]
+
+    def slot(batch_id: int) -> str:
+        return f"{path}/state/slot={batch_id % 2}"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        single = F.min(F.struct(F.lit(0).alias("_"), *others)).alias("_row")
+        timed = batch.filter("created_at is not null").groupBy(*CALL_KEY, "created_at").agg(single)
+        seen = timed.select(*CALL_KEY, "created_at", F.lit(None).cast("timestamp").alias("last_kept"))
+        if batch_id:
+            before = open_keys(spark.read.parquet(slot(batch_id - 1)), ttl, lateness)
+            seen = seen.unionByName(before.select(*CALL_KEY, F.lit(None).cast("timestamp").alias("created_at"), "last_kept"))
+        times = seen.groupBy(*CALL_KEY).agg(F.array_sort(F.collect_list("created_at")).alias("times"), F.max("last_kept").alias("last_kept"))
+        folded = times.select(*CALL_KEY, fold_times(F.col("times"), F.col("last_kept"), ttl).alias("f")).select(*CALL_KEY, "f.*")
+        folded.write.mode("overwrite").parquet(slot(batch_id))
+        kept = spark.read.parquet(slot(batch_id)).select(*[F.col(c).alias(f"_{c}") for c in CALL_KEY], F.explode("kept").alias("_at"))
+        match = F.col("created_at") == F.col("_at")
+        for c in CALL_KEY:
+            match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        rows = timed.join(kept, match, "left_semi").select(*CALL_KEY, "created_at", "_row.*").select(*calls.columns)
+        rows.unionByName(batch.filter("created_at is null")).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+
+    query = calls.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
 
 
+def kept_calls(spark: SparkSession, path: str, schema) -> DataFrame:
+    """All calls that `drop_cached` kept under `path`."""
+    return spark.read.schema(schema).parquet(f"{path}/out").drop("batch")
+
+
 def stream_running(spark: SparkSession, results: DataFrame) -> DataFrame:
     """Drive `running_by_model` over a results stream and return the final totals."""
     path = shared_dir(spark, "stream-running")
@@ -82,6 +134,7 @@ def stream_running(spark: SparkSession, results: DataFrame) -> DataFrame:
 
 
 def stream_cache_dedup(spark: SparkSession, calls: DataFrame, ttl: str = "24 hours") -> DataFrame:
+    """Drive `drop_cached` over a stream of calls and return the kept ones."""
     path = shared_dir(spark, "stream-dedup")
-    run_append(drop_cached(calls, ttl), f"{path}/out", f"{path}/state")
-    return spark.read.parquet(f"{path}/out")
+    drop_cached(calls, path, f"{path}/checkpoint", ttl)
+    return kept_calls(spark, path, calls.schema)

@@ -10,7 +10,6 @@ from rubricon.operators import grid, prompts, reports, scoring, selection
 from rubricon.operators.errors import merge_analysis
 from rubricon.operators.positions import running_totals
 from rubricon.plans import fixtures as fx
-from rubricon.plans.catalog import QUERIES
 from rubricon.sources import files, store
 from rubricon.streaming import live
 
@@ -180,11 +179,31 @@ def test_stream_dedup_within_ttl(spark, tmp_path):
     assert sorted(r["example_id"] for r in out.collect()) == ["a", "b"]
 
 
-def test_stream_query_matches_distinct_keys(spark, sf_dir):
-    """One arriving file: every repeat lies within one batch, so the keys are the distinct ones."""
-    out = QUERIES["stream_cache_dedup"](spark, sf_dir)
-    keys = fx.log(spark, sf_dir).select(*store.CALL_KEY)
-    assert sorted(map(tuple, out.select(*store.CALL_KEY).collect())) == sorted(map(tuple, keys.distinct().collect()))
+def _kept_hours(spark, path, hours, cuts):
+    """Hours that stay, when calls of one key (and a null one) arrive in the given batches."""
+    schema = "created_at TIMESTAMP, example_id STRING, model STRING, prompt_hash STRING"
+    start = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    bounds = [0, *cuts, len(hours)]
+    for lo, hi in zip(bounds, bounds[1:]):
+        rows = [(h, key) for h in hours[lo:hi] for key in ("a", None)]
+        df = spark.createDataFrame(rows, "h INT, example_id STRING")
+        at = F.when(F.col("h").isNotNull(), start + F.make_dt_interval(F.lit(0), F.col("h")))
+        df.select(at.alias("created_at"), "example_id", F.lit("m").alias("model"), F.lit("h").alias("prompt_hash")).write.mode("append").parquet(f"{path}/in")
+        live.drop_cached(live.open_stream(spark, f"{path}/in", schema), path, f"{path}/checkpoint")
+    out = live.kept_calls(spark, path, schema).withColumn("h", (F.unix_timestamp("created_at") - F.unix_timestamp(start)) / 3600)
+    found = {key: sorted((r["h"] for r in out.filter(F.col("example_id").eqNullSafe(key)).collect()), key=lambda h: (h is None, h)) for key in ("a", None)}
+    assert found["a"] == found[None]
+    return found["a"]
+
+
+@pytest.mark.parametrize("cuts", [[], [3], [1, 2, 5]])
+def test_stream_dedup_is_the_same_for_any_cut(spark, tmp_path, cuts):
+    """A time passes 24 hours after the last kept one, not after the last seen one."""
+    assert _kept_hours(spark, str(tmp_path), [0, 0, 10, 23, 24, 40, 49, 80], cuts) == [0, 24, 49, 80]
+
+
+def test_stream_dedup_keeps_late_and_timeless_calls(spark, tmp_path):
+    assert _kept_hours(spark, str(tmp_path), [50, 20, None, 60, None], [1, 3]) == [20, 50, None, None]
 
 
 # --- reports, grid, prompts ------------------------------------------------------------
