@@ -16,13 +16,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rubricon.llm.flat import gather_spans, text_bytes
+from rubricon.llm.flat import gather_spans, row_rounds, text_bytes
 from rubricon.llm.pretokens import WordEncoder, encoded_rounds
 
 NO_RANK = np.int64(1 << 40)
+#: Ids that one round of decoding takes; a longer text is gathered in several.
+ROUND_IDS = 1 << 17
 
 
 def printable_bytes() -> dict[str, int]:
@@ -118,7 +121,11 @@ class Vocabulary:
         known = (ids >= 0) & (ids < self.size)
         safe = np.where(known, ids, 0)
         lengths = np.where(known, self.lengths[safe], 0)
-        data = self.flat[gather_spans(self.starts[safe], lengths)]
+        parts = [
+            self.flat[gather_spans(self.starts[safe[lo : lo + ROUND_IDS]], lengths[lo : lo + ROUND_IDS])]
+            for lo in range(0, len(ids), ROUND_IDS)
+        ]
+        data = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
         offsets = np.concatenate([[0], np.cumsum(lengths)])[bounds].astype(np.int64)
         raw = data.tobytes()
         edges = offsets[offsets < len(data)]
@@ -178,14 +185,9 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids")
         encoder = merge_encoder(tokenizer)
         for batch in batches:
             data, offsets = text_bytes(batch.column(text))
-            flat, bounds, total = [], [np.zeros(1, np.int64)], 0
-            for _, _, part, cut in encoded_rounds(encoder, data, offsets):
-                flat.append(part)
-                bounds.append(cut[1:] + total)
-                total += len(part)
-            values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32())
-            made = pa.ListArray.from_arrays(pa.array(np.concatenate(bounds), pa.int32()), values)
-            yield with_column(batch, ids, made)
+            for lo, rows, flat, bounds in encoded_rounds(encoder, data, offsets):
+                made = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
+                yield with_column(batch.slice(lo, rows), ids, made)
 
     return df.mapInArrow(run, replaced_schema(df, ids, "array<int>"))
 
@@ -196,11 +198,11 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded
     def run(batches):
         table = vocabulary(tokenizer)
         for batch in batches:
-            column = batch.column(ids).cast(pa.large_list(pa.int64()))
-            if column.null_count:
-                column = pa.array([x or [] for x in column.to_pylist()], pa.large_list(pa.int64()))
-            bounds = np.asarray(column.offsets)
-            values = np.asarray(column.values.fill_null(-1))[bounds[0] : bounds[-1]]
-            yield with_column(batch, text, table.decode(values, bounds - bounds[0]))
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column(ids)), 0), np.int64)
+            for lo, hi in row_rounds(np.concatenate([[0], np.cumsum(sizes)]), ROUND_IDS):
+                part = batch.slice(lo, hi - lo)
+                values = np.asarray(part.column(ids).flatten().fill_null(-1), np.int64)
+                bounds = np.concatenate([[0], np.cumsum(sizes[lo:hi])])
+                yield with_column(part, text, table.decode(values, bounds))
 
     return df.mapInArrow(run, replaced_schema(df, text, "string"))
