@@ -12,8 +12,8 @@ words. Each is shrunk by `PRIOR` words of the plain corpus, so a short text is n
 and no scale is taken as smaller than its `FLOOR`, so a group of spotless texts keeps a text with
 a single symbol.
 
-Groups of fewer than `LEAST_ROWS` rows share the estimate of their language, and those of the
-whole corpus if that is too small as well; null languages and sources are groups of their own.
+Groups of fewer than `LEAST_ROWS` rows take the estimate of all rows of their language, and that of
+the whole corpus if that is too small as well; null languages and sources are groups of their own.
 Null and empty texts have zero counts and fail the base rules. Rows are kept as they are, repeated
 ones too; columns that have the name of an added one are replaced.
 """
@@ -171,23 +171,19 @@ def moments(rows: DataFrame) -> DataFrame:
     )
 
 
-def grouped(rows: DataFrame, lang: str, source: str) -> DataFrame:
-    """Adds `grp`, the group whose estimate a row uses."""
+def grouped(rows: DataFrame, lang: str, source: str) -> tuple[DataFrame, DataFrame]:
+    """`rows` with `grp`, the group whose estimate a row uses, and `levels`, all groups that it
+    belongs to; and the groups in use (grp)."""
     name = F.to_json(F.struct(F.col(lang).alias("l"), F.col(source).alias("s")))
     language = F.to_json(F.struct(F.col(lang).alias("l")))
-    rows = rows.withColumns({"_fine": name, "_wide": language})
-    fitted = rows.filter(~F.col("base_failed"))
-    fine = fitted.groupBy("_fine").agg(F.count("*").alias("_n_fine"))
-    wide = fitted.groupBy("_wide").agg(F.count("*").alias("_n_wide"))
-    return (
-        rows.join(fine, "_fine", "left")
-        .join(wide, "_wide", "left")
-        .withColumn(
-            "grp",
-            F.when(F.col("_n_fine") >= LEAST_ROWS, F.col("_fine")).when(F.col("_n_wide") >= LEAST_ROWS, F.col("_wide")).otherwise(F.lit("")),
-        )
-        .drop("_fine", "_wide", "_n_fine", "_n_wide")
-    )
+    # Marked by level: without its nulls, a name of one level can equal one of another.
+    rows = rows.withColumns({"_fine": F.concat(F.lit("source "), name), "_wide": F.concat(F.lit("language "), language)})
+    fine = stored(rows.filter(~F.col("base_failed")).groupBy("_fine", "_wide").agg(F.count("*").alias("_n_fine")), "sizes")
+    wide = fine.groupBy("_wide").agg(F.sum("_n_fine").alias("_n_wide"))
+    chosen = F.when(F.col("_n_fine") >= LEAST_ROWS, F.col("_fine")).when(F.col("_n_wide") >= LEAST_ROWS, F.col("_wide")).otherwise(F.lit(""))
+    used = stored(fine.join(wide, "_wide").select("_fine", chosen.alias("grp")), "groups")
+    rows = rows.join(used, "_fine", "left").withColumn("levels", F.array("_fine", "_wide", F.lit(""))).drop("_fine", "_wide")
+    return rows, used.select("grp").distinct()
 
 
 def fitted_estimates(rows: DataFrame) -> DataFrame:
@@ -223,12 +219,15 @@ def judged_counts(counted: DataFrame, lang: str = "lang", source: str = "source"
     """As `judged`, for rows that have their counts and `base_failed`."""
     total = counted.filter("not base_failed").agg(F.sum("word_chars"), F.sum("n_words")).first()
     mean_length = (total[0] or 5) / (total[1] or 1)
-    rows = grouped(counted, lang, source).withColumns(dict(zip(STATISTICS, transformed(mean_length))))
-    found = stored(fitted_estimates(rows.filter("not base_failed").select("grp", *STATISTICS)), "estimates")
+    rows, used = grouped(counted, lang, source)
+    rows = rows.withColumns(dict(zip(STATISTICS, transformed(mean_length))))
+    # A row counts at every level that some row falls back to, not only at its own.
+    members = rows.filter("not base_failed").select(F.explode("levels").alias("grp"), *STATISTICS)
+    found = stored(fitted_estimates(members.join(stored(used, "used"), "grp", "left_semi")), "estimates")
     distance = F.when(~F.col("base_failed"), squared_distance())
     return (
         rows.join(found, "grp", "left")
         .withColumn("distance", distance)
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
-        .drop("grp", "centre", "inverse", *STATISTICS)
+        .drop("grp", "levels", "centre", "inverse", *STATISTICS)
     )

@@ -143,6 +143,22 @@ def test_quality(hard, none, spark, sf_dir):
     assert good == 1.0
 
 
+def plain_text(draw, words=120):
+    """Words of 2-8 letters with a few capitals, no symbols and no repeats."""
+    return " ".join("".join(draw.choice(list("abcdefghijklmnoprstuvw"), draw.integers(2, 9))).capitalize() if draw.random() < 0.1 else "".join(draw.choice(list("abcdefghijklmnoprstuvw"), draw.integers(2, 9))) for _ in range(words))
+
+
+def test_quality_of_a_small_source_is_measured_by_its_language(spark):
+    draw = np.random.default_rng(11)
+    junk = lambda: " ".join("#$%&" + "".join(draw.choice(list("XYZ"), 20)) for _ in range(80))
+    rows = [(k, plain_text(draw), "en", "big") for k in range(300)]
+    rows += [(1000, junk(), "en", "lone"), (1001, plain_text(draw), "en", "clean")]
+    rows += [(1100 + k, junk(), "en", "few") for k in range(5)] + [(1200, junk(), "xx", None), (1300, junk(), "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING")
+    kept = {r["doc_id"] for r in quality.judged(docs).filter("kept").collect()}
+    assert kept == {*range(300), 1001}
+
+
 def brute_fingerprint(text):
     words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
     shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
