@@ -1,9 +1,10 @@
 """Quality rules with a robust multivariate outlier test.
 
 Counts of every text are taken in one pass. Each language and source then has a
-minimum-covariance-determinant estimate of its transformed statistics: from coordinate-wise
-medians, concentration steps fit centre and scatter to the `CORE` share of rows that lie nearest,
-and a last reweighted step uses all rows that fit. Quantiles and moments are partial aggregates
+minimum-covariance-determinant estimate of its transformed statistics: from three deterministic
+starts, concentration steps fit centre and scatter to the (n + p + 1) / 2 rows that lie nearest
+until the determinant no longer falls; the fit with the smallest determinant is taken, and a last
+reweighted step uses all rows that fit. Quantiles and moments are partial aggregates
 over all rows, so a group of any size never meets in one task. A document is rejected if its
 squared Mahalanobis distance is above `CUTOFF`, or by the base rules.
 
@@ -32,7 +33,11 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 STATISTICS = ["word_length", "symbols", "capitals", "lines", "repeats"]
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
-CORE, STEPS, LEAST_ROWS = 0.75, 3, 100
+LEAST_ROWS = 100
+#: The nearest half of a five-dimensional normal law has this part of its scatter.
+CORE_SCATTER = 0.523
+#: Fall of a log determinant below which a fit has converged; accuracy of quantiles.
+SETTLED, ACCURACY = 1e-3, 10_000
 PRIOR = 40.0
 #: Smallest standard deviation taken of each statistic, on its transformed scale.
 FLOOR = [0.03, 0.04, 0.05, 0.15, 0.15]
@@ -140,36 +145,83 @@ def squared_distance() -> Column:
     return sum(terms[1:], terms[0])
 
 
+def symmetric(flat: np.ndarray) -> np.ndarray:
+    """Matrices of the rows of their upper triangles."""
+    p = len(STATISTICS)
+    out = np.zeros((len(flat), p, p))
+    for k, (i, j) in enumerate((i, j) for i in range(p) for j in range(i, p)):
+        out[:, i, j] = out[:, j, i] = flat[:, k]
+    return out
+
+
+ESTIMATES = "grp string, start int, centre array<double>, inverse array<double>, size double"
+
+
+def estimate_rows(grp, start, centre: np.ndarray, scatter: np.ndarray) -> pa.RecordBatch:
+    kind = pa.list_(pa.float64())
+    inverse = np.linalg.inv(scatter).reshape(len(scatter), -1)
+    columns = [grp, start, pa.array(list(centre), kind), pa.array(list(inverse), kind), pa.array(np.linalg.slogdet(scatter)[1], pa.float64())]
+    return pa.RecordBatch.from_arrays(columns, ["grp", "start", "centre", "inverse", "size"])
+
+
 def estimates(moments: DataFrame, inflate: float) -> DataFrame:
-    """(grp, centre, inverse) from each group's count, sums and sums of products."""
+    """(grp, start, centre, inverse, size: log of the scatter's determinant) from each group's
+    count, sums and sums of products."""
     p = len(STATISTICS)
 
     def run(batches):
         for batch in batches:
             n = np.maximum(np.asarray(batch["n"], float), 1)
             sums = np.array(batch["sums"].to_pylist(), float).reshape(-1, p)
-            products = np.zeros((len(n), p, p))
-            flat = np.array(batch["products"].to_pylist(), float).reshape(len(n), -1)
-            for k, (i, j) in enumerate((i, j) for i in range(p) for j in range(i, p)):
-                products[:, i, j] = products[:, j, i] = flat[:, k]
+            products = symmetric(np.array(batch["products"].to_pylist(), float).reshape(len(n), -1))
             centre = sums / n[:, None]
             scatter = (products / n[:, None, None] - centre[:, :, None] * centre[:, None, :]) * inflate
             scatter = (scatter + scatter.transpose(0, 2, 1)) / 2 + np.diag(np.square(FLOOR))
-            inverse = np.linalg.inv(scatter).reshape(len(n), -1)
-            kind = pa.list_(pa.float64())
-            yield pa.RecordBatch.from_arrays([batch["grp"], pa.array(list(centre), kind), pa.array(list(inverse), kind)], ["grp", "centre", "inverse"])
+            yield estimate_rows(batch["grp"], batch["start"], centre, scatter)
+
+    return moments.mapInArrow(run, ESTIMATES)
 
-    return moments.mapInArrow(run, "grp string, centre array<double>, inverse array<double>")
+
+def products(x: list[Column]) -> Column:
+    return F.array(*[F.sum(x[i] * x[j]) for i in range(len(x)) for j in range(i, len(x))])
 
 
 def moments(rows: DataFrame) -> DataFrame:
+    x = [F.col(s) for s in STATISTICS]
+    return rows.groupBy("grp", "start").agg(F.count("*").alias("n"), F.array(*map(F.sum, x)).alias("sums"), products(x).alias("products"))
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """ESTIMATES to start from, three for each group: around coordinate-wise medians, the scatter of
+    median absolute deviations alone, of spatial signs, and of hyperbolic tangents."""
     p = len(STATISTICS)
-    return rows.groupBy("grp").agg(
-        F.count("*").alias("n"),
-        F.array(*[F.sum(s) for s in STATISTICS]).alias("sums"),
-        F.array(*[F.sum(F.col(STATISTICS[i]) * F.col(STATISTICS[j])) for i in range(p) for j in range(i, p)]).alias("products"),
+    middle = [F.percentile_approx(s, 0.5, ACCURACY) for s in STATISTICS]
+    centres = stored(rows.groupBy("grp").agg(F.array(*middle).alias("centre")), "medians")
+    off = [F.col(s) - F.col("centre")[i] for i, s in enumerate(STATISTICS)]
+    # Normal law: a standard deviation is 1.4826 median absolute deviations.
+    scale = [F.sqrt(F.pow(1.4826 * F.percentile_approx(F.abs(x), 0.5, ACCURACY), 2) + f * f) for x, f in zip(off, FLOOR)]
+    spread = rows.join(centres, "grp").groupBy("grp").agg(F.array(*scale).alias("scale"))
+    frames = stored(centres.join(spread, "grp"), "scales")
+    z = [F.col(f"z{i}") for i in range(p)]
+    scaled = rows.join(frames, "grp").select("grp", *[(off[i] / F.col("scale")[i]).alias(f"z{i}") for i in range(p)])
+    length = F.greatest(F.sqrt(sum((x * x for x in z[1:]), z[0] * z[0])), F.lit(1e-9))
+    summed = scaled.groupBy("grp").agg(
+        F.count("*").alias("n"), products([x / length for x in z]).alias("signs"), products([F.tanh(x) for x in z]).alias("tanhs")
     )
 
+    def run(batches):
+        for batch in batches:
+            n = np.asarray(batch["n"], float)[:, None, None]
+            centre, scale = (np.array(batch[c].to_pylist(), float).reshape(-1, p) for c in ("centre", "scale"))
+            shapes = [np.tile(np.eye(p), (len(n), 1, 1))]
+            for c, factor in (("signs", p), ("tanhs", 2)):
+                shapes.append(symmetric(np.array(batch[c].to_pylist(), float).reshape(len(n), -1)) / n * factor + 0.01 * np.eye(p))
+            for k, shape in enumerate(shapes):
+                start = pa.array(np.full(len(n), k, np.int32))
+                yield estimate_rows(batch["grp"], start, centre, shape * scale[:, :, None] * scale[:, None, :])
+
+    return summed.join(frames, "grp").mapInArrow(run, ESTIMATES)
+
 
 def grouped(rows: DataFrame, lang: str, source: str) -> tuple[DataFrame, DataFrame]:
     """`rows` with `grp`, the group whose estimate a row uses, and `levels`, all groups that it
@@ -188,22 +240,32 @@ def grouped(rows: DataFrame, lang: str, source: str) -> tuple[DataFrame, DataFra
 
 def fitted_estimates(rows: DataFrame) -> DataFrame:
     """(grp, centre, inverse) of every group, from `rows` (grp, STATISTICS)."""
-    start = rows.groupBy("grp").agg(*[F.percentile_approx(s, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(s) for s in STATISTICS])
-    # Normal law: an interquartile range is 1.349 standard deviations.
-    spread = [F.pow((F.col(s)[2] - F.col(s)[0]) / 1.349, 2) + f * f for s, f in zip(STATISTICS, FLOOR)]
-    p = len(STATISTICS)
-    diagonal = [1 / spread[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p)]
-    current = start.select("grp", F.array(*[F.col(s)[1] for s in STATISTICS]).alias("centre"), F.array(*diagonal).alias("inverse"))
-    for step in range(STEPS + 1):
-        near = rows.join(stored(current, "estimates"), "grp").select("grp", *STATISTICS, squared_distance().alias("d2"))
-        if step < STEPS:
-            core = near.groupBy("grp").agg(F.percentile_approx("d2", CORE, 1000).alias("limit"))
-            chosen = near.join(core, "grp").filter("d2 <= limit")
-        else:
-            chosen = near.filter(F.col("d2") <= REWEIGHT)
-        # The nearest 75 % of a five-dimensional normal law have 0.65 of its scatter.
-        current = estimates(moments(chosen), 1 / 0.65 if step < STEPS else 1.0)
-    return current
+
+    def near(current: DataFrame) -> DataFrame:
+        return rows.join(current.select("grp", "start", "centre", "inverse"), "grp").select("grp", "start", *STATISTICS, squared_distance().alias("d2"))
+
+    # The core has (n + p + 1) / 2 rows: the next of these shares of a group that has at least as many.
+    shares = [0.5 + k / 100 for k in range(51)]
+    above = F.ceil(50 * (len(STATISTICS) + 1) / F.count("*"))
+    limit = F.get(F.percentile_approx("d2", F.array(*map(F.lit, shares)), ACCURACY), F.least(above, F.lit(50)).cast("int"))
+    current = stored(starts(rows), "estimates")
+    least = None
+    while True:
+        core = stored(near(current).groupBy("grp", "start").agg(limit.alias("limit")), "limits")
+        chosen = near(current).join(core, ["grp", "start"]).filter("d2 <= limit")
+        current = stored(estimates(moments(chosen), 1 / CORE_SCATTER), "estimates")
+        now = current.select("grp", "start", F.col("size").alias("now"))
+        if least is None:
+            least = stored(now.withColumnsRenamed({"now": "least"}), "sizes")
+            continue
+        # A step lowers the determinant or leaves it; approximate quantiles alone could raise it again.
+        met = now.join(least, ["grp", "start"])
+        if met.filter(F.col("now") < F.col("least") - SETTLED).isEmpty():
+            break
+        least = stored(met.select("grp", "start", F.least("now", "least").alias("least")), "sizes")
+    best = current.groupBy("grp").agg(F.min_by(F.struct("start", "centre", "inverse"), F.struct("size", "start")).alias("best")).select("grp", "best.*")
+    fitting = near(stored(best, "best")).filter(F.col("d2") <= REWEIGHT)
+    return estimates(moments(fitting), 1.0).select("grp", "centre", "inverse")
 
 
 def judged(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -159,6 +159,15 @@ def test_quality_of_a_small_source_is_measured_by_its_language(spark):
     assert kept == {*range(300), 1001}
 
 
+def test_quality_stands_a_third_of_equal_junk(spark):
+    draw = np.random.default_rng(12)
+    copy = " ".join("".join(draw.choice(list("abcdefgh#$"), 6)) for _ in range(90))
+    rows = [(k, plain_text(draw), "en", "s") for k in range(200)] + [(1000 + k, copy, "en", "s") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING")
+    kept = {r["doc_id"] for r in quality.judged(docs).filter("kept and not base_failed").collect()}
+    assert kept == set(range(200))
+
+
 def brute_fingerprint(text):
     words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
     shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
