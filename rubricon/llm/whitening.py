@@ -65,8 +65,8 @@ def integers(df: DataFrame, vector: str, out: str) -> DataFrame:
 
 def fit_list(df: DataFrame, vector: str) -> tuple[DataFrame, int]:
     """(blocks of distinct integer vectors as binary, dimension); dimension 0 for no rows."""
-    distinct = integers(df.select(vector), vector, "x").select("x").distinct()
-    top = distinct.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    rows = integers(df.select(vector), vector, "x").select("x")
+    top = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     d = int(top["d"]) if top else 0
 
     def run(batches):
@@ -84,7 +84,7 @@ def fit_list(df: DataFrame, vector: str) -> tuple[DataFrame, int]:
         parts = [whole[k : k + BLOCK_ROWS] for k in range(0, len(whole), BLOCK_ROWS)]
         return pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in parts], pa.binary())], ["block"])
 
-    return stored(distinct.filter(F.size("x") == d).mapInArrow(run, "block binary"), "fit-list"), d
+    return stored(rows.filter(F.size("x") == d).distinct().mapInArrow(run, "block binary"), "fit-list"), d
 
 
 def pass_over(blocks: DataFrame, d: int, work, width: int) -> np.ndarray:
