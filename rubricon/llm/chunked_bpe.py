@@ -118,14 +118,14 @@ def binary_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8, offsets[-1] - offsets[0], offsets[0]), offsets - offsets[0]
 
 
-def encoded(column_bytes, kept: list[str] | None, column: str, ids: str, path: str):
-    """A function over Arrow batches that adds the ids of a column; `kept` are the columns that stay (None: all)."""
+def encoded(column_bytes, kept: list[str], column: str, ids: str, path: str):
+    """A function over Arrow batches that adds the ids of a column to the columns `kept`."""
 
     def run(batches):
         encoder = rank_encoder(path)
         for batch in batches:
             data, offsets = column_bytes(batch.column(column))
-            rest = batch if kept is None else batch.select(kept)
+            rest = batch.select(kept)
             for lo, hi in row_rounds(offsets):
                 begin, end = offsets[lo], offsets[hi]
                 flat, bounds = encoder.ids_of(data[begin:end], offsets[lo : hi + 1] - begin)
@@ -212,14 +212,17 @@ def stitched_ids(texts: DataFrame, path: str, chunk: int, overlap: int) -> DataF
         texts, chunk, overlap = texts.join(apart, "key", "left_semi"), 4 * chunk, 4 * overlap
 
 
-def encode(df: DataFrame, ranks: str, text: str = "text", ids: str = "ids", chunk: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES) -> DataFrame:
-    """Adds the ids of `text` by the rank file `ranks` as an array of int.
+def encode(
+    df: DataFrame, ranks: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None, chunk: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES
+) -> DataFrame:
+    """The columns `keep` (None: all) and the ids of `text` by the rank file `ranks` as an array of int.
 
     `df` is read twice, once for the texts of a single chunk and once for longer ones; the latter
     are written to shared storage with a key before they are cut."""
-    df, size = df.drop(ids), F.coalesce(F.octet_length(text), F.lit(0))
-    schema = replaced_schema(df, ids, "array<int>")
-    short = df.filter(size <= chunk).mapInArrow(encoded(text_bytes, None, text, ids, ranks), schema)
+    keep = [c for c in (keep or df.columns) if c.lower() != ids.lower()]
+    df, size = df.select(*dict.fromkeys([*keep, text])), F.coalesce(F.octet_length(text), F.lit(0))
+    schema = replaced_schema(df.select(keep), ids, "array<int>")
+    short = df.filter(size <= chunk).mapInArrow(encoded(text_bytes, keep, text, ids, ranks), schema)
     key = "key"
     while key.lower() in (c.lower() for c in [*df.columns, ids]):
         key = f"_{key}"
@@ -227,26 +230,20 @@ def encode(df: DataFrame, ranks: str, text: str = "text", ids: str = "ids", chun
     if long.isEmpty():
         return short
     found = stitched_ids(long.select(F.col(key).alias("key"), F.col(text).alias("text")), ranks, chunk, overlap)
-    joined = long.join(found.select(F.col("key").alias(key), F.col("ids").alias(ids)), key).drop(key)
+    joined = long.join(found.select(F.col("key").alias(key), F.col("ids").alias(ids)), key)
     return short.unionByName(joined.select(short.columns))
 
 
-def pack_ids(df: DataFrame, ids: str = "ids", out: str = "packed") -> DataFrame:
-    """Adds the ids as little-endian unsigned 32-bit integers, one binary value a row."""
-
-    def run(batches):
-        for batch in batches:
-            sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column(ids)), 0), np.int64)
-            raw = np.asarray(batch.column(ids).flatten().fill_null(0)).astype("<u4").tobytes()
-            offsets = 4 * np.concatenate([[0], np.cumsum(sizes)])
-            made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-            yield with_column(batch, out, made.cast(pa.binary()))
-
-    return df.mapInArrow(run, replaced_schema(df, out, "binary"))
+def packed_ids(column: pa.Array, sizes: np.ndarray) -> pa.Array:
+    """Id lists as little-endian unsigned 32-bit integers, one binary value each."""
+    raw = np.asarray(column.flatten().fill_null(0)).astype("<u4").tobytes()
+    offsets = 4 * np.concatenate([[0], np.cumsum(sizes)])
+    made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+    return made.cast(pa.binary())
 
 
-def decode(df: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the bytes of `ids`, put one behind the other."""
+def decode(df: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded", packed: str | None = None) -> DataFrame:
+    """Adds the bytes of `ids`, put one behind the other; with `packed`, also the ids in their packed form under that name."""
 
     def run(batches):
         flat, starts, lengths = byte_table(ranks)
@@ -261,6 +258,8 @@ def decode(df: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded") ->
                 data = b"".join(flat[gather_spans(starts[values[r]], takes[r])].tobytes() for r in rounds)
                 offsets = np.concatenate([[0], np.cumsum(takes)])[np.concatenate([[0], np.cumsum(sizes[lo:hi])])].astype(np.int64)
                 made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-                yield with_column(part, out, made.cast(pa.binary()))
+                part = with_column(part, out, made.cast(pa.binary()))
+                yield part if packed is None else with_column(part, packed, packed_ids(part.column(ids), sizes[lo:hi]))
 
-    return df.mapInArrow(run, replaced_schema(df, out, "binary"))
+    schema = replaced_schema(df, out, "binary")
+    return df.mapInArrow(run, schema if packed is None else replaced_schema(df.drop(out).withColumn(out, F.lit(None).cast("binary")), packed, "binary"))

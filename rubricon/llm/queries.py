@@ -121,9 +121,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op11_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = chunked_bpe.encode(documents(spark, sf_dir), BYTE_RANKS).select("doc_id", "ids")
-    found = chunked_bpe.pack_ids(chunked_bpe.decode(ids, BYTE_RANKS))
-    return found.select(
+    ids = chunked_bpe.encode(documents(spark, sf_dir), BYTE_RANKS, keep=["doc_id"])
+    return chunked_bpe.decode(ids, BYTE_RANKS, packed="packed").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2("packed", 256).alias("ids_sha256"),

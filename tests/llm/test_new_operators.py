@@ -43,7 +43,7 @@ def test_chunks_encode_as_the_library(spark, chunk, overlap):
     texts = long_texts()
     found = chunked_bpe.encode(docs_of(spark, texts), RANKS, chunk=chunk, overlap=overlap)
     assert sorted(found.columns) == ["doc_id", "ids", "key", "text"]
-    rows = chunked_bpe.pack_ids(chunked_bpe.decode(found, RANKS)).collect()
+    rows = chunked_bpe.decode(found, RANKS, packed="packed").collect()
     assert Counter(r["text"] for r in rows) == Counter(texts) and {r["key"] for r in rows} == {"kept"}
     for r in rows:
         want = ENCODING.encode_ordinary(r["text"] or "")
@@ -60,6 +60,8 @@ def test_stitches_of_a_few_long_pre_tokens_take_few_rounds(spark):
 
 def test_chunks_of_nothing_and_unknown_ids(spark):
     assert chunked_bpe.encode(docs_of(spark, ["x"]).limit(0), RANKS).count() == 0
+    kept = chunked_bpe.encode(docs_of(spark, ["a b", "x " * 300]), RANKS, keep=["key", "doc_id"], chunk=100, overlap=40)
+    assert kept.columns == ["key", "doc_id", "ids"] and kept.count() == 2
     ids = spark.createDataFrame([([99999, 72, -1, 73],), ([],), (None,)], "ids ARRAY<INT>")
     want = ENCODING.decode_bytes([72, 73])
     assert [bytes(r["decoded"]) for r in chunked_bpe.decode(ids, RANKS).collect()] == [want, b"", b""]
