@@ -85,18 +85,26 @@ def score_runs(runs: DataFrame) -> DataFrame:
     ).drop("error", "call_error")
 
 
+def with_truth_steps(examples: DataFrame) -> DataFrame:
+    """Add `truth_steps`, read from `python_solution`. Before examples meet models, so that a
+    program is read once, not once per model."""
+    none = F.array().cast(f"array<{S.STEP_TYPE.simpleString()}>")
+    return bind(examples, {"truth_steps": F.coalesce(S.truth_steps("python_solution"), none)})
+
+
 def metrics(answers: DataFrame) -> DataFrame:
     """All step and answer measures per (example, model), computed inside the row.
 
-    Reads `ground_truth, python_solution, raw_steps, final_answer, raw_response`.
+    Reads `ground_truth, raw_steps, final_answer, raw_response` and `truth_steps`, or
+    `python_solution` where these have not been read yet.
     """
     t, a = F.col("truth_steps"), F.col("answer_steps")
-    prepared = answers.withColumns(
+    prepared = bind(
+        answers if "truth_steps" in answers.columns else with_truth_steps(answers),
         {
-            "truth_steps": F.coalesce(S.truth_steps("python_solution"), F.array().cast(f"array<{S.STEP_TYPE.simpleString()}>")),
             "answer_steps": S.answer_steps("raw_steps"),
             "_final": N.compare_final("ground_truth", F.coalesce("final_answer", "raw_response")),
-        }
+        },
     )
     measured = prepared.withColumns(
         {

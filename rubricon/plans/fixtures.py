@@ -134,12 +134,14 @@ def step(kind: str, description: Column, snippet: Column, number: int) -> Column
     )
 
 
-def answer_step_rows(spark: SparkSession, sf_dir: str, models: list[str] | None = None) -> DataFrame:
-    """Examples × models with the raw steps of each answer (`raw_steps`), five variants."""
+def answer_step_rows(spark: SparkSession, sf_dir: str, models: list[str] | None = None, solved: DataFrame | None = None) -> DataFrame:
+    """Examples × models with the raw steps of each answer (`raw_steps`), five variants.
+
+    `solved` are the solutions with further columns that belong to the example alone."""
     def written(number: int, kind: str, label: str, code: Column, as_kind: str | None = None) -> Column:
         return step(as_kind or kind, F.concat(F.lit(label), code), code, number)
 
-    base = solutions(spark, sf_dir).select("*", F.inline(grid_cells(models or MODEL_NAMES, ["COT"])))
+    base = (solutions(spark, sf_dir) if solved is None else solved).select("*", F.inline(grid_cells(models or MODEL_NAMES, ["COT"])))
     qty = F.concat(F.lit("qty = "), (F.col("pos") % 50).cast("string"))
     price = F.concat(F.lit("price = "), F.col("cents").cast("string"))
     d, calc, cond, ret = "variable_definition", "calculation", "conditional", "return_result"

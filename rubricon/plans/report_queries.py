@@ -434,14 +434,14 @@ _ALIAS_SQL = "aliases AS (SELECT * FROM (" + rows(dims.CATEGORY_ALIASES) + ") AS
 
 @query(
     "merge_analysis",
+    # An analysis exists for every second example; its fields depend on the example alone.
     f"""WITH {sql.scored(fx.MODEL_NAMES)}, {_ALIAS_SQL},
-      a AS (SELECT {KEYS}, {_ANALYSIS_SQL} AS analysis FROM scored WHERE NOT is_correct AND pos % 2 = 0),
-      f AS (SELECT {KEYS}, {_FIELDS_SQL} FROM a),
-      m AS (SELECT s.example_id, s.model_name, s.method,
-        CASE WHEN f.example_id IS NOT NULL AND error_category IN ({sql.names(dims.ROUTED_CATEGORIES)}) THEN lower(f.error_type) ELSE error_category END AS error_category,
-        CASE WHEN f.example_id IS NOT NULL AND error_category IN ({sql.names(dims.ROUTED_CATEGORIES)}) THEN f.confidence ELSE
-          CASE error_category WHEN 'numerical_calculation_error' THEN 0.7 WHEN 'hallucination' THEN 0.6 WHEN 'unknown' THEN 0.3 ELSE 0.95 END END::DOUBLE AS error_confidence
-        FROM scored s LEFT JOIN f ON s.example_id = f.example_id AND s.model_name = f.model_name AND s.method = f.method WHERE NOT is_correct)
+      wrong AS (SELECT {KEYS}, pos, error_category AS rule, {_ANALYSIS_SQL} AS analysis FROM scored WHERE NOT is_correct),
+      routed AS (SELECT {KEYS}, rule, CASE WHEN pos % 2 = 0 AND rule IN ({sql.names(dims.ROUTED_CATEGORIES)}) THEN analysis END AS analysis FROM wrong),
+      fields AS (SELECT {KEYS}, rule, analysis, {_FIELDS_SQL} FROM routed),
+      m AS (SELECT {KEYS}, CASE WHEN analysis IS NULL THEN rule ELSE lower(error_type) END AS error_category,
+        CASE WHEN analysis IS NOT NULL THEN confidence WHEN rule = 'numerical_calculation_error' THEN 0.7
+          WHEN rule = 'hallucination' THEN 0.6 WHEN rule = 'unknown' THEN 0.3 ELSE 0.95 END::DOUBLE AS error_confidence FROM fields)
       SELECT {KEYS}, error_category, coalesce(alias_of, error_category) AS mapped_category, error_confidence
       FROM m LEFT JOIN aliases ON label = error_category""",
 )

@@ -178,8 +178,8 @@ def _step(n: int, kind: str, description: str, snippet: str) -> str:
     )
 
 
-def answer_steps(models: list[str] | None = None) -> str:
-    """CTEs up to `fx_answer_steps`."""
+def answer_steps(models: list[str] | None = None, truth: str = "") -> str:
+    """CTEs up to `fx_answer_steps`; `truth` is a list of columns that are worked out once per example."""
     qty, price = "'qty = ' || (pos % 50)", "'price = ' || cents"
     d, calc, cond, ret = "variable_definition", "calculation", "conditional", "return_result"
     s1 = _step(1, d, f"'Define variable: ' || {qty}", qty)
@@ -191,13 +191,14 @@ def answer_steps(models: list[str] | None = None) -> str:
     s4x = s4.replace(f"'{calc}'", "'CONDITIONAL'")
     s5x = s5.replace(f"'{cond}'", "'other'")
     s7, s8 = (_step(n, calc, "'Check the total'", "''") for n in (7, 8))
-    return f"""{EXAMPLES}, {SOLUTIONS}, fx_answer_steps AS (
+    solved = f"fx_solved AS MATERIALIZED (SELECT *, {truth} FROM fx_solutions), " if truth else ""
+    return f"""{EXAMPLES}, {SOLUTIONS}, {solved}fx_answer_steps AS (
   SELECT e.*, g.*, CASE (pos + ord) % 5
       WHEN 0 THEN [{s1}, {s2}, {s3}, {s4}, {s5}, {s6}]
       WHEN 1 THEN [{s1}, {s2}, {s3}, {s4}, {s5}]
       WHEN 2 THEN [{s1}, {s2}, {s3}, {s4x}, {s5x}, {s6}]
       WHEN 3 THEN [{s1}, {s2}, {s3}, {s4}, {s5}, {s6}, {s7}, {s8}] END AS raw_steps
-  FROM fx_solutions e, {grid(models or MODEL_NAMES, ["COT"])})"""
+  FROM {"fx_solved" if truth else "fx_solutions"} e, {grid(models or MODEL_NAMES, ["COT"])})"""
 
 
 def texts(models: list[str] | None = None) -> str:

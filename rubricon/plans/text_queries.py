@@ -393,26 +393,30 @@ def _similarity_sql(a: str, b: str) -> str:
       ELSE coalesce(len(list_intersect({x}, {y})) / nullif(len({x}) + len({y}) - len(list_intersect({x}, {y})), 0), 0.0) END)::DOUBLE"""
 
 
-_MEASURES_SQL = f"""{sql.answer_steps()}, {_TRUTH_ROWS_SQL}, {_ANSWER_ROWS_SQL},
-t AS (SELECT example_id, list(struct_pack(n := step_number, k := step_type, d := description) ORDER BY step_number) AS ts FROM truth_steps GROUP BY 1),
-a AS (SELECT {PAIRS}, list(struct_pack(n := step_number, k := step_type, d := description) ORDER BY step_number) AS ans FROM answers GROUP BY 1, 2),
-both_lists AS (SELECT f.*, ts, ans FROM fx_answer_steps f LEFT JOIN t USING (example_id) LEFT JOIN a USING ({PAIRS})),
-step_pairs AS (SELECT x.example_id, x.model_name, count(*) AS matched FROM truth_steps t
-  JOIN answers x ON x.example_id = t.example_id AND x.step_number = t.step_number AND x.step_type = t.step_type
-    AND {_similarity_sql("t.description", "x.description")} > 0.5 GROUP BY 1, 2),
-measured AS (SELECT b.*, coalesce(matched, 0) AS matched,
-  CASE WHEN ans IS NULL THEN 0.0 ELSE coalesce(matched, 0) / len(ts) END::DOUBLE AS step_completeness,
+# Truth steps once per example, answer steps and measures within the row: nothing is joined back.
+_TRUTH_LIST_SQL = f"""list_filter(list_transform(list_transform(string_split({strip("python_solution")}, chr(10)), lambda l: {strip("l")}), lambda l, i:
+  struct_pack(n := i, k := CASE WHEN l = '' THEN NULL WHEN len(string_split(l, '=')) = 2 THEN 'variable_definition' WHEN regexp_matches(l, '[+\\-*/]') THEN 'calculation'
+    WHEN contains(l, 'if') THEN 'conditional' WHEN contains(l, 'return') OR contains(l, 'answer') THEN 'return_result' END, l := l)), lambda s: s.k IS NOT NULL) AS lines,
+list_transform(lines, lambda s: struct_pack(n := s.n, k := s.k, d := CASE s.k WHEN 'variable_definition' THEN 'Define variable: ' WHEN 'calculation' THEN 'Calculate: '
+    WHEN 'conditional' THEN 'Conditional check: ' ELSE 'Return result: ' END || s.l)) AS ts"""
+_MEASURES_SQL = f"""{sql.answer_steps(truth=_TRUTH_LIST_SQL)},
+both_lists AS (SELECT * EXCLUDE (raw_steps, lines), list_transform(raw_steps, lambda s, i: struct_pack(n := i, d := s.description,
+  k := CASE WHEN lower(s.step_type) IN ('variable_definition', 'calculation', 'conditional', 'return_result') THEN lower(s.step_type) ELSE 'variable_definition' END)) AS ans FROM fx_answer_steps),
+typed AS (SELECT *, list_transform(ts, lambda s: s.k) AS tk, list_transform(ans, lambda s: s.k) AS ak, list_transform(ts, lambda s: s.n) AS tn FROM both_lists),
+measured AS (SELECT *,
+  CASE WHEN ans IS NULL THEN 0 ELSE len(list_filter(ts, lambda t: CASE WHEN ans[t.n].k = t.k THEN {_similarity_sql("t.d", "ans[t.n].d")} > 0.5 ELSE FALSE END)) END AS matched,
+  CASE WHEN ans IS NULL THEN 0.0 ELSE matched / len(ts) END::DOUBLE AS step_completeness,
   CASE WHEN ans IS NULL THEN FALSE ELSE len(ts) = len(ans) END AS step_count_equal,
-  CASE WHEN ans IS NULL THEN 0.0 WHEN list_transform(ts, lambda s: s.k)[1:least(len(ts), len(ans))] = list_transform(ans, lambda s: s.k)[1:least(len(ts), len(ans))] THEN 1.0 ELSE 0.5 END::DOUBLE AS step_order_correct,
-  CASE WHEN ans IS NULL THEN 0.0 ELSE len(list_intersect(list_distinct(list_transform(ts, lambda s: s.k)), list_distinct(list_transform(ans, lambda s: s.k))))
-    / len(list_distinct(list_concat(list_transform(ts, lambda s: s.k), list_transform(ans, lambda s: s.k)))) END::DOUBLE AS reasoning_similarity,
-  CASE WHEN ans IS NULL THEN 0 ELSE len(list_filter(list_distinct(list_transform(ans, lambda s: s.n)), lambda n: NOT list_contains(list_transform(ts, lambda s: s.n), n))) END AS n_extra
-  FROM both_lists b LEFT JOIN step_pairs USING ({PAIRS}))"""
+  CASE WHEN ans IS NULL THEN 0.0 WHEN tk[1:least(len(tk), len(ak))] = ak[1:least(len(tk), len(ak))] THEN 1.0 ELSE 0.5 END::DOUBLE AS step_order_correct,
+  CASE WHEN ans IS NULL THEN 0.0 ELSE len(list_intersect(list_distinct(tk), list_distinct(ak))) / len(list_distinct(list_concat(tk, ak))) END::DOUBLE AS reasoning_similarity,
+  CASE WHEN ans IS NULL THEN 0 ELSE len(list_filter(ans, lambda a: NOT list_contains(tn, a.n))) END AS n_extra
+  FROM typed)"""
 
 
 def _lists(spark, sf_dir) -> DataFrame:
-    rows = fx.answer_step_rows(spark, sf_dir)
-    return bind(rows, {"t": S.truth_steps("python_solution"), "a": S.answer_steps("raw_steps")})
+    """Truth steps, read once per example, and answer steps of every model."""
+    solved = bind(fx.solutions(spark, sf_dir), {"t": S.truth_steps("python_solution")})
+    return bind(fx.answer_step_rows(spark, sf_dir, solved=solved), {"a": S.answer_steps("raw_steps")})
 
 
 @query("step_match", f"WITH {_MEASURES_SQL} SELECT {PAIRS}, matched FROM measured WHERE ans IS NOT NULL")
@@ -466,13 +470,13 @@ _RESULT_SQL = "coalesce(tn IS NOT NULL AND an IS NOT NULL AND abs(tn - an) < 0.0
 _TYPE_SQL = "(tn IS NOT NULL AND an IS NOT NULL AND NOT starts_with(upper(coalesce(final_answer, raw)), 'ANSWER:'))"
 
 
-def _final_rows(spark, sf_dir) -> DataFrame:
+def _final_rows(spark, sf_dir, solved: DataFrame | None = None) -> DataFrame:
     raw = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("ANSWER: "), "ground_truth")).otherwise(F.col("ground_truth"))
-    return fx.answer_step_rows(spark, sf_dir).withColumns({"final_answer": _final_answer(), "raw_response": raw})
+    return fx.answer_step_rows(spark, sf_dir, solved=solved).withColumns({"final_answer": _final_answer(), "raw_response": raw})
 
 
-_FINAL_ROWS_SQL = f"""finals AS (SELECT {PAIRS}, pos, ground_truth, {_FINAL_SQL} AS final_answer,
-  CASE WHEN pos % 2 = 0 THEN 'ANSWER: ' || ground_truth ELSE ground_truth END AS raw FROM fx_answer_steps),
+_FINAL_COLUMNS_SQL = f"{_FINAL_SQL} AS final_answer, CASE WHEN pos % 2 = 0 THEN 'ANSWER: ' || ground_truth ELSE ground_truth END AS raw"
+_FINAL_ROWS_SQL = f"""finals AS (SELECT {PAIRS}, pos, ground_truth, {_FINAL_COLUMNS_SQL} FROM fx_answer_steps),
 compared AS (SELECT *, {_COMPARE_SQL} FROM finals)"""
 
 
@@ -487,7 +491,12 @@ def compare_final(spark, sf_dir):
 
 _SCORE_SQL = """round(final_correct::INT * 0.4::DOUBLE + step_completeness * 0.3::DOUBLE + step_order_correct * 0.1::DOUBLE
   + (1.0::DOUBLE - n_extra / len(ts)) * 0.2::DOUBLE, 6)"""
-_SCORED_SQL = f"{_MEASURES_SQL}, {_FINAL_ROWS_SQL}, full_rows AS (SELECT m.*, c.final_correct, c.final_type FROM measured m JOIN (SELECT {PAIRS}, {_RESULT_SQL} AS final_correct, {_TYPE_SQL} AS final_type FROM compared) c USING ({PAIRS}))"
+_SCORED_SQL = f"""{_MEASURES_SQL}, finals AS (SELECT *, {_FINAL_COLUMNS_SQL} FROM measured), compared AS (SELECT * EXCLUDE (tn), {_COMPARE_SQL} FROM finals),
+full_rows AS (SELECT *, {_RESULT_SQL} AS final_correct, {_TYPE_SQL} AS final_type FROM compared)"""
+
+
+def _metrics(spark, sf_dir) -> DataFrame:
+    return scoring.metrics(_final_rows(spark, sf_dir, scoring.with_truth_steps(fx.solutions(spark, sf_dir))))
 
 
 @query(
@@ -497,7 +506,7 @@ _SCORED_SQL = f"{_MEASURES_SQL}, {_FINAL_ROWS_SQL}, full_rows AS (SELECT m.*, c.
       round(n_extra / len(ts), 6) AS hallucination_rate, n_extra > 0 AS has_hallucination, {_SCORE_SQL} AS overall_reasoning_score FROM full_rows""",
 )
 def metrics(spark, sf_dir):
-    m = scoring.metrics(_final_rows(spark, sf_dir))
+    m = _metrics(spark, sf_dir)
     rounded = ["step_completeness", "reasoning_similarity", "hallucination_rate", "overall_reasoning_score"]
     plain = ["final_answer_correct", "final_answer_matches_type", "step_count_equal", "step_order_correct", "has_hallucination"]
     return m.select(*PAIR, *plain, *[F.round(c, 6).alias(c) for c in rounded])
@@ -508,7 +517,7 @@ def metrics(spark, sf_dir):
     f"WITH {_SCORED_SQL} SELECT model_name, count(*) AS answers, round(avg({_SCORE_SQL}), 6) AS avg_score FROM full_rows GROUP BY 1",
 )
 def overall_score(spark, sf_dir):
-    m = scoring.metrics(_final_rows(spark, sf_dir))
+    m = _metrics(spark, sf_dir)
     score = F.round("overall_reasoning_score", 6)
     return m.groupBy("model_name").agg(F.count(F.lit(1)).alias("answers"), F.round(F.avg(score), 6).alias("avg_score"))
 
