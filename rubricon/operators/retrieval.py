@@ -1,16 +1,18 @@
 """Finding library functions for questions by exact keyword Jaccard.
 
-The plan follows the measured number of postings (keywords over all rows) on both sides:
-
-* The smaller side fits the broadcast bound: the other side is spread by its own id once,
-  as narrow rows, and meets the broadcast posting table. Common keywords are counted where
-  they meet, so no pair of query and function is shuffled before it is ranked.
-* Neither side fits: postings meet on the token. Tokens found in very many functions stay
-  out of that join. They are counted on the candidates the rarer tokens bring, and only
-  queries for which functions sharing nothing but frequent tokens could still reach the
-  top k go through the full join, salted so that no token lands in one task.
-
-All give the same rows: no candidate is dropped on a guess.
+The k best functions of every question come out of a prefix-filter join in two rounds:
+
+* Seeds. For each token the k functions with the fewest keywords that hold it are scored exactly;
+  the k-th best of a question's seeds is a floor that its answer can't fall below. A question
+  with fewer than k seeds has met every function that shares a word with it and is done.
+* Search. Tokens are ordered by rarity, the same on both sides. To reach the floor a function must
+  share a number of tokens that follows from both set sizes, so it shares the first two of them
+  within prefixes whose length is known. Only postings in these prefixes, between sets whose
+  sizes allow the floor, meet on the token; pairs that meet twice (once, where one token is
+  enough) are scored exactly.
+
+Tokens in many functions stand last in the order, so most of their postings lie outside of
+prefixes; what is left of them is salted. No pair that could be among the k best is dropped.
 """
 
 from __future__ import annotations
@@ -18,16 +20,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rubricon.functions.text import as_col
 from rubricon.functions.tokens import function_keywords, query_keywords
 from rubricon.operators.binding import bind
 from rubricon.operators.positions import top_per_key
 from rubricon.session import stored
 
-BROADCAST_POSTINGS = 1_000_000  # about 100 MB once hashed, as (token, id, size) rows
-HOT_TOKEN_FUNCTIONS = 50_000
+#: A token that at least one function in so many holds is common. Sets together hold each token
+#: once, so there are at most this many times the mean set size of them: that is broadcast.
+COMMON_SHARE = 256
 SALT_ROWS = 100_000
 
-
 def index_functions(functions: DataFrame) -> DataFrame:
     """`pos, keywords, n_keywords` per function; the only pass over function text."""
     words = function_keywords("function", "function_docstring")
@@ -45,135 +48,116 @@ def keyword_index(indexed: DataFrame) -> DataFrame:
     return indexed.select(F.explode("keywords").alias("keyword"), "pos")
 
 
-def count_postings(indexed: DataFrame) -> int:
-    """Measure one side; a narrow pass that returns a single number."""
-    return indexed.agg(F.sum("n_keywords").alias("n")).first()["n"] or 0
-
-
-def choose_plan(queries: DataFrame, functions: DataFrame, limit: int = BROADCAST_POSTINGS) -> str:
-    """Which side to broadcast, `queries` or `functions`; `tokens` when neither fits the bound."""
-    asked = count_postings(queries)
-    if asked <= limit // 10:  # far below the bound: no need to measure the library
-        return "queries"
-    held = count_postings(functions)
-    if min(asked, held) > limit:
-        return "tokens"
-    return "queries" if asked <= held else "functions"
-
-
-def _query_tokens(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.col("n_keywords").alias("n_query"), F.explode("keywords").alias("token"))
-
-
-def _function_tokens(functions: DataFrame) -> DataFrame:
-    return functions.select("pos", F.col("n_keywords").alias("n_function"), F.explode("keywords").alias("token"))
-
-
-def jaccard(common: Column) -> Column:
-    return common.cast("double") / (F.col("n_query") + F.col("n_function") - common)
-
+def jaccard(common: Column, n_query: Column | str = "n_query", n_function: Column | str = "n_function") -> Column:
+    return common.cast("double") / (as_col(n_query) + as_col(n_function) - common)
 
-def _count_common(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("query_id", "pos", "n_query", "n_function").agg(F.count(F.lit(1)).alias("common"))
 
+def common_tokens(functions: DataFrame) -> DataFrame:
+    """`token, held` of the tokens that many functions hold, with their number."""
+    total = functions.count()
+    held = functions.select(F.explode("keywords").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    return held.filter(F.col("held") * COMMON_SHARE >= total)
 
-def _scores_by_broadcast(queries: DataFrame, functions: DataFrame, small: str) -> DataFrame:
-    if small == "queries":
-        pairs = _function_tokens(functions.repartition("pos")).join(F.broadcast(_query_tokens(queries)), "token")
-    else:
-        pairs = _query_tokens(queries.repartition("query_id")).join(F.broadcast(_function_tokens(functions)), "token")
-    return _count_common(pairs)
 
-
-def _scores_by_token(queries: DataFrame, functions: DataFrame, salt_rows: int) -> DataFrame:
-    """Token join with the postings of a frequent token cut into salted pieces."""
-    tokens = _function_tokens(functions)
-    pieces = tokens.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(salt_rows)).cast("int").alias("pieces"))
-    cut = pieces.filter(F.col("pieces") > 1)
-    salted = tokens.join(cut, "token", "left").withColumn(
-        "salt", F.pmod(F.xxhash64("pos"), F.coalesce("pieces", F.lit(1)).cast("bigint")).cast("int")
+def by_rarity(indexed: DataFrame, key: str, common: DataFrame) -> DataFrame:
+    """One row per posting with its place in the row's tokens from rare to common:
+    `key, size, place, token, held` (`held` 0 for tokens that are not common)."""
+    spread = indexed.select(key, "keywords").repartition(key).select(key, F.explode("keywords").alias("token"))
+    known = spread.join(F.broadcast(common), "token", "left")
+    # A row's own keywords come back together where they were spread, without another exchange.
+    ordered = known.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "token"))).alias("tokens")
     )
-    asked = (
-        _query_tokens(queries)
-        .join(cut, "token", "left")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)))
+    return ordered.select(key, F.size("tokens").alias("size"), F.posexplode("tokens").alias("place", "t")).select(
+        key, "size", "place", "t.token", "t.held"
     )
-    return _count_common(asked.drop("pieces").join(salted.drop("pieces"), ["token", "salt"]))
 
 
-def score_pairs(queries: DataFrame, functions: DataFrame, plan: str | None = None, salt_rows: int = SALT_ROWS) -> DataFrame:
+def _met(asked: DataFrame, held: DataFrame, salt_rows: int, *conditions: Column) -> DataFrame:
+    """Postings of both sides that meet on a token and fulfil the conditions. The functions of a
+    common token are cut into pieces; its questions go to every piece."""
+    pieces = F.greatest(F.ceil(F.col("held") / F.lit(salt_rows)), F.lit(1)).cast("int")
+    f = held.withColumn("salt", F.pmod(F.xxhash64("pos"), pieces).cast("int")).drop("held")
+    q = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("held")
+    met = q.join(f, ["token", "salt"])
+    for condition in conditions:
+        met = met.filter(condition)
+    return met
+
+
+def score_pairs(queries: DataFrame, functions: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
     """Every query and function that share a keyword, with their Jaccard `score`.
 
-    Takes the output of `index_queries` and `index_functions`.
+    Takes the output of `index_queries` and `index_functions`. The output holds all such pairs by
+    its nature; `top_functions` never forms them.
     """
-    plan = plan or choose_plan(queries, functions)
-    if plan == "tokens":
-        common = _scores_by_token(queries, functions, salt_rows)
-    else:
-        common = _scores_by_broadcast(queries, functions, plan)
-    return common.select("query_id", "pos", "common", jaccard(F.col("common")).alias("score"))
-
-
-def top_functions(
-    queries: DataFrame,
-    functions: DataFrame,
-    k: int = 5,
-    plan: str | None = None,
-    hot_functions: int = HOT_TOKEN_FUNCTIONS,
-    salt_rows: int = SALT_ROWS,
-) -> DataFrame:
-    """The k best functions per query by score, then library position."""
-    plan = plan or choose_plan(queries, functions)
-    if plan == "tokens":
-        # Both indexes are read several times from here on: the text is worked through once.
-        queries, functions = stored(queries, "query-index"), stored(functions, "function-index")
-        return _top_by_rare_tokens(queries, functions, k, hot_functions, salt_rows)
-    return _best(score_pairs(queries, functions, plan), k)
+    functions = stored(functions, "function-index")
+    common = common_tokens(functions)
+    q = by_rarity(queries, "query_id", common).withColumnRenamed("size", "n_query")
+    f = by_rarity(functions, "pos", common).withColumnRenamed("size", "n_function")
+    pairs = _met(q, f, salt_rows).groupBy("query_id", "pos", "n_query", "n_function").agg(F.count(F.lit(1)).alias("common"))
+    return pairs.select("query_id", "pos", "common", jaccard(F.col("common")).alias("score"))
+
+
+def exact_scores(pairs: DataFrame, queries: DataFrame, functions: DataFrame) -> DataFrame:
+    """`query_id, pos, score` of distinct pairs, from both keyword sets."""
+    q = queries.select("query_id", F.col("keywords").alias("_asked"))
+    f = functions.select("pos", F.col("keywords").alias("_held"))
+    common = F.size(F.array_intersect("_asked", "_held"))
+    both = pairs.select("query_id", "pos").join(q, "query_id").join(f, "pos")
+    return both.select("query_id", "pos", jaccard(common, F.size("_asked"), F.size("_held")).alias("score"))
+
+
+def seed_pairs(queries: DataFrame, functions: DataFrame, k: int) -> DataFrame:
+    """Distinct `query_id, pos`: for each of a query's tokens the k functions with the fewest keywords."""
+    postings = functions.select(F.explode("keywords").alias("token"), "n_keywords", "pos")
+    shortest = top_per_key(postings, ["token"], k, F.col("n_keywords"), F.col("pos"))
+    asked = queries.select("query_id", F.explode("keywords").alias("token"))
+    return asked.join(shortest.select("token", "pos"), "token").select("query_id", "pos").distinct()
+
+
+def candidate_pairs(queries: DataFrame, functions: DataFrame, floors: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """Distinct `query_id, pos` of all functions that can reach the query's `floor` (above 0), and few more."""
+    least = floors.agg(F.min("floor").alias("least")).first()["least"]
+    if least is None:
+        return queries.select("query_id", F.lit(None).cast("bigint").alias("pos")).limit(0)
+    common, floor = common_tokens(functions), F.col("floor")
+    # At least a share `floor` of the larger set is common; a prefix reaches to the second of those tokens.
+    within = lambda share: F.col("place") <= F.col("size") - F.ceil(share * F.col("size") - SLACK) + 1
+    asked = by_rarity(queries, "query_id", common).join(floors, "query_id").filter(within(floor))
+    held = by_rarity(functions, "pos", common).filter(within(F.lit(least)))
+    q = asked.withColumnsRenamed({"size": "n_query", "place": "at_query"})
+    f = held.withColumnsRenamed({"size": "n_function", "place": "at_function"})
+    need = F.greatest(F.ceil(floor / (1 + floor) * (F.col("n_query") + F.col("n_function")) - SLACK), F.lit(1))
+    met = _met(
+        q, f, salt_rows,
+        (F.col("n_function") >= floor * F.col("n_query") - SLACK) & (F.col("n_function") * floor <= F.col("n_query") + SLACK),
+        (F.col("at_query") <= F.col("n_query") - need + 1) & (F.col("at_function") <= F.col("n_function") - need + 1),
+    )
+    counted = met.groupBy("query_id", "pos").agg(F.count(F.lit(1)).alias("met"), F.min(F.least(need, F.lit(2))).alias("enough"))
+    return counted.filter(F.col("met") >= F.col("enough")).select("query_id", "pos")
+
+
+#: Floors are quotients in floating point; needed counts are rounded up from a little below.
+SLACK = 1e-9
+
+
+def top_functions(queries: DataFrame, functions: DataFrame, k: int = 5, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """The k best functions per query by score, then library position: `query_id, pos, score, rank`."""
+    # Both indexes are read several times from here on: the text is worked through once.
+    queries, functions = stored(queries, "query-index"), stored(functions, "function-index")
+    seeds = stored(_best(exact_scores(seed_pairs(queries, functions, k), queries, functions), k), "seeds")
+    reached = seeds.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("score").alias("floor"))
+    floors = reached.filter(F.col("found") == k).select("query_id", "floor")
+    done = seeds.join(floors, "query_id", "left_anti")
+    candidates = candidate_pairs(queries, functions, floors, salt_rows)
+    return done.unionByName(_best(exact_scores(candidates, queries, functions), k))
 
 
 def _best(scores: DataFrame, k: int) -> DataFrame:
     return top_per_key(scores, ["query_id"], k, F.desc("score"), F.col("pos"))
 
 
-def _split_tokens(indexed: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """Per row: its rare tokens and its frequent tokens, as two arrays."""
-    marked = indexed.select(key, "n_keywords", F.explode("keywords").alias("token")).join(hot, "token", "left")
-    # One indexed row's own keywords come back together, so the lists are as short as its text.
-    return marked.groupBy(key, "n_keywords").agg(
-        F.collect_list(F.when(F.col("is_hot").isNull(), F.col("token"))).alias("keywords"),
-        F.collect_list(F.when(F.col("is_hot").isNotNull(), F.col("token"))).alias("hot"),
-    )
-
-
-def _top_by_rare_tokens(queries: DataFrame, functions: DataFrame, k: int, hot_functions: int, salt_rows: int) -> DataFrame:
-    hot = (
-        _function_tokens(functions)
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > hot_functions)
-        .select("token", F.lit(True).alias("is_hot"))
-    )
-    q, f = _split_tokens(queries, "query_id", hot), _split_tokens(functions, "pos", hot)
-    rare = _scores_by_token(q, f, salt_rows)
-    full = (
-        rare.join(q.select("query_id", F.col("hot").alias("hot_query")), "query_id")
-        .join(f.select("pos", F.col("hot").alias("hot_function")), "pos")
-        .withColumn("common", F.col("common") + F.size(F.array_intersect("hot_query", "hot_function")))
-        .select("query_id", "pos", "common", jaccard(F.col("common")).alias("score"))
-    )
-    best = _best(full, k)
-    # A function that shares only frequent tokens scores at most n_hot / n_query.
-    reached = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("score").alias("worst"))
-    bound = F.size("hot").cast("double") / F.col("n_keywords")
-    judged = q.join(reached, "query_id", "left").select(
-        "query_id",
-        ((F.size("hot") > 0) & ((F.coalesce("found", F.lit(0)) < k) | (F.col("worst") <= bound))).alias("open"),
-    )
-    open_queries = queries.join(judged.filter("open"), "query_id", "left_semi")
-    closed = best.join(judged.filter(~F.col("open")), "query_id", "left_semi")
-    return closed.unionByName(_best(score_pairs(open_queries, functions, "tokens", salt_rows), k))
-
-
 def first_functions(functions: DataFrame, k: int) -> DataFrame:
     """The first k functions of the library with their rank; k is small by definition."""
     first = functions.select("pos").orderBy("pos").limit(k)
@@ -203,14 +187,14 @@ def fallback(queries: DataFrame, found: DataFrame, functions: DataFrame, k: int
     return with_fallback(queries, found, functions, k).filter(~F.col("matched")).select("query_id", "rank", "pos")
 
 
-def retrieve(queries: DataFrame, functions: DataFrame, k: int = 5, keep: Column | None = None, **plan) -> DataFrame:
+def retrieve(queries: DataFrame, functions: DataFrame, k: int = 5, keep: Column | None = None) -> DataFrame:
     """Ranked functions per query: matches, or the fallback where nothing matched.
 
     `keep` is an optional predicate on the candidates (columns `query_id, rank, pos, score`),
     the place for an outside relevance filter.
     """
     q, f = index_queries(queries), index_functions(functions)
-    best = top_functions(q, f, k, **plan)
+    best = top_functions(q, f, k)
     candidates = with_fallback(queries, best, functions, k).select("query_id", "rank", "pos", "score")
     return candidates if keep is None else candidates.filter(keep)
 

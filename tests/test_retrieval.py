@@ -38,26 +38,54 @@ def brute(asked, functions):
     return out
 
 
-@pytest.mark.parametrize("plan", ["queries", "functions", "tokens", None])
-def test_scores(spark, library, plan):
+@pytest.mark.parametrize("salt", [20, 10**6])
+def test_scores(spark, library, salt):
     q, f, asked, functions = library
-    pairs = X.score_pairs(X.index_queries(q), X.index_functions(f), plan, salt_rows=20).collect()
+    pairs = X.score_pairs(X.index_queries(q), X.index_functions(f), salt_rows=salt).collect()
     got = {(r["query_id"], r["pos"]): r["score"] for r in pairs}
     want = {(k, pos): s for k, rows in brute(asked, functions).items() for pos, s in rows}
     assert got == pytest.approx(want)
 
 
-@pytest.mark.parametrize(
-    ("plan", "hot"), [("queries", 10**6), ("functions", 10**6), ("tokens", 10**6), ("tokens", 30), ("tokens", 5), ("tokens", 0)]
-)
-def test_top_functions(spark, library, plan, hot):
-    q, f, asked, functions = library
-    rows = X.top_functions(X.index_queries(q), X.index_functions(f), K, plan, hot_functions=hot, salt_rows=20).collect()
+def best_of(rows):
     got = {}
     for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
         got.setdefault(r["query_id"], []).append(r["pos"])
-    want = {k: [pos for pos, _ in found[:K]] for k, found in brute(asked, functions).items() if found}
-    assert got == want
+    return got
+
+
+@pytest.mark.parametrize(("k", "salt", "share"), [(1, 20, 256), (K, 20, 256), (K, 10**6, 3), (K, 7, 1), (40, 20, 256), (1000, 20, 256)])
+def test_top_functions(spark, library, monkeypatch, k, salt, share):
+    monkeypatch.setattr(X, "COMMON_SHARE", share)
+    q, f, asked, functions = library
+    got = best_of(X.top_functions(X.index_queries(q), X.index_functions(f), k, salt_rows=salt).collect())
+    assert got == {q: [pos for pos, _ in found[:k]] for q, found in brute(asked, functions).items() if found}
+
+
+def test_top_functions_of_random_sets(spark):
+    rng = random.Random(3)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
+    pick = lambda most: " ".join({rng.choice(words[: rng.choice([4, 16, 64])]) for _ in range(rng.randint(0, most))})
+    functions, asked = [(i, "()", pick(30)) for i in range(400)], [(i, pick(20)) for i in range(80)]
+    f = X.index_functions(spark.createDataFrame(functions, "pos BIGINT, function STRING, function_docstring STRING"))
+    q = X.index_queries(spark.createDataFrame(asked, "query_id BIGINT, query STRING"))
+    want = {i: [pos for pos, _ in found[:K]] for i, found in brute(asked, functions).items() if found}
+    assert best_of(X.top_functions(q, f, K).collect()) == want
+    assert X.top_functions(q.limit(0), f, K).count() == 0 == X.top_functions(q, f.limit(0), K).count()
+
+
+def test_few_pairs_are_formed(spark):
+    """Seeds and candidates together are a tenth of the pairs that share a word, at most."""
+    from rubricon.plans import fixtures as fx
+
+    sf_dir = "/root/testdata/sf0.1"
+    q = X.stored(X.index_queries(fx.queries(spark, sf_dir)), "q")
+    f = X.stored(X.index_functions(fx.functions(spark, sf_dir)), "f")
+    sharing = X.score_pairs(q, f).count()
+    seeds = X.stored(X.exact_scores(X.seed_pairs(q, f, 5), q, f), "s")
+    best = X._best(seeds, 5).groupBy("query_id").agg(X.F.count("*").alias("n"), X.F.min("score").alias("floor"))
+    candidates = X.candidate_pairs(q, f, best.filter("n = 5").select("query_id", "floor")).count()
+    assert seeds.count() + candidates < sharing / 10
 
 
 def test_fallback_and_format(spark, library):
@@ -71,11 +99,3 @@ def test_fallback_and_format(spark, library):
     text = X.format_functions(ranked, f).filter("query_id = 60").first()["functions_text"]
     assert text == "Available financial functions:\n\n" + "# T\n```python\nf()\n```\n\n" * 2
     assert X.retrieve(q, f, 2, keep=F.col("rank") == 1).count() == 61
-
-
-def test_plan_choice(spark, library):
-    q, f, *_ = library
-    q, f = X.index_queries(q), X.index_functions(f)
-    assert X.choose_plan(q, f, limit=10**6) == "queries"
-    assert X.choose_plan(q, f, limit=2) == "tokens"
-    assert X.choose_plan(f.withColumnRenamed("pos", "query_id"), q.withColumnRenamed("query_id", "pos"), limit=300) == "functions"
