@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from rubricon.functions import steps as S
 from rubricon.functions.numbers import is_numeric, to_number
-from rubricon.functions.text import as_col, let, lines, preview, strip
+from rubricon.functions.text import as_col, fold_out, let, lines, preview, strip
 
 # Answer phrases in order of priority, number shapes, JSON shapes.
 COT_PATTERNS = [
@@ -66,22 +66,22 @@ def balanced_objects(content: Column | str) -> Column:
     A stray closing brace leaves the depth below zero, so that nothing opens until it is
     made up for.
     """
-    state = "struct<depth: int, piece: string, done: array<string>>"
-    start = F.struct(F.lit(0).alias("depth"), F.lit(None).alias("piece"), F.array().alias("done")).cast(state)
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(-1).alias("begin"))
 
-    def step(acc: Column, token: Column) -> Column:
+    def step(s: Column, token: Column) -> tuple[Column, Column, Column]:
         opens, closes = token == "{", token == "}"
-        depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-        piece = F.when(opens & (acc["depth"] == 0), F.lit("{")).otherwise(F.concat(acc["piece"], token))
-        complete = closes & (depth == 0) & acc["piece"].isNotNull()
-        return F.struct(
-            depth.alias("depth"),
-            F.when(~complete, piece).alias("piece"),
-            F.when(complete, F.array_append(acc["done"], piece)).otherwise(acc["done"]).alias("done"),
-        ).cast(state)
-
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        begin = F.when(opens & (s["depth"] == 0), s["at"]).otherwise(s["begin"])
+        end = s["at"] + F.octet_length(token)
+        complete = closes & (depth == 0) & (begin >= 0)
+        state = F.struct(depth.alias("depth"), end.alias("at"), F.when(complete, -1).otherwise(begin).alias("begin"))
+        return state, F.struct(begin.alias("begin"), end.alias("end")), complete
+
+    # Byte offsets: a piece is cut out of the text once, when it is complete.
     tokens = F.regexp_extract_all(as_col(content), F.lit(BRACE_OR_TEXT), 0)
-    return F.aggregate(tokens, start, step, lambda acc: acc["done"])
+    spans = fold_out(tokens, zero, "struct<begin: int, end: int>", step)
+    piece = lambda raw, p: F.substring(raw, p["begin"] + 1, p["end"] - p["begin"]).cast("string")
+    return let(as_col(content).cast("binary"), lambda raw: F.transform(spans, lambda p: piece(raw, p)))
 
 
 def balanced_object(content: Column | str) -> Column:

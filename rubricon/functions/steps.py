@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rubricon.functions.text import as_col, contains_any, let, lines, strip
+from rubricon.functions.text import as_col, contains_any, fold_out, lines, strip
 
 STEP_TYPE = T.StructType(
     [
@@ -126,8 +126,8 @@ def steps_from_json(doc: Column) -> Column:
 def text_steps(content: Column | str) -> Column:
     """One step per non-blank line of free text.
 
-    The number only advances on lines without a recognised shape. It is counted from a
-    string with one mark per line, so the whole pass stays inside the row.
+    The number only advances on lines without a recognised shape. One count is carried from
+    line to line, so the whole pass stays inside the row and in proportion to its lines.
     """
     rows = F.filter(F.transform(lines(content), strip), lambda l: l != "")
 
@@ -143,8 +143,7 @@ def text_steps(content: Column | str) -> Column:
 
     marked = F.transform(rows, lambda l: F.struct(shape(l).alias("mark"), l.alias("line")))
 
-    def read(m: Column, at: Column, marks: Column) -> Column:
-        number = F.length(F.translate(F.left(marks, at + 1), "vcir", ""))
+    def read(m: Column, number: Column) -> Column:
         kind = (
             F.when(m["mark"].isin("v", "N"), VARIABLE)
             .when(m["mark"] == "c", CALCULATION)
@@ -160,11 +159,11 @@ def text_steps(content: Column | str) -> Column:
         )
         return make_step(number, kind, F.coalesce(F.concat(label, m["line"]), F.lit("")), m["line"])
 
-    def number_all(m: Column) -> Column:
-        marks = F.array_join(F.transform(m, lambda e: e["mark"]), "")
-        return let(marks, lambda text: F.transform(m, lambda e, at: read(e, at, text)))
+    def step(count: Column, m: Column) -> tuple[Column, Column, Column]:
+        number = count + F.when(m["mark"].isin("N", "O"), 1).otherwise(0)
+        return number, read(m, number), F.lit(True)
 
-    return let(marked, number_all)
+    return fold_out(marked, F.lit(0), STEP_TYPE.simpleString(), step)
 
 
 # --- comparing two lists ---------------------------------------------------------------

@@ -19,6 +19,33 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: Values that a fold appends one by one before they are put away together.
+FOLD_BLOCK = 128
+
+
+def fold_out(items: Column, zero: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """ARRAY of what a fold over `items` gives out on its way.
+
+    `step(state, item)` returns the next state (of the type of `zero`), a value of type `kind`, and
+    whether that is given out. Appending to one array would copy it for each value; here a short
+    array is appended to and put away when it is full, so the work stays in proportion to the items.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    start = F.struct(zero.alias("state"), none.alias("recent"), F.array().cast(f"array<array<{kind}>>").alias("full"))
+
+    def merge(acc: Column, item: Column) -> Column:
+        state, value, given = step(acc["state"], item)
+        fills = F.size(acc["recent"]) >= FOLD_BLOCK
+        grown = F.when(fills, F.array(value)).otherwise(F.array_append(acc["recent"], value))
+        return F.struct(
+            state.alias("state"),
+            F.when(given, grown).otherwise(acc["recent"]).alias("recent"),
+            F.when(given & fills, F.array_append(acc["full"], acc["recent"])).otherwise(acc["full"]).alias("full"),
+        )
+
+    return F.aggregate(items, start, merge, lambda acc: F.flatten(F.array_append(acc["full"], acc["recent"])))
+
+
 def strip(c: Column | str) -> Column:
     """Trim every kind of ASCII blank from both ends, not only spaces."""
     return F.trim(as_col(c), F.lit(BLANKS))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rubricon.operators import reports as R
 from rubricon.operators import selection as S
 from rubricon.operators import scoring
-from rubricon.operators.positions import first_per_key
+from rubricon.operators.positions import bucket_of, first_per_key
 from rubricon.plans import fixtures as fx
 from rubricon.plans import sql
 from rubricon.plans.registry import query
@@ -86,6 +86,44 @@ def scan_limit(spark, sf_dir):
     return _shown(S.head(files.load_split(spark, root, "easy", default_source=SOURCE), 150))
 
 
+_HARD_SOURCE_SQL = "CASE WHEN pos % 7 = 0 THEN '' ELSE source END"
+#: Elements of one array file; larger tables make more files, not larger ones.
+ARRAY_WIDTH = 65_536
+
+
+def _write_arrays(rows: DataFrame, path: str, head: str, tail: str) -> str:
+    """Indented JSON arrays, a file per range of positions, with `head` and `tail` around the elements."""
+    bucket = bucket_of("pos", ARRAY_WIDTH)
+    order = Window.partitionBy("bucket").orderBy("pos")
+    fields = F.struct(*[c for c in rows.columns if c != "pos"])
+    made = rows.select("pos", bucket.alias("bucket"), F.to_json(fields, {"pretty": "true"}).alias("body"))
+    made = made.withColumns({"first": F.lag("pos").over(order).isNull(), "last": F.lead("pos").over(order).isNull()})
+    text = F.concat(F.when(F.col("first"), head).otherwise(","), F.lit("\n"), "body", F.when(F.col("last"), "\n" + tail).otherwise(""))
+    made.select("bucket", "pos", text.alias("value")).sortWithinPartitions("bucket", "pos").select("bucket", "value").write.partitionBy("bucket").text(path)
+    return path
+
+
+@query("scan_array", f"WITH {sql.EXAMPLES} SELECT {_SHOWN.format(source=_HARD_SOURCE_SQL)} FROM fx_examples")
+def scan_array(spark, sf_dir):
+    root = shared_dir(spark, "arrays")
+    rows = _raw(fx.solutions(spark, sf_dir)).withColumn("question_note", F.lit('a "}" of {[ \\'))
+    _write_arrays(rows, files.split_path(root, "hard"), "[", "]")
+    return _shown(files.load_hard(spark, root, layout="array"))
+
+
+@query(
+    "scan_items",
+    f"""WITH {sql.EXAMPLES} SELECT example_id || '.trace' AS example_id, example_id AS question_id, CASE WHEN pos % 2 = 0 THEN level ELSE 'unknown' END AS level,
+      'traced' AS source, question AS first_step FROM fx_examples WHERE pos % 3 = 0""",
+)
+def scan_items(spark, sf_dir):
+    head, tail = '{"about": {"of": {"n": 1}}, "other": [{"trace_id": "x"}], "items": [', '], "more": [{"trace_id": "y"}]}'
+    path = _write_arrays(_traced_rows(spark, sf_dir), shared_dir(spark, "items"), head, tail)
+    rows = files.load_traced(spark, path, layout="array")
+    first = F.get(F.col("reasoning_trace.steps"), F.lit(0))["description"]
+    return rows.select("example_id", "question_id", "level", "source", first.alias("first_step"))
+
+
 def _trace():
     step = F.struct(
         F.lit(1).alias("step_number"),
@@ -96,14 +134,17 @@ def _trace():
     return F.struct(F.lit(1).alias("total_steps"), F.array(step).alias("steps"))
 
 
-def _write_traced(spark, sf_dir) -> str:
-    path = shared_dir(spark, "traced")
+def _traced_rows(spark, sf_dir) -> DataFrame:
     rows = fx.examples(spark, sf_dir).filter(F.col("pos") % 3 == 0)
-    traced = rows.select(
+    return rows.select(
         "pos", F.concat("example_id", F.lit(".trace")).alias("trace_id"), "question", "context", "ground_truth",
         F.when(F.col("pos") % 2 == 0, F.col("level")).alias("level"), _trace().alias("reasoning_trace"),
     )
-    traced.write.json(path)
+
+
+def _write_traced(spark, sf_dir) -> str:
+    path = shared_dir(spark, "traced")
+    _traced_rows(spark, sf_dir).write.json(path)
     return path
 
 

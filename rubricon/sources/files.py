@@ -3,13 +3,12 @@
 Two layouts are read:
 
 * `array` – one JSON array (or a single object, taken as a one-row list) per file, indented or
-  not, the form data sets are published in. Files are parsed in parallel, one task each.
-* `lines` – one object per line, the form for large sets: files are split between tasks.
-  Records may carry their position as `pos`.
+  not, the form data sets are published in.
+* `lines` – one object per line. Records may carry their position as `pos`.
 
-`pos` stands for list order, which a DataFrame does not have. It is unique, follows the file's
-path, then the place in the file, and does not depend on how Spark packs files into tasks; in a
-single array it is the index. A file that is broken or in the other layout raises; only where
+In both, large files are split between tasks. `pos` stands for list order, which a DataFrame does
+not have. It is unique, follows the file's path, then the place in the file, and does not depend
+on how Spark packs files into tasks. A file that is broken or in the other layout raises; only where
 `skip_broken` is asked for are single broken lines left out.
 """
 
@@ -20,7 +19,9 @@ from pyspark.sql import functions as F
 
 from rubricon.dims import LEVELS
 from rubricon.operators.selection import combine, head, of_level
+
 from rubricon.schemas import EXAMPLE_COLUMNS, RAW_EXAMPLE, RAW_FUNCTION, TRACE, TRACED_ITEM
+from rubricon.sources.arrays import array_records
 
 LAYOUTS = ("array", "lines")
 
@@ -58,22 +59,6 @@ def _read_lines(spark: SparkSession, path: str, fields: str, skip_broken: bool)
     return rows.select(F.coalesce("r.pos", "pos").alias("pos"), *[F.col(f"r.{n}") for n in names])
 
 
-def _read_array(spark: SparkSession, path: str, fields: str, inner: str | None) -> DataFrame:
-    rows = _in_file_order(spark.read.text(path, wholetext=True), F.lit(0).cast("bigint"))
-    body = F.from_json("value", f"STRUCT<`{inner}`: STRING>").getField(inner) if inner else F.col("value")
-    rows = rows.withColumn("body", F.regexp_replace(body, r"^\s+", ""))
-    listed = F.col("body").startswith("[")
-    items = F.when(listed, F.from_json("body", "ARRAY<STRING>")).when(F.col("body").startswith("{"), F.array("body"))
-    rows = rows.withColumn("items", items).filter(_checked(F.col("items").isNotNull(), "no JSON array or object: "))
-    exploded = rows.select("pos", F.posexplode("items").alias("_index", "item"))
-    record = F.from_json("item", fields)
-    return (
-        exploded.filter(F.col("item").startswith("{"))
-        .select((F.col("pos") + F.col("_index")).cast("bigint").alias("pos"), record.alias("r"))
-        .select("pos", "r.*")
-    )
-
-
 def read_records(
     spark: SparkSession, path: str, fields: str, layout: str = "lines", inner: str | None = None, skip_broken: bool = False
 ) -> DataFrame:
@@ -85,7 +70,7 @@ def read_records(
         return spark.createDataFrame([], f"pos BIGINT, {fields}")
     if layout == "lines":
         return _read_lines(spark, path, fields, skip_broken)
-    return _read_array(spark, path, fields, inner)
+    return array_records(spark, path, fields, inner, skip_broken)
 
 
 def _text(name: str, default: str = "") -> Column:
