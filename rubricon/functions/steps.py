@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rubricon.functions.text import as_col, contains_any, fold_out, lines, strip
+from rubricon.functions.text import as_col, contains_any, fold_out, let, lines, strip
 
 STEP_TYPE = T.StructType(
     [
@@ -159,11 +159,14 @@ def text_steps(content: Column | str) -> Column:
         )
         return make_step(number, kind, F.coalesce(F.concat(label, m["line"]), F.lit("")), m["line"])
 
-    def step(count: Column, m: Column) -> tuple[Column, Column, Column]:
-        number = count + F.when(m["mark"].isin("N", "O"), 1).otherwise(0)
-        return number, read(m, number), F.lit(True)
+    def number_all(m: Column) -> Column:
+        def step(count: Column, line: Column) -> tuple[Column, Column, Column]:
+            number = count + F.when(line["mark"].isin("N", "O"), 1).otherwise(0)
+            return number, number, F.lit(True)
 
-    return fold_out(marked, F.lit(0), STEP_TYPE.simpleString(), step)
+        return let(fold_out(m, F.lit(0), "int", step), lambda numbers: F.transform(m, lambda e, at: read(e, F.get(numbers, at))))
+
+    return let(marked, number_all)
 
 
 # --- comparing two lists ---------------------------------------------------------------

@@ -19,31 +19,40 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-#: Values that a fold appends one by one before they are put away together.
-FOLD_BLOCK = 128
+#: Items of a block, and blocks of a group, in `fold_out`.
+FOLD_BLOCK = 64
+
+
+def _cut(items: Column, width: int) -> Column:
+    last = F.floor((F.size(items) - 1) / F.lit(width)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(items, j * width + 1, F.lit(width)))
 
 
 def fold_out(items: Column, zero: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
     """ARRAY of what a fold over `items` gives out on its way.
 
     `step(state, item)` returns the next state (of the type of `zero`), a value of type `kind`, and
-    whether that is given out. Appending to one array would copy it for each value; here a short
-    array is appended to and put away when it is full, so the work stays in proportion to the items.
+    whether that is given out. A fold copies what it carries at every step, so items are folded in
+    blocks and blocks in groups: a step copies a block's values, a block a group's, and only a
+    group all values before it.
     """
     none = F.array().cast(f"array<{kind}>")
-    start = F.struct(zero.alias("state"), none.alias("recent"), F.array().cast(f"array<array<{kind}>>").alias("full"))
 
-    def merge(acc: Column, item: Column) -> Column:
+    def carried(state: Column, out: Column) -> Column:
+        return F.struct(state.alias("state"), out.alias("out"))
+
+    def one(acc: Column, item: Column) -> Column:
         state, value, given = step(acc["state"], item)
-        fills = F.size(acc["recent"]) >= FOLD_BLOCK
-        grown = F.when(fills, F.array(value)).otherwise(F.array_append(acc["recent"], value))
-        return F.struct(
-            state.alias("state"),
-            F.when(given, grown).otherwise(acc["recent"]).alias("recent"),
-            F.when(given & fills, F.array_append(acc["full"], acc["recent"])).otherwise(acc["full"]).alias("full"),
-        )
-
-    return F.aggregate(items, start, merge, lambda acc: F.flatten(F.array_append(acc["full"], acc["recent"])))
+        return carried(state, F.when(given, F.array_append(acc["out"], value)).otherwise(acc["out"]))
+
+    def behind(acc: Column, parts: Column, merge: Callable[[Column, Column], Column]) -> Column:
+        """The fold of `parts` from the state of `acc`, its values put behind those of `acc`."""
+        finish = lambda a: carried(a["state"], F.concat(acc["out"], a["out"]))
+        return F.aggregate(parts, carried(acc["state"], none), merge, finish)
+
+    block = lambda acc, x: behind(acc, x, one)
+    group = lambda acc, x: behind(acc, _cut(x, FOLD_BLOCK), block)
+    return let(items, lambda x: F.aggregate(_cut(x, FOLD_BLOCK**2), carried(zero, none), group, lambda acc: acc["out"]))
 
 
 def strip(c: Column | str) -> Column:

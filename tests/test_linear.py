@@ -34,7 +34,7 @@ def test_balanced_pieces(spark):
         assert r["p"] == brute_pieces(r["t"])
 
 
-@pytest.mark.parametrize("size", [0, 1, FOLD_BLOCK, FOLD_BLOCK + 1, 5 * FOLD_BLOCK])
+@pytest.mark.parametrize("size", [0, 1, FOLD_BLOCK, FOLD_BLOCK + 1, 5 * FOLD_BLOCK, FOLD_BLOCK**2, 2 * FOLD_BLOCK**2 + 3])
 def test_fold_gives_out_running_values(spark, size):
     items = F.sequence(F.lit(1), F.lit(size)) if size else F.array().cast("array<int>")
     sums = fold_out(items, F.lit(0), "int", lambda s, x: (s + x, s + x, x % 3 > 0))
