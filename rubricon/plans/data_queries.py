@@ -266,7 +266,7 @@ def dedup_first(spark, sf_dir):
       SELECT n.level, example_id, i + 1 AS selection_index FROM n JOIN picks p ON n.level = p.level AND n.at = p.at""",
 )
 def stride_sample(spark, sf_dir):
-    picked = S.stride_sample(fx.examples(spark, sf_dir), 30, width=512)
+    picked = S.stride_sample(fx.examples(spark, sf_dir), 30)
     return picked.select("level", "example_id", "selection_index")
 
 

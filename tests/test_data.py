@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rubricon import dims
-from rubricon.operators import grid, prompts, reports, scoring, selection
+from rubricon.operators import grid, positions, prompts, reports, scoring, selection
 from rubricon.operators.errors import merge_analysis
 from rubricon.operators.positions import running_totals
 from rubricon.plans import fixtures as fx
@@ -32,6 +32,34 @@ def test_running_totals_cross_buckets_and_null_groups(spark):
             assert (r["row_no"], r["total"], r["group_rows"]) == (i, seen, len(mine))
 
 
+@pytest.mark.parametrize(("group", "width", "fanout"), [([], 16, 4), ([], 4, 2), (["g"], 16, 4), (["g"], 1000, 4), (["g", "h"], 8, 3)])
+def test_running_totals_up_a_tree(spark, monkeypatch, group, width, fanout):
+    monkeypatch.setattr(positions, "FANOUT", fanout)
+    i = F.col("id")
+    rows = spark.range(900).select((i * 3).alias("pos"), F.when(i % 7 > 0, i % 3).alias("g"), F.when(i > 890, "rare").alias("h"), (i % 11).alias("v"))
+    got = running_totals(rows, group, "pos", {"total": "v"}, width).collect()
+    assert len(got) == 900
+    seen, sizes = {}, {}
+    for r in got:
+        key = tuple(r[c] for c in group)
+        sizes[key] = sizes.get(key, 0) + 1
+    for r in sorted(got, key=lambda r: r["pos"]):
+        key = tuple(r[c] for c in group)
+        n, total = seen.get(key, (0, 0))
+        seen[key] = n + 1, total + r["v"]
+        assert (r["row_no"], r["total"], r["group_rows"]) == (*seen[key], sizes[key])
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_of_running_totals(spark):
+    rows = spark.range(5000).select(F.col("id").alias("pos"), (F.col("id") % 50).alias("g"), F.col("id").alias("v"))
+    assert "SinglePartition" not in plan_of(selection.progress(rows.select("pos", "v"), "pos", "v"))
+    assert plan_of(running_totals(rows, ["g"], "pos", {"t": "v"})).count("Exchange hashpartitioning") == 1
+
+
 def budget(spark, costs, **limits):
     rows = [(i, "a", c, 1) for i, c in enumerate(costs)]
     df = spark.createDataFrame(rows, "pos BIGINT, example_id STRING, cost BIGINT, tokens BIGINT")
