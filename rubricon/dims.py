@@ -91,19 +91,20 @@ CATEGORY_ALIASES = [
     ("incomplete", "oversimplified_process"),
 ]
 
-# category or analysis label → icon class, label
+# category or analysis label → icon, icon class, label
 CATEGORY_LABELS = [
-    ("formula_error", "formula", "수식 오류"),
-    ("misunderstanding", "misunderstanding", "문제 이해 오류"),
-    ("calculation_error", "calculation", "계산 오류"),
-    (CALCULATION, "calculation", "수치 계산 오류"),
-    ("extraction_error", "extraction", "값 추출 오류"),
-    ("unit_error", "unit", "단위 오류"),
-    (EXECUTION, "execution", "실행 오류"),
-    ("logic_error", "formula", "논리 오류"),
-    ("incomplete", "unknown", "불완전한 풀이"),
-    (UNKNOWN, "unknown", "미분류"),
+    ("formula_error", "🔢", "formula", "수식 오류"),
+    ("misunderstanding", "🤔", "misunderstanding", "문제 이해 오류"),
+    ("calculation_error", "🧮", "calculation", "계산 오류"),
+    (CALCULATION, "🧮", "calculation", "수치 계산 오류"),
+    ("extraction_error", "📊", "extraction", "값 추출 오류"),
+    ("unit_error", "📏", "unit", "단위 오류"),
+    (EXECUTION, "⚠️", "execution", "실행 오류"),
+    ("logic_error", "🔗", "formula", "논리 오류"),
+    ("incomplete", "⏳", "unknown", "불완전한 풀이"),
+    (UNKNOWN, "❓", "unknown", "미분류"),
 ]
+NO_ICON = "❓"
 NO_LABEL = "미분류"
 
 # id, paper table, error type, description, source set
@@ -185,7 +186,7 @@ def category_aliases(spark: SparkSession) -> DataFrame:
 
 
 def category_labels(spark: SparkSession) -> DataFrame:
-    return literal_table(spark, CATEGORY_LABELS, "category STRING; icon_class STRING; label STRING")
+    return literal_table(spark, CATEGORY_LABELS, "category STRING; icon STRING; icon_class STRING; label STRING")
 
 
 def paper_cases(spark: SparkSession) -> DataFrame:

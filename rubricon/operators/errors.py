@@ -199,7 +199,7 @@ def merge_analysis(runs: DataFrame, analyses: DataFrame) -> DataFrame:
 
 
 def with_labels(rows: DataFrame) -> DataFrame:
-    """Add icon class, label and severity of `error_category`; unknown ones keep their name."""
+    """Add icon, icon class, label and severity of `error_category`; unknown ones keep their name."""
     spark = rows.sparkSession
     key = F.replace(F.lower(F.coalesce("error_category", F.lit(dims.UNKNOWN))), F.lit(" "), F.lit("_"))
     labels = F.broadcast(dims.category_labels(spark).withColumnRenamed("category", "_label_key"))
@@ -210,6 +210,7 @@ def with_labels(rows: DataFrame) -> DataFrame:
         .join(meta, keyed["_key"] == meta["_meta_key"], "left")
         .withColumns(
             {
+                "icon": F.coalesce("icon", F.lit(dims.NO_ICON)),
                 "icon_class": F.coalesce("icon_class", F.lit("unknown")),
                 "label": F.coalesce("label", "error_category", F.lit(dims.NO_LABEL)),
                 "severity": F.coalesce("severity", F.lit("medium")),

@@ -54,7 +54,8 @@ def with_cost(runs: DataFrame) -> DataFrame:
 def score_runs(runs: DataFrame) -> DataFrame:
     """Scored and classified rows: answer, correctness, cost, model type and error.
 
-    Rows whose call raised (`call_error`) become execution errors of confidence 1 at no cost.
+    Rows whose call raised (`call_error`) become execution errors of confidence 1 without an
+    answer, at no cost.
     """
     if "call_error" not in runs.columns:
         runs = runs.withColumn("call_error", F.lit(None).cast("string"))
@@ -63,10 +64,12 @@ def score_runs(runs: DataFrame) -> DataFrame:
     scored = with_cost(read_answers(runs))
     scored = bind(scored, {"_code": F.when(has_program, P.fenced_or_whole("raw_response"))})
     scored = bind(scored, {"executed_code": P.wrap_solution("_code")}).drop("_code")
-    answered = F.col("predicted_num").isNotNull() | F.col("predicted_text").isNotNull()
+    answered = (F.col("predicted_num").isNotNull() | F.col("predicted_text").isNotNull()) & ~raised
     scored = scored.withColumns(
         {
             "is_correct": F.col("is_correct") & ~raised,
+            "predicted_num": F.when(~raised, F.col("predicted_num")),
+            "predicted_text": F.when(~raised, F.col("predicted_text")),
             "parse_status": F.when(answered, "success").otherwise("failed"),
             "cost_micros": F.when(raised, F.lit(0)).otherwise(F.col("cost_micros")),
         }

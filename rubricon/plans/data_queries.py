@@ -317,6 +317,27 @@ def cache_lookup(spark, sf_dir):
     return hits.select(*store.CALL_KEY, F.date_format("created_at", STAMP).alias("created"), "cost_cents")
 
 
+@query(
+    "cached_calls",
+    f"""WITH {sql.LOG}, hits AS (SELECT example_id, model, prompt_hash, created_at, cost_cents FROM fx_log WHERE created_at > TIMESTAMP '{NOW}' - INTERVAL 240 HOUR
+        QUALIFY row_number() OVER (PARTITION BY example_id, model, prompt_hash ORDER BY created_at DESC, pos DESC) = 1),
+      asked AS (SELECT pos AS call_id, example_id, CASE WHEN pos % 4 = 0 THEN 'other' ELSE model END AS model, prompt_hash FROM fx_log WHERE pos % 3 = 0)
+      SELECT call_id, asked.example_id, asked.model, coalesce(strftime(created_at, '%Y-%m-%d %H:%M:%S.%f'), '') AS created, coalesce(cost_cents, -1) AS cost_cents
+      FROM asked LEFT JOIN hits ON asked.example_id = hits.example_id AND asked.model = hits.model AND asked.prompt_hash = hits.prompt_hash""",
+)
+def cached_calls(spark, sf_dir):
+    """New calls against a cache that is clustered by call."""
+    log = fx.log(spark, sf_dir)
+    path = shared_dir(spark, "cache")
+    name = "cache_" + path.rsplit("-", 1)[1]
+    store.write_cache(log.drop("prompt"), path, name, 16)
+    model = F.when(F.col("pos") % 4 == 0, "other").otherwise(F.col("model"))
+    asked = log.filter(F.col("pos") % 3 == 0).select(F.col("pos").alias("call_id"), "example_id", model.alias("model"), "prompt_hash")
+    found = store.cached_calls(asked, spark.table(name), NOW, 240)
+    created = F.coalesce(F.date_format("created_at", STAMP), F.lit(""))
+    return found.select("call_id", "example_id", "model", created.alias("created"), F.coalesce("cost_cents", F.lit(-1)).alias("cost_cents"))
+
+
 @query("cache_purge", f"WITH {sql.LOG} SELECT pos, example_id, model FROM fx_log WHERE created_at >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR")
 def cache_purge(spark, sf_dir):
     return store.cache_purge(fx.log(spark, sf_dir), NOW, 24).select("pos", "example_id", "model")

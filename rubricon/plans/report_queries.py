@@ -277,6 +277,31 @@ def score_runs(spark, sf_dir):
     )
 
 
+def _raised():
+    """Calls that raised instead of answering: every second model of every 11th example."""
+    return F.when((F.col("pos") % 11 == 0) & (F.col("ord") % 2 == 0), F.concat(F.lit("timeout "), F.col("pos").cast("string")))
+
+
+@query(
+    "failed_calls",
+    f"""WITH {sql.scored(fx.MODEL_NAMES)}, called AS (SELECT *, CASE WHEN pos % 11 = 0 AND ord % 2 = 0 THEN 'timeout ' || pos END AS call_error FROM scored)
+      SELECT {KEYS}, call_error IS NULL AND is_correct AS is_correct, CASE WHEN call_error IS NULL THEN predicted_num END AS predicted_num,
+        CASE WHEN call_error IS NULL THEN coalesce(cost_micros, -1) ELSE 0 END AS cost_micros,
+        CASE WHEN call_error IS NULL THEN coalesce(error_category, '') ELSE 'execution_error' END AS error_category,
+        CASE WHEN call_error IS NOT NULL THEN 'Call or execution raised: ' || call_error ELSE '' END AS raised,
+        coalesce(call_error, execution_error, '') AS execution_error FROM called""",
+)
+def failed_calls(spark, sf_dir):
+    rows = scoring.score_runs(fx.runs(spark, sf_dir, fx.MODEL_NAMES).withColumn("call_error", _raised()))
+    raised = F.col("error_evidence").startswith("Call or execution raised")
+    return rows.select(
+        *KEY, "is_correct", "predicted_num", F.coalesce("cost_micros", F.lit(-1)).alias("cost_micros"),
+        F.coalesce("error_category", F.lit("")).alias("error_category"),
+        F.when(raised, F.col("error_evidence")).otherwise("").alias("raised"),
+        F.coalesce("execution_error", F.lit("")).alias("execution_error"),
+    )
+
+
 _ERROR_COLUMNS_SQL = """error_category,
   CASE error_category WHEN 'rounding_error' THEN 0.9 WHEN 'numerical_calculation_error' THEN 0.7 WHEN 'hallucination' THEN 0.6
     WHEN 'unknown' THEN 0.3 ELSE 0.95 END::DOUBLE AS confidence,
@@ -456,7 +481,7 @@ def merge_analysis(spark, sf_dir):
     return E.merge_analysis(wrong, analyses).select(*KEY, "error_category", "mapped_category", "error_confidence")
 
 
-_LABEL_DIM_SQL = "labels_of AS (SELECT * FROM (" + rows(dims.CATEGORY_LABELS) + ") AS t(category, icon_class, label))"
+_LABEL_DIM_SQL = "labels_of AS (SELECT * FROM (" + rows(dims.CATEGORY_LABELS) + ") AS t(category, icon, icon_class, label))"
 _SEVERITY_SQL = "severity_of AS (SELECT * FROM (" + rows([(c[0], c[5]) for c in dims.CATEGORIES]) + ") AS t(category, severity))"
 
 
@@ -464,13 +489,13 @@ _SEVERITY_SQL = "severity_of AS (SELECT * FROM (" + rows([(c[0], c[5]) for c in
     "category_labels",
     f"""WITH {sql.scored()}, {_LABEL_DIM_SQL}, {_SEVERITY_SQL},
       e AS (SELECT error_category, count(*) AS errors FROM scored WHERE NOT is_correct GROUP BY 1)
-      SELECT error_category, errors, coalesce(icon_class, 'unknown') AS icon_class, coalesce(label, error_category) AS label,
+      SELECT error_category, errors, coalesce(icon, '❓') AS icon, coalesce(icon_class, 'unknown') AS icon_class, coalesce(label, error_category) AS label,
         coalesce(severity, 'medium') AS severity
       FROM e LEFT JOIN labels_of l ON l.category = error_category LEFT JOIN severity_of s ON s.category = error_category""",
 )
 def category_labels(spark, sf_dir):
     return E.with_labels(R.error_distribution(cells(spark, sf_dir))).select(
-        "error_category", "errors", "icon_class", "label", "severity"
+        "error_category", "errors", "icon", "icon_class", "label", "severity"
     )
 
 

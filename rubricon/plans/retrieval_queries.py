@@ -85,6 +85,30 @@ def retrieve_fallback(spark, sf_dir):
     return rest.select("query_id", F.col("rank").cast(BIG).alias("rank"), "pos")
 
 
+_CONTEXT_TEXTS_SQL = """fx_query_texts AS (SELECT item_id AS query_id, 'net growth of item ' || item_id || '? ' || coalesce(left(text, 200), '') AS query FROM benchmark)"""
+_CONTEXT_TOP_SQL = _TOP_SQL.replace(
+    "fx_query_texts AS (SELECT item_id AS query_id, text AS query FROM benchmark UNION ALL VALUES (-1, 'what is the'), (-2, '12'))", _CONTEXT_TEXTS_SQL
+)
+
+
+@query("retrieve_context", f"WITH {_CONTEXT_TOP_SQL} SELECT query_id, rank, pos, round(score, 9) AS score FROM best")
+def retrieve_context(spark, sf_dir):
+    """Searched with the question and the opening of its context."""
+    asked = fx.table(spark, sf_dir, "benchmark", "item_id", "text")
+    question = F.concat(F.lit("net growth of item "), F.col("item_id").cast("string"), F.lit("?"))
+    asked = asked.select(F.col("item_id").alias("query_id"), K.retrieval_query(question, "text").alias("query"))
+    best = X.top_functions(X.index_queries(asked), X.index_functions(fx.functions(spark, sf_dir)), 5)
+    return best.select("query_id", F.col("rank").cast(BIG).alias("rank"), "pos", F.round("score", 9).alias("score"))
+
+
+@query("retrieve_kept", f"WITH {_TOP_SQL} SELECT query_id, rank, pos FROM best WHERE score >= 0.05 AND rank <= 3")
+def retrieve_kept(spark, sf_dir):
+    """Candidates that an outside filter keeps; stand-ins for missing matches have score 0."""
+    keep = (F.col("score") >= 0.05) & (F.col("rank") <= 3)
+    kept = X.retrieve(fx.queries(spark, sf_dir), fx.functions(spark, sf_dir), 5, keep=keep)
+    return kept.select("query_id", F.col("rank").cast(BIG).alias("rank"), "pos")
+
+
 _BLOCK_SQL = f"""{_TOP_SQL}, blocks AS (SELECT query_id, {quote(X.BLOCK_TITLE)} || string_agg('# ' || source || chr(10) || '```python' || chr(10) || 'def calc_' || source || chr(10) || '```' || chr(10) || chr(10), '' ORDER BY rank) AS block
   FROM ranked JOIN documents ON pos = doc_id GROUP BY 1)"""
 

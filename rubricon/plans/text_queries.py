@@ -143,6 +143,24 @@ def parse_all(spark, sf_dir):
     return parsed.select(*PAIR, N.to_number("p.final_answer").alias("answer_num"), F.col("p.parse_status").alias("parse_status"))
 
 
+@query(
+    "parse_strict",
+    f"""WITH {_parse_ctes()}, p AS (SELECT {PAIRS}, provider, {_PARSED_SQL.format(line="WHEN provider = 'openai' AND by_line IS NOT NULL THEN " + number("by_line"), line_type="WHEN provider = 'openai' AND by_line IS NOT NULL AND " + number("by_line") + " IS NOT NULL THEN 'numeric'")}
+      FROM (SELECT lined.*, m.provider FROM lined JOIN ({rows(_CHAT_MODELS)}) AS m(model_name, provider) ON m.model_name = lined.model_name))
+      SELECT {PAIRS}, answer_num, answer_type, parse_status FROM p""",
+)
+def parse_strict(spark, sf_dir):
+    """Chat texts only; with `strict`, a row of an unknown provider would raise."""
+    names = {p: [m for m, q in _CHAT_MODELS if q == p] for p in ("openai", "anthropic")}
+    texts = fx.structured_texts(spark, sf_dir).filter(F.col("model_name").isin([m for m, _ in _CHAT_MODELS]))
+    provider = F.when(F.col("model_name").isin(names["openai"]), "openai").otherwise("anthropic")
+    run = F.lit(None).cast("struct<success: boolean, output: string, error: string>")
+    parsed = bind(_with_found(texts), {"p": A.parse_response(provider, F.lit(False), F.col("content"), F.col("found"), run, strict=True)})
+    return parsed.select(
+        *PAIR, N.to_number("p.final_answer").alias("answer_num"), F.col("p.final_answer_type").alias("answer_type"), F.col("p.parse_status").alias("parse_status")
+    )
+
+
 @query(
     "final_answer_regex",
     f"WITH {_parse_ctes()} SELECT {PAIRS}, by_regex AS value, {number('by_regex')} AS answer_num FROM lined WHERE by_regex IS NOT NULL",

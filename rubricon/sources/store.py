@@ -81,9 +81,21 @@ def cache_lookup(cache: DataFrame, now: str, ttl_hours: int = TTL_HOURS) -> Data
     return first_per_key(unexpired(cache, now, ttl_hours), CALL_KEY, F.desc("created_at"), F.desc("pos"))
 
 
+def write_cache(cache: DataFrame, path: str, name: str, buckets: int = 64) -> None:
+    """The cache as a table `name` at `path`, clustered by call: rows of a call lie in one bucket,
+    sorted, so lookups read it without moving it. Choose `buckets` for buckets of a few hundred MB."""
+    dealt = cache.repartition(buckets, *CALL_KEY)
+    dealt.write.bucketBy(buckets, *CALL_KEY).sortBy(*CALL_KEY).option("path", path).saveAsTable(name)
+
+
 def cached_calls(calls: DataFrame, cache: DataFrame, now: str, ttl_hours: int = TTL_HOURS) -> DataFrame:
-    """Calls with the cached answer they can reuse, if any."""
-    hit = cache_lookup(cache, now, ttl_hours).drop("pos")
+    """Calls with the cached answer they can reuse, if any.
+
+    Only cached rows of calls that are asked for are ranked. Of a cache written by `write_cache`
+    no row is moved: the calls come to its buckets.
+    """
+    asked = calls.select(*CALL_KEY).distinct()
+    hit = cache_lookup(cache.join(asked, CALL_KEY, "left_semi"), now, ttl_hours).drop("pos")
     return calls.join(hit, CALL_KEY, "left")
 
 

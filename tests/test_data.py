@@ -275,8 +275,34 @@ def test_breakdowns_agree(spark, sf_dir):
 
 def test_call_errors_become_execution_errors(spark, sf_dir):
     runs = fx.runs(spark, sf_dir).filter("pos < 10").withColumn("call_error", F.when(F.col("pos") == 3, "timeout"))
-    bad = scoring.score_runs(runs).filter("pos = 3").select("error_category", "error_confidence", "cost_micros", "is_correct").distinct()
-    assert [tuple(r) for r in bad.collect()] == [("execution_error", 1.0, 0, False)]
+    bad = scoring.score_runs(runs).filter("pos = 3").select("error_category", "error_confidence", "cost_micros", "is_correct", "predicted_num", "predicted_text").distinct()
+    assert [tuple(r) for r in bad.collect()] == [("execution_error", 1.0, 0, False, None, None)]
+
+
+def test_clustered_cache_is_not_moved(spark, tmp_path):
+    rows = spark.range(4000).select(
+        F.col("id").alias("pos"), (F.col("id") % 300).cast("string").alias("example_id"), (F.col("id") % 3).cast("string").alias("model"), F.md5((F.col("id") % 4).cast("string")).alias("prompt_hash"),
+        F.timestamp_seconds(F.col("id")).alias("created_at"),
+    )
+    store.write_cache(rows, str(tmp_path / "cache"), "cache_of_test", 8)
+    calls = rows.filter("pos < 10").select(*store.CALL_KEY)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = store.cached_calls(calls, spark.table("cache_of_test"), "1970-01-01 02:00:00")
+        plan = plan_of(found)
+        lines = plan.split("\n")
+        scan = next(i for i, x in enumerate(lines) if "cache_of_test" in x)
+        above = lines[:scan]
+        depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+        chain, at = [], depth(lines[scan])
+        for x in reversed(above):
+            if depth(x) < at:
+                chain, at = [*chain, x], depth(x)
+        assert any("Window" in x for x in chain) and not any("Exchange" in x for x in chain)
+        assert sorted((r["example_id"], r["created_at"].timestamp()) for r in found.collect()) == [(str(i), 3900.0 + i) for i in range(10)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE cache_of_test")
 
 
 def test_override_forms(spark):
