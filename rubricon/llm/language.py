@@ -233,7 +233,8 @@ def identify(df: DataFrame, labelled: DataFrame) -> DataFrame:
     models, limits = trained
     least = F.array_min("_losses")
     best = F.array_position("_losses", least).cast("int") - 1
-    named = F.col("_chars") > 0
+    # Marks alone are no letters, though they are read along with letters.
+    named = (F.col("_chars") > 0) & F.col("text").rlike(r"\p{L}")
     # Evidence is counted for at most 50 characters, which keeps scores of long texts apart from 1.
     weight = F.least(F.lit(50.0), F.col("_chars").cast("double")) / F.col("_chars")
     rivals = F.aggregate("_losses", F.lit(0.0), lambda a, x: a + F.exp((least - x) * weight))

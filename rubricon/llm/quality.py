@@ -270,11 +270,17 @@ def fitted_estimates(rows: DataFrame) -> DataFrame:
 
 def judged(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Adds COUNTS, `base_failed`, `distance` (squared Mahalanobis; null where the base rules fail)
-    and `kept`."""
+    and `kept`; columns of `df` with these names are replaced, all others are kept, whatever their names."""
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    # The fit works with columns of its own, so the given ones go through it under other names.
+    inner = {c: f"_given{i}" for i, c in enumerate(df.columns)}
+    rows = df.select(*[F.col(f"`{c}`").alias(name) for c, name in inner.items()])
     # Read once for every step of the fit, so the counts are written down first.
-    counted = stored(with_counts(df, text).withColumn("base_failed", base_failed), "counts")
-    return judged_counts(counted, lang, source)
+    counted = stored(with_counts(rows, inner[text]).withColumn("base_failed", base_failed), "counts")
+    found = judged_counts(counted, inner[lang], inner[source])
+    added = [*COUNTS, "base_failed", "distance", "kept"]
+    given = [F.col(name).alias(c) for c, name in inner.items() if c.lower() not in added]
+    return found.select(*given, *added)
 
 
 def judged_counts(counted: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:

@@ -148,6 +148,17 @@ def plain_text(draw, words=120):
     return " ".join("".join(draw.choice(list("abcdefghijklmnoprstuvw"), draw.integers(2, 9))).capitalize() if draw.random() < 0.1 else "".join(draw.choice(list("abcdefghijklmnoprstuvw"), draw.integers(2, 9))) for _ in range(words))
 
 
+def test_quality_keeps_columns_of_any_name(spark):
+    draw = np.random.default_rng(13)
+    names = ["centre", "inverse", "grp", "levels", "lines", "repeats", "symbols", "capitals", "word_length", "_wide", "_fine", "limit", "start"]
+    rows = [(k, plain_text(draw), "en", "s", *[float(k)] * len(names), "old") for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING, " + ", ".join(f"{n} DOUBLE" for n in names) + ", kept STRING")
+    found = quality.judged(docs)
+    assert found.columns[: 4 + len(names)] == ["doc_id", "text", "lang", "source", *names] and found.columns.count("kept") == 1
+    for r in found.collect():
+        assert {r[n] for n in names} == {float(r["doc_id"])} and r["kept"] is True
+
+
 def test_quality_of_a_small_source_is_measured_by_its_language(spark):
     draw = np.random.default_rng(11)
     junk = lambda: " ".join("#$%&" + "".join(draw.choice(list("XYZ"), 20)) for _ in range(80))
@@ -233,6 +244,13 @@ def test_language(spark, hard, none, sf_dir):
     assert held.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
 
 
+def test_marks_alone_have_no_language(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = spark.createDataFrame([("\u0301",), ("\u0301 12",), ("e\u0301t\u00e9",), ("12 !",)], "text STRING")
+    found = {r["text"]: (r["lang_pred"], r["score"], r["accepted"]) for r in language.identify(texts, docs.select("text", "lang")).collect()}
+    assert [found[t] for t in ("\u0301", "\u0301 12", "12 !")] == [("und", 0.0, False)] * 3 and found["e\u0301t\u00e9"][0] != "und"
+
+
 def test_kneser_ney_is_a_distribution():
     grams = Counter()
     for word in ("abba", "abc", "cab", "aab"):
