@@ -202,12 +202,27 @@ def problem_cards(scored: DataFrame) -> DataFrame:
     )
 
 
-def report_totals(scored: DataFrame) -> DataFrame:
-    return scored.agg(
-        F.count_distinct("example_id").alias("examples"),
-        F.count_distinct("model_name").alias("models"),
-        F.count(F.lit(1)).alias("evaluations"),
-        F.count_if("is_correct").alias("correct"),
+def distinct_positions(position: Column | str) -> tuple[Column, Column]:
+    """(group to count in, aggregate) for an exact distinct count of an integer: a bitmap per 32,768
+    neighbouring values, merged before the shuffle. Sum `bitmap_count` over the groups."""
+    return F.bitmap_bucket_number(position), F.bitmap_construct_agg(F.bitmap_bit_position(position))
+
+
+def report_totals(scored: DataFrame, position: str = "pos") -> DataFrame:
+    """Totals of a report. `position` is the integer that an example has in its question set."""
+    bucket, bitmap = distinct_positions(position)
+    parts = scored.groupBy(bucket.alias("_bucket")).agg(
+        bitmap.alias("_seen"),
+        F.array_sort(F.collect_set("model_name")).alias("_models"),
+        F.count(F.lit(1)).alias("_rows"),
+        F.count_if("is_correct").alias("_correct"),
+        F.sum("cost_micros").alias("cost_micros"),
+    )
+    return parts.agg(
+        F.coalesce(F.sum(F.bitmap_count("_seen")), F.lit(0)).alias("examples"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("_models")))).cast("bigint").alias("models"),
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("evaluations"),
+        F.coalesce(F.sum("_correct"), F.lit(0)).alias("correct"),
         dollars(F.sum("cost_micros")),
     )
 

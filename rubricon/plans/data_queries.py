@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rubricon import dims
 from rubricon.operators import reports as R
 from rubricon.operators import selection as S
 from rubricon.operators import scoring
@@ -355,7 +356,7 @@ _EVALUATION_SQL = "'eval_' || strftime(created_at, '%Y%m%d')"
 
 def _headers(spark, sf_dir) -> DataFrame:
     runs = fx.log(spark, sf_dir).select("created_at", "example_id", F.col("model").alias("model_name"))
-    return store.run_header(runs, _evaluation(), F.col("created_at"), "v1")
+    return store.run_header(runs, _evaluation(), F.col("created_at"), "v1", F.col("example_id").cast(BIG))
 
 
 _HEADER_SQL = f"""{sql.LOG}, headers AS (SELECT {_EVALUATION_SQL} AS eval_id, min(created_at) AS created_at, 'v1' AS dataset_version,
@@ -413,25 +414,26 @@ def save_results(spark, sf_dir):
 
 
 def _artifacts(spark, sf_dir) -> DataFrame:
-    """Artifacts written per experiment (the level) with a summary beside them, read back."""
+    """Nested artifacts written per experiment (the level), indented, with a summary beside them, read back."""
     path = shared_dir(spark, "artifacts")
     runs = scoring.with_cost(fx.calls(spark, sf_dir, fx.MODEL_NAMES))
-    rows = runs.groupBy(F.col("level").alias("experiment"), "example_id").agg(
-        F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"), F.sum("cost_micros").alias("cost_micros")
-    )
-    store.save_example_results(rows, path)
-    return store.read_artifacts(spark, path, rows.schema)
+    rows = store.example_results(runs, "level").withColumn("pos", F.substring("example_id", 6, 20).cast(BIG))
+    rows = stored(rows, "nested")
+    for level in dims.LEVELS:
+        found = rows.filter(F.col("experiment") == level).drop("experiment")
+        _write_arrays(found, f"{path}/experiment={level}", "[", "]")
+    return store.read_artifacts(spark, path)
 
 
 _ARTIFACT_SQL = f"""WITH {sql.runs(fx.MODEL_NAMES)}, {sql.MODELS}, per_example AS (
-  SELECT level AS experiment, example_id, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens,
+  SELECT level AS experiment, example_id, count(*) AS results, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens,
     CAST(sum((prompt_tokens * milli_in + completion_tokens * milli_out + 500) // 1000) AS BIGINT) AS cost_micros
   FROM fx_runs LEFT JOIN fx_models USING (model_name) GROUP BY 1, 2)"""
 
 
 @query("example_artifacts", f"{_ARTIFACT_SQL} SELECT * FROM per_example")
 def example_artifacts(spark, sf_dir):
-    return _artifacts(spark, sf_dir).select("experiment", "example_id", "total_tokens", "cost_micros")
+    return store.artifact_totals(_artifacts(spark, sf_dir))
 
 
 @query(

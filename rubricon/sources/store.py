@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rubricon.operators.positions import first_per_key
+from rubricon.operators.reports import distinct_positions
 
 TTL_HOURS = 24
 CALL_KEY = ["example_id", "model", "prompt_hash"]
@@ -21,14 +22,27 @@ def append(table: DataFrame, path: str, *partitions: str) -> None:
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
 
 
-def run_header(runs: DataFrame, eval_id: Column, created_at: Column, version: str) -> DataFrame:
-    """One header row per evaluation of `runs`: examples, models, and empty totals."""
+def run_header(runs: DataFrame, eval_id: Column, created_at: Column, version: str, position: Column | None = None) -> DataFrame:
+    """One header row per evaluation of `runs`: examples, models, and empty totals.
+
+    With an integer `position` per example, examples are counted in bitmaps that are merged
+    before the shuffle; without one, every distinct id of an evaluation is shuffled."""
     # The list holds distinct model names only, folded map-side.
-    found = runs.groupBy(eval_id.alias("eval_id")).agg(
-        F.min(created_at).alias("created_at"),
-        F.count_distinct("example_id").alias("num_examples"),
-        F.array_sort(F.collect_set("model_name")).alias("_models"),
-    )
+    models = F.array_sort(F.collect_set("model_name"))
+    if position is None:
+        found = runs.groupBy(eval_id.alias("eval_id")).agg(
+            F.min(created_at).alias("created_at"), F.count_distinct("example_id").alias("num_examples"), models.alias("_models")
+        )
+    else:
+        bucket, bitmap = distinct_positions(position)
+        parts = runs.groupBy(eval_id.alias("eval_id"), bucket.alias("_bucket")).agg(
+            F.min(created_at).alias("created_at"), bitmap.alias("_seen"), models.alias("_models")
+        )
+        found = parts.groupBy("eval_id").agg(
+            F.min("created_at").alias("created_at"),
+            F.sum(F.bitmap_count("_seen")).alias("num_examples"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("_models")))).alias("_models"),
+        )
     return found.select(
         "eval_id",
         "created_at",
@@ -107,23 +121,64 @@ def cache_purge(cache: DataFrame, now: str, ttl_hours: int = TTL_HOURS) -> DataF
 # --- artifacts per experiment ----------------------------------------------------------
 
 
+MODEL_RESULT = "struct<model_name: string, method: string, tokens: bigint, cost_micros: bigint>"
+ARTIFACT = f"example_id STRING, model_results ARRAY<{MODEL_RESULT}>, experiment STRING"
+
+
+def example_results(runs: DataFrame, experiment: str) -> DataFrame:
+    """One nested row per example of an experiment, with the results of all its models."""
+    tokens = F.col("prompt_tokens") + F.col("completion_tokens")
+    result = F.struct("model_name", "method", tokens.cast("bigint").alias("tokens"), F.col("cost_micros").cast("bigint").alias("cost_micros"))
+    # An example has a result per model and method: the list is as long as the grid is wide.
+    return runs.groupBy(F.col(experiment).alias("experiment"), "example_id").agg(F.array_sort(F.collect_list(result)).alias("model_results"))
+
+
 def save_example_results(rows: DataFrame, path: str) -> None:
-    """JSON artifacts, one object per example, laid out by experiment."""
+    """JSON artifacts, one object per line, laid out by experiment: the form for many examples."""
     rows.write.mode("append").partitionBy("experiment").json(path)
 
 
-def read_artifacts(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Artifacts of all experiments; summaries written beside them are not artifacts."""
-    rows = spark.read.schema(schema).option("recursiveFileLookup", False).json(path)
-    return rows.filter(F.col("_metadata.file_name") != SUMMARY_FILE)
+def read_artifacts(spark: SparkSession, path: str, schema: str = ARTIFACT, layout: str = "documents") -> DataFrame:
+    """Artifacts of all experiments (folders `experiment=...`, or a field) with the `file` they come
+    from; summaries written beside them are not artifacts.
+
+    `documents`: a file is one object or one array of objects, indented or not, as published.
+    `lines`: one object per line. What can't be read is a row without `example_id`.
+    """
+    options = {"multiLine": layout == "documents", "columnNameOfCorruptRecord": "_broken"}
+    rows = spark.read.schema(f"{schema}, _broken STRING").options(**options).json(path)
+    rows = rows.filter(F.col("_metadata.file_name") != SUMMARY_FILE).withColumn("file", F.col("_metadata.file_path"))
+    return rows.withColumn("example_id", F.when(F.col("_broken").isNull(), F.col("example_id"))).drop("_broken")
+
+
+def unread_artifacts(artifacts: DataFrame) -> DataFrame:
+    """Files with rows that have no id, and how many."""
+    return artifacts.filter("example_id is null").groupBy("experiment", "file").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def artifact_totals(artifacts: DataFrame) -> DataFrame:
+    """`experiment, example_id, results, total_tokens, cost_micros` of the nested artifacts that have an id."""
+
+    def total(field: str) -> Column:
+        values = F.transform("model_results", lambda r: F.coalesce(r[field], F.lit(0).cast("bigint")))
+        return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+    return artifacts.filter("example_id is not null").select(
+        "experiment",
+        "example_id",
+        F.size("model_results").cast("bigint").alias("results"),
+        total("tokens").alias("total_tokens"),
+        total("cost_micros").alias("cost_micros"),
+    )
 
 
 def experiment_summary(artifacts: DataFrame) -> DataFrame:
-    """Examples, tokens and cost per experiment.
+    """Examples, tokens and cost per experiment, of nested artifacts or of rows with their totals.
 
     Examples are folded first, so one large experiment does not meet in one task unfolded.
     """
-    per_example = artifacts.groupBy("experiment", "example_id").agg(
+    totals = artifact_totals(artifacts) if "model_results" in artifacts.columns else artifacts
+    per_example = totals.groupBy("experiment", "example_id").agg(
         F.sum("total_tokens").alias("tokens"), F.sum("cost_micros").alias("micros")
     )
     return per_example.groupBy("experiment").agg(

@@ -351,3 +351,34 @@ def test_grid(spark):
     assert cells.count() == 8
     plan = cells._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "CartesianProduct" not in plan
+
+
+def test_artifacts_are_nested_documents(spark, tmp_path):
+    for level, ids in (("easy", "ab"), ("hard", "c")):
+        folder = tmp_path / f"experiment={level}"
+        folder.mkdir()
+        for i in ids:
+            results = [{"model_name": "m", "method": "COT", "tokens": 5, "cost_micros": 2}, {"model_name": "n", "method": "POT", "tokens": 7}]
+            (folder / f"{i}.json").write_text(json.dumps({"example_id": i, "model_results": results}, indent=2))
+        (folder / "summary.json").write_text(json.dumps({"experiment_name": level, "results": []}, indent=2))
+    (tmp_path / "experiment=hard" / "broken.json").write_text('{\n "example_id": "d", \n')
+    (tmp_path / "experiment=hard" / "noid.json").write_text('[{"model_results": []},\n {"example_id": "e", "model_results": []}]')
+    found = store.read_artifacts(spark, str(tmp_path))
+    totals = {(r["experiment"], r["example_id"]): (r["results"], r["total_tokens"], r["cost_micros"]) for r in store.artifact_totals(found).collect()}
+    assert totals == {("easy", "a"): (2, 12, 2), ("easy", "b"): (2, 12, 2), ("hard", "c"): (2, 12, 2), ("hard", "e"): (0, 0, 0)}
+    assert sorted((r["file"].rsplit("/", 1)[1], r["rows"]) for r in store.unread_artifacts(found).collect()) == [("broken.json", 1), ("noid.json", 1)]
+    summary = {r["experiment"]: r["total_examples"] for r in store.experiment_summary(found).collect()}
+    assert summary == {"easy": 2, "hard": 2}
+
+
+def test_distinct_counts_without_expand(spark):
+    runs = spark.range(100_000).select(
+        (F.col("id") % 40_000).alias("pos"), (F.col("id") % 40_000).cast("string").alias("example_id"), (F.col("id") % 3).cast("string").alias("model_name"),
+        F.lit(True).alias("is_correct"), F.lit(1).alias("cost_micros"), F.timestamp_seconds("id").alias("at"), (F.col("id") % 2).alias("e"),
+    )
+    totals = reports.report_totals(runs)
+    assert "Expand" not in plan_of(totals) and tuple(totals.first())[:4] == (40_000, 3, 100_000, 100_000)
+    assert tuple(reports.report_totals(runs.limit(0)).first())[:4] == (0, 0, 0, 0)
+    headers = [store.run_header(runs, F.col("e"), F.col("at"), "v", p) for p in (F.col("pos"), None)]
+    assert "Expand" not in plan_of(headers[0])
+    assert sorted(map(tuple, headers[0].collect())) == sorted(map(tuple, headers[1].collect()))
