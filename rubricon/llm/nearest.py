@@ -2,11 +2,13 @@
 
 Vectors are projected on a few random orthogonal directions; every curve shifts and permutes them
 anew and gives each vector its Hilbert key. Spark range-partitions the rows of each curve by key,
-and a query is compared with its neighbouring key window on every curve; the merged answers bound
-its k-th distance from above. The first curve's partitions then serve as blocks: each is cut into
-short key windows with centre and radius, and every window that the triangle inequality can't rule
-out under that bound is read too. So answers are exact, however badly keys keep neighbours
-together; on clustered data few windows are left, on random directions nearly all.
+and a query is compared with its neighbouring key window on every curve; the answers of all curves
+merge and are reranked. They are the result, but for what a check adds: their k-th distance bounds
+the true one from above, and each short key window of the first curve has a centre and a radius.
+Only these are sent to the queries; a window that the triangle inequality can't rule out is open,
+and its rows are sent to the queries it is open for and to no others. So answers are exact, however
+badly keys keep neighbours together; on clustered data few windows are open, on random directions
+nearly all.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite
 components take no part. Of rows with the same vec_id one counts, the smallest vector. Equal
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rubricon.functions.text import int_div
 from rubricon.session import stored
 
 #: Directions kept by the projection and bits of each in a key.
@@ -28,6 +31,8 @@ DIRECTIONS, BITS = 8, 7
 REACH = 200
 #: Rows of a key window with centre and radius; queries worked on together.
 WINDOW_ROWS, QUERY_ROWS = 256, 4096
+#: Windows whose centres meet a slice of queries in one task.
+CHUNK_WINDOWS = 1 << 14
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -112,6 +117,38 @@ def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
+OPEN = "slice long, window long, query_id long, v array<double>, bound double"
+
+
+def ball(window: pa.Table) -> pa.Table:
+    """Centre and radius of a key window's rows."""
+    v = matrix(window["v"].combine_chunks())
+    centre = v.mean(0)
+    radius = np.sqrt(((v - centre) ** 2).sum(1)).max()
+    return pa.table({"window": window["window"][:1], "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": [radius]})
+
+
+def open_windows(queries: pa.Table, windows: pa.Table) -> pa.Table:
+    """A row for each query and window that may hold a row within the query's bound (none yet: any)."""
+    schema = pa.schema([("slice", pa.int64()), ("window", pa.int64()), ("query_id", pa.int64()), ("v", pa.list_(pa.float64())), ("bound", pa.float64())])
+    if not queries.num_rows or not windows.num_rows:
+        return schema.empty_table()
+    q, centres, radius = matrix(queries["v"].combine_chunks()), matrix(windows["centre"].combine_chunks()), np.asarray(windows["radius"])
+    bound = queries["bound"].to_numpy().astype(float)
+    bound = np.where(np.isnan(bound), np.inf, bound)
+    made = []
+    for lo in range(0, len(centres), 512):
+        part, wide = centres[lo : lo + 512], radius[lo : lo + 512]
+        square = (q**2).sum(1)[:, None] + (part**2).sum(1) - 2 * q @ part.T
+        slack = 1e-9 * ((q**2).sum(1)[:, None] + (part**2).sum(1))
+        at, window = np.nonzero(np.sqrt(np.maximum(square - slack, 0)) - wide <= bound[:, None] * (1 + 1e-9))
+        made.append((at, window + lo))
+    at, window = (np.concatenate(x) for x in zip(*made))
+    picked = queries.take(pa.array(at))
+    columns = [picked["slice"], windows["window"].take(pa.array(window)), picked["query_id"], picked["v"], pa.array(bound[at])]
+    return pa.table(columns, schema=schema)
+
+
 def best(found: DataFrame, k: int) -> DataFrame:
     place = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
@@ -145,7 +182,7 @@ def search(
         rows.mapInArrow(keyed, "curve int, key long, vec_id long, v array<double>")
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumns({"query": is_query, "block": F.spark_partition_id()})
+        .withColumns({"query": is_query, "window": int_div(F.monotonically_increasing_id(), WINDOW_ROWS)})
     )
     on_curves = stored(on_curves, "curves")
 
@@ -174,45 +211,36 @@ def search(
         if n:
             yield from compared(True)
 
-    first = stored(best(on_curves.drop("key", "block").mapInArrow(near_in_order, FOUND).distinct(), k), "windows")
+    first = stored(best(on_curves.drop("key", "window").mapInArrow(near_in_order, FOUND).distinct(), k), "windows")
     # Fewer than k found leaves the bound open.
     bounds = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("score")).alias("bound"))
     base = on_curves.filter("curve = 0")
-    size = base.agg(F.count_if("query").alias("queries"), F.max("block").alias("last")).first()
-    slices, last = max(1, -(-size["queries"] // QUERY_ROWS)), size["last"] or 0
+    size = base.agg(F.count_if("query").alias("queries"), F.count("*").alias("rows")).first()
+    slices, chunks = max(1, -(-size["queries"] // QUERY_ROWS)), max(1, -(-size["rows"] // (WINDOW_ROWS * CHUNK_WINDOWS)))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     asked = (
         base.filter("query")
         .select(F.col("vec_id").alias("query_id"), "v")
         .join(bounds, "query_id", "left")
-        .withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)))
+        .withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices).cast("long")))
+        .withColumn("chunk", each(chunks))
     )
-    # The query set goes against all rows in blocks: a task has one slice of it and one partition.
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last))))
-    each_slice = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))
-    base = base.select(
-        F.col("block").alias("row_block"), "key", F.col("vec_id").alias("row_id"), F.col("v").alias("row_v"), each_slice.alias("row_slice")
-    )
-
-    def rest_of_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = answers(np.zeros(0, np.int64), np.zeros(0, np.int64), (np.zeros(0, int), np.zeros(0, int), np.zeros(0)))
+    windows = base.groupBy("window").applyInArrow(ball, "window long, centre array<double>, radius double")
+    windows = windows.withColumn("chunk", F.pmod(F.xxhash64("window"), F.lit(chunks).cast("long"))).withColumn("slice", each(slices))
+    found = asked.groupBy("slice", "chunk").cogroup(windows.groupBy("slice", "chunk")).applyInArrow(open_windows, OPEN)
+    opened = stored(found, "open-windows")
+    wanted = opened.select(F.col("window").alias("row_window"), F.col("slice").alias("row_slice")).distinct()
+    held = base.select(F.col("window").alias("row_window"), F.col("vec_id").alias("row_id"), F.col("v").alias("row_v")).join(wanted, "row_window")
+
+    def reread(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.Table.from_batches([empty])
+            return pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]).empty_table()
         query_ids, q = np.asarray(left["query_id"]), matrix(left["v"].combine_chunks())
-        bound = left["bound"].to_numpy().astype(float)
-        bound = np.where(np.isnan(bound), np.inf, bound)
-        right = right.sort_by([("key", "ascending"), ("row_id", "ascending")])
-        ids, v = np.asarray(right["row_id"]), matrix(right["row_v"].combine_chunks())
-        made = [empty]
-        for lo in range(0, len(ids), WINDOW_ROWS):
-            part, part_ids = v[lo : lo + WINDOW_ROWS], ids[lo : lo + WINDOW_ROWS]
-            centre = part.mean(0)
-            radius = np.sqrt(((part - centre) ** 2).sum(1)).max()
-            live = np.flatnonzero(np.sqrt(((q - centre) ** 2).sum(1)) - radius <= bound * (1 + 1e-12))
-            if len(live):
-                found = nearest_of(q[live], query_ids[live], part, part_ids, k)
-                good = found[2] <= bound[live][found[0]]
-                made.append(answers(query_ids[live], part_ids, tuple(x[good] for x in found)))
-        return pa.Table.from_batches(made)
-
-    rest = asked.groupBy("block", "slice").cogroup(base.groupBy("row_block", "row_slice")).applyInArrow(rest_of_block, FOUND)
-    return best(rest, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        bound, ids = np.asarray(left["bound"]), np.asarray(right["row_id"])
+        near = nearest_of(q, query_ids, matrix(right["row_v"].combine_chunks()), ids, k)
+        good = near[2] <= bound[near[0]]
+        return pa.Table.from_batches([answers(query_ids, ids, tuple(x[good] for x in near))])
+
+    checked = opened.groupBy("window", "slice").cogroup(held.groupBy("row_window", "row_slice")).applyInArrow(reread, FOUND)
+    merged = first.select("query_id", "vec_id", "score").unionByName(checked).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return best(merged, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

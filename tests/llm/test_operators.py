@@ -232,6 +232,30 @@ def test_nearest_is_exact(spark):
     assert nearest.search(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_few_windows_are_open_for_clustered_vectors(spark):
+    draw = np.random.default_rng(9)
+    centres = draw.normal(size=(40, 16)) * 50
+    vectors = (np.repeat(centres, 300, 0) + draw.normal(size=(12_000, 16))).tolist()
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    opened = []
+    keep = nearest.stored
+    nearest.stored = lambda d, label: opened.append(keep(d, label)) or opened[-1]
+    try:
+        found = nearest.search(df, F.col("vec_id") % 100 == 0).collect()
+    finally:
+        nearest.stored = keep
+    table = next(d for d in opened if "bound" in d.columns)
+    assert table.count() < 120 * (12_000 / nearest.WINDOW_ROWS) / 4
+    v, got = np.array(vectors), {}
+    for r in found:
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    for q, ranked in got.items():
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert [ranked[k] for k in range(1, 11)] == np.lexsort((np.arange(len(v)), d))[:10].tolist()
+    assert len(got) == 120
+
+
 def test_language(spark, hard, none, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = language.identify(hard, docs.select("text", "lang")).collect()
