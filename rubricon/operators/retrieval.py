@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rubricon.functions.text import as_col
+from rubricon.functions.text import as_col, int_div
 from rubricon.functions.tokens import function_keywords, query_keywords
 from rubricon.operators.binding import bind
 from rubricon.operators.positions import top_per_key
@@ -202,11 +202,36 @@ def retrieve(queries: DataFrame, functions: DataFrame, k: int = 5, keep: Column
 # How functions are written into a prompt.
 BLOCK_TITLE = "Available financial functions:\n\n"
 
+#: Bits of the filter in front of function bodies: 8 MB are broadcast at most.
+MARKED_BITS = 1 << 26
+
+
+def marked_positions(ranked: DataFrame) -> DataFrame:
+    """(_bucket, _marks): bitmaps of the positions in `ranked`, merged map-side. `MARKED_BITS` bits
+    at most, whatever the library: positions of a larger one share bits."""
+    bit = F.pmod("pos", F.lit(MARKED_BITS))
+    return ranked.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_marks"))
+
+
+def wanted_bodies(functions: DataFrame, ranked: DataFrame) -> DataFrame:
+    """The functions that `ranked` names, by a filter where they are read: bodies that nobody
+    asked for are not shuffled. In a library of more than `MARKED_BITS` functions some others that
+    share a bit come along."""
+    bit = F.pmod("pos", F.lit(MARKED_BITS))
+    place = F.bitmap_bit_position(bit)
+    byte = F.substring("_marks", int_div(place, 8).cast("int") + 1, 1)
+    is_marked = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (place % 8).cast("int")) == 1
+    placed = functions.withColumn("_bucket", F.bitmap_bucket_number(bit))
+    return placed.join(F.broadcast(marked_positions(ranked)), "_bucket").filter(is_marked).select(functions.columns)
+
 
 def format_functions(ranked: DataFrame, functions: DataFrame) -> DataFrame:
-    """One text block per query with its functions in rank order (at most k of them)."""
+    """One text block per query with its functions in rank order (at most k of them). `ranked` is
+    written once, because the filter of the bodies and the join both read it."""
+    ranked = stored(ranked.select("query_id", "rank", "pos"), "ranked")
     body = F.concat(F.lit("# "), "article_title", F.lit("\n```python\n"), "function", F.lit("\n```\n\n"))
-    texts = ranked.join(functions.select("pos", body.alias("body")), "pos")
+    bodies = wanted_bodies(functions.select("pos", "article_title", "function"), ranked).select("pos", body.alias("body"))
+    texts = ranked.join(bodies, "pos")
     ordered = F.array_sort(F.collect_list(F.struct("rank", "body")))
     return texts.groupBy("query_id").agg(
         F.concat(F.lit(BLOCK_TITLE), F.array_join(F.transform(ordered, lambda e: e["body"]), "")).alias("functions_text")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from rubricon.operators.positions import first_per_key
 from rubricon.session import shared_dir
@@ -57,73 +60,97 @@ def current_totals(spark: SparkSession, path: str) -> DataFrame:
     return first_per_key(written, ["model_name"], F.desc("batch_id")).drop("batch_id")
 
 
-FOLD_TYPE = "struct<last_kept: timestamp, kept: array<timestamp>>"
-
-
-def fold_times(times: Column, last_kept: Column, ttl: str) -> Column:
-    """STRUCT<last_kept, kept> of one call key: a time passes unless a kept one lies less than
-    `ttl` before it. Times older than the last kept one have no kept time before them and pass."""
-    none = F.array().cast("array<timestamp>")
-    start = F.struct(last_kept.alias("last_kept"), none.alias("kept")).cast(FOLD_TYPE)
-
-    def step(acc: Column, t: Column) -> Column:
-        last = acc["last_kept"]
-        repeat = F.coalesce((t >= last) & (t < last + F.expr(f"interval {ttl}")), F.lit(False))
-        return F.struct(
-            F.when(repeat, last).otherwise(F.greatest(last, t)).alias("last_kept"),
-            F.when(repeat, acc["kept"]).otherwise(F.array_append(acc["kept"], t)).alias("kept"),
-        ).cast(FOLD_TYPE)
-
-    return F.aggregate(times, start, step)
-
-
-def open_keys(folded: DataFrame, ttl: str, lateness: str) -> DataFrame:
-    """State of the keys that a call at most `lateness` behind the newest could still repeat."""
-    newest = folded.agg(F.max("last_kept")).first()[0]
-    horizon = F.lit(newest) - F.expr(f"interval {ttl}") - F.expr(f"interval {lateness}")
-    return folded.filter(F.col("last_kept") > horizon)
-
-
-def drop_cached(calls: DataFrame, path: str, checkpoint: str, ttl: str = "24 hours", lateness: str = "24 hours") -> None:
-    """Process everything available; each batch appends the calls that no kept call answers.
-
-    State is one time per key, written after each batch; only keys younger than `ttl` and
-    `lateness` are carried on. A batch takes its times in order, whatever the order of its rows,
-    so the kept rows do not depend on how calls that arrive in time order are cut into batches.
-    Of calls with the same key and time one is kept; calls without a time are all kept. Only the
-    distinct times of a key meet in one task, at most those of one batch. A replayed batch reads
-    the state of the one before it and overwrites its own state and rows.
+#: Rows travel through the state operator as JSON, so that every type comes back as it was.
+ROW_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def micros(spark: SparkSession, duration: str) -> int:
+    """Microseconds of a duration such as `24 hours`."""
+    start = F.lit("2000-01-01").cast("timestamp")
+    return spark.range(1).select(F.unix_micros(start + F.expr(f"interval {duration}")) - F.unix_micros(start)).first()[0]
+
+
+def kept_places(times: np.ndarray, last: int | None, ttl: int) -> tuple[list[int], int]:
+    """(places of the times that stay, last kept time). `times` rise and are distinct. A time stays
+    unless a kept one lies less than `ttl` before it; times before `last` have none and stay."""
+    late = 0 if last is None else int(np.searchsorted(times, last))
+    kept = list(range(late))
+    at = late if last is None else int(np.searchsorted(times, last + ttl))
+    while at < len(times):
+        kept.append(at)
+        last = int(times[at])
+        at = int(np.searchsorted(times, last + ttl))
+    return kept, last
+
+
+def answered(ttl: int):
+    """The state function of `drop_cached`: gives out the kept rows of one key."""
+
+    def step(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows: dict[int, str] = {}  # of each time the smallest row
+        for frame in frames:
+            for at, row in zip(frame["at"].tolist(), frame["row"].tolist()):
+                if at not in rows or row < rows[at]:
+                    rows[at] = row
+        if not rows:
+            return
+        times = np.sort(np.fromiter(rows, np.int64, len(rows)))
+        places, last = kept_places(times, state.get[0] if state.exists else None, ttl)
+        if places:
+            yield pd.DataFrame({"row": [rows[at] for at in times[places].tolist()]})
+        closes = (last + ttl) // 1000 + 1
+        if closes > state.getCurrentWatermarkMs():
+            state.update((last,))
+            state.setTimeoutTimestamp(closes)
+        elif state.exists:
+            state.remove()
+
+    return step
+
+
+def unanswered(calls: DataFrame, ttl: str = "24 hours", lateness: str = "24 hours") -> DataFrame:
+    """The stream of calls that no kept call with the same key answers.
+
+    Spark's keyed state holds one time per key and drops it by an event-time timer, once the
+    newest call lies `ttl` and `lateness` behind it; a batch reads and writes the state of its own
+    keys only. A batch takes the times of a key in order, whatever the order of its rows, so the
+    kept rows do not depend on how calls that arrive in time order are cut into batches. Of calls
+    with the same key and time the one whose JSON is smallest stays. Calls without a time are all
+    kept, and so are calls older than the last kept one of their key, however late they come: the
+    clock is a column of its own that is null on the rows themselves, because Spark drops rows
+    behind the watermark. Only the distinct times of a key in one batch meet in one task;
+    `per_trigger` of `open_stream` bounds a batch.
     """
-    others = [c for c in calls.columns if c not in (*CALL_KEY, "created_at")]
+    row = F.to_json(F.struct(*calls.columns), ROW_OPTIONS).alias("row")
+    clock = F.explode(F.array(F.lit(None).cast("timestamp"), "created_at")).alias("_clock")
+    timed = calls.filter("created_at is not null").select(*CALL_KEY, F.unix_micros("created_at").alias("at"), row, clock)
+    # The rows that carry the clock end behind the watermark. The filter reads the clock, so it stays there.
+    timed = timed.withWatermark("_clock", lateness).filter("_clock is null")
+    kept = timed.groupBy(*CALL_KEY).applyInPandasWithState(
+        answered(micros(calls.sparkSession, ttl)), "row string", "last_kept long", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    rows = kept.select(F.from_json("row", calls.schema, ROW_OPTIONS).alias("r")).select("r.*")
+    return rows.unionByName(calls.filter("created_at is null"))
 
-    def slot(batch_id: int) -> str:
-        return f"{path}/state/slot={batch_id % 2}"
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        single = F.min(F.struct(F.lit(0).alias("_"), *others)).alias("_row")
-        timed = batch.filter("created_at is not null").groupBy(*CALL_KEY, "created_at").agg(single)
-        seen = timed.select(*CALL_KEY, "created_at", F.lit(None).cast("timestamp").alias("last_kept"))
-        if batch_id:
-            before = open_keys(spark.read.parquet(slot(batch_id - 1)), ttl, lateness)
-            seen = seen.unionByName(before.select(*CALL_KEY, F.lit(None).cast("timestamp").alias("created_at"), "last_kept"))
-        times = seen.groupBy(*CALL_KEY).agg(F.array_sort(F.collect_list("created_at")).alias("times"), F.max("last_kept").alias("last_kept"))
-        folded = times.select(*CALL_KEY, fold_times(F.col("times"), F.col("last_kept"), ttl).alias("f")).select(*CALL_KEY, "f.*")
-        folded.write.mode("overwrite").parquet(slot(batch_id))
-        kept = spark.read.parquet(slot(batch_id)).select(*[F.col(c).alias(f"_{c}") for c in CALL_KEY], F.explode("kept").alias("_at"))
-        match = F.col("created_at") == F.col("_at")
-        for c in CALL_KEY:
-            match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
-        rows = timed.join(kept, match, "left_semi").select(*CALL_KEY, "created_at", "_row.*").select(*calls.columns)
-        rows.unionByName(batch.filter("created_at is null")).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
-
-    query = calls.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+def drop_cached(calls: DataFrame, path: str, checkpoint: str, ttl: str = "24 hours", lateness: str = "24 hours") -> None:
+    """Process everything available; `unanswered` calls are appended under `path`, each batch once."""
+    query = (
+        unanswered(calls, ttl, lateness)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start(f"{path}/out")
+    )
     query.awaitTermination()
 
 
 def kept_calls(spark: SparkSession, path: str, schema) -> DataFrame:
     """All calls that `drop_cached` kept under `path`."""
-    return spark.read.schema(schema).parquet(f"{path}/out").drop("batch")
+    return spark.read.schema(schema).parquet(f"{path}/out")
 
 
 def stream_running(spark: SparkSession, results: DataFrame) -> DataFrame:

@@ -1,7 +1,11 @@
 """Samples, running totals, files, stores and streams."""
 
 import json
+import random
+from datetime import datetime, timedelta
+from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,6 +238,41 @@ def test_stream_dedup_keeps_late_and_timeless_calls(spark, tmp_path):
     assert _kept_hours(spark, str(tmp_path), [50, 20, None, 60, None], [1, 3]) == [20, 50, None, None]
 
 
+def test_stream_dedup_keeps_calls_behind_the_watermark(spark, tmp_path):
+    """Hour 2 comes 498 hours late and is kept; the state of the key outlives no timer, and a new
+    call after its end is kept as well."""
+    assert _kept_hours(spark, str(tmp_path), [0, 10, 500, 2, 510, 900, 905], [2, 3, 5]) == [0, 2, 500, 900]
+
+
+def test_stream_dedup_returns_rows_as_they_were(spark, tmp_path):
+    """Every type survives the state operator, and of equal times the smallest row stays."""
+    schema = (
+        "created_at TIMESTAMP, example_id STRING, model STRING, prompt_hash STRING, big BIGINT, real DOUBLE, money DECIMAL(20,4), "
+        "at TIMESTAMP, flags ARRAY<BOOLEAN>, raw BINARY, note STRING"
+    )
+    start = datetime(2024, 1, 1, 0, 0, 0, 123456)
+    row = (start, "a", "m", "h", 2**60 + 1, 0.1, Decimal("1.2345"), start, [True, None], bytearray(b"\x00\xff"), 'quote " and\nline')
+    bare = (start, None, "m", "h", *[None] * 7)
+    again = (start + timedelta(hours=1), *row[1:])
+    spark.createDataFrame([row, row, bare, again], schema).write.parquet(f"{tmp_path}/in")
+    out = live.stream_cache_dedup(spark, live.open_stream(spark, f"{tmp_path}/in", schema)).collect()
+    assert sorted(map(tuple, out), key=lambda r: r[1] is None) == [row, bare]
+
+
+def test_kept_places_follow_the_rule(spark):
+    """Against the rule one time after the other."""
+    rng = random.Random(5)
+    for _ in range(300):
+        times = sorted(rng.sample(range(60), rng.randint(1, 25)))
+        last = rng.choice([None, rng.randint(-20, 50)])
+        kept, newest = [], last
+        for place, t in enumerate(times):
+            if newest is None or not newest <= t < newest + 7:
+                kept.append(place)
+                newest = t if newest is None else max(newest, t)
+        assert live.kept_places(np.array(times), last, 7) == (kept, newest)
+
+
 # --- reports, grid, prompts ------------------------------------------------------------
 
 

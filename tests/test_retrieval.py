@@ -99,3 +99,21 @@ def test_fallback_and_format(spark, library):
     text = X.format_functions(ranked, f).filter("query_id = 60").first()["functions_text"]
     assert text == "Available financial functions:\n\n" + "# T\n```python\nf()\n```\n\n" * 2
     assert X.retrieve(q, f, 2, keep=F.col("rank") == 1).count() == 61
+
+
+def test_only_wanted_bodies_leave_the_scan(spark, monkeypatch):
+    """The filter lets the asked positions through and no others, unless positions share a bit."""
+    from pyspark.sql import functions as F
+
+    library = spark.range(100_000).select(F.col("id").alias("pos"), F.lit("T").alias("article_title"), F.lit("f").alias("function"))
+    asked = [0, 1, 7, 8, 32_767, 32_768, 32_769, 65_536, 99_999]
+    ranked = spark.createDataFrame([(q, 1, p) for p in asked for q in (1, 2)], "query_id LONG, rank INT, pos LONG")
+    found = X.wanted_bodies(library, ranked)
+    assert found.columns == library.columns
+    assert sorted(r["pos"] for r in found.collect()) == asked
+    assert X.wanted_bodies(library, ranked.filter("pos < 0")).count() == 0
+    monkeypatch.setattr(X, "MARKED_BITS", 1 << 10)
+    few = {r["pos"] for r in X.wanted_bodies(library, ranked).collect()}
+    assert few == {p for p in range(100_000) if p % 1024 in {a % 1024 for a in asked}}
+    text = X.format_functions(ranked, library)
+    assert text.filter("query_id = 2").first()["functions_text"].count("# T\n") == len(asked)
