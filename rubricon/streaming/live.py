@@ -64,6 +64,11 @@ def current_totals(spark: SparkSession, path: str) -> DataFrame:
 ROW_OPTIONS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
+#: Groups of keys that share a state, and what a group's state holds.
+STATE_GROUPS = 1024
+STATE = "keys array<string>, last_kept array<long>"
+
+
 def micros(spark: SparkSession, duration: str) -> int:
     """Microseconds of a duration such as `24 hours`."""
     start = F.lit("2000-01-01").cast("timestamp")
@@ -84,53 +89,63 @@ def kept_places(times: np.ndarray, last: int | None, ttl: int) -> tuple[list[int
 
 
 def answered(ttl: int):
-    """The state function of `drop_cached`: gives out the kept rows of one key."""
+    """The state function of `unanswered`: gives out the kept rows of one group of keys."""
 
-    def step(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows: dict[int, str] = {}  # of each time the smallest row
+    def step(group, frames, state):
+        rows: dict[str, dict[int, str]] = {}  # of each key and time the smallest row
         for frame in frames:
-            for at, row in zip(frame["at"].tolist(), frame["row"].tolist()):
-                if at not in rows or row < rows[at]:
-                    rows[at] = row
-        if not rows:
+            for key, at, row in zip(frame["key"].tolist(), frame["at"].tolist(), frame["row"].tolist()):
+                of_key = rows.setdefault(key, {})
+                if at not in of_key or row < of_key[at]:
+                    of_key[at] = row
+        if state.hasTimedOut or (not rows and not state.exists):
+            state.remove()
             return
-        times = np.sort(np.fromiter(rows, np.int64, len(rows)))
-        places, last = kept_places(times, state.get[0] if state.exists else None, ttl)
-        if places:
-            yield pd.DataFrame({"row": [rows[at] for at in times[places].tolist()]})
-        closes = (last + ttl) // 1000 + 1
-        if closes > state.getCurrentWatermarkMs():
-            state.update((last,))
-            state.setTimeoutTimestamp(closes)
+        last = dict(zip(*state.get)) if state.exists else {}
+        out = []
+        for key, of_key in rows.items():
+            times = np.sort(np.fromiter(of_key, np.int64, len(of_key)))
+            places, last[key] = kept_places(times, last.get(key), ttl)
+            out += [of_key[at] for at in times[places].tolist()]
+        if out:
+            yield pd.DataFrame({"row": out})
+        watermark = state.getCurrentWatermarkMs()
+        closes = {key: (at + ttl) // 1000 + 1 for key, at in last.items()}
+        last = {key: at for key, at in last.items() if closes[key] > watermark}
+        if last:
+            state.update((list(last), list(last.values())))
+            state.setTimeoutTimestamp(max(closes[key] for key in last))
         elif state.exists:
             state.remove()
 
     return step
 
 
-def unanswered(calls: DataFrame, ttl: str = "24 hours", lateness: str = "24 hours") -> DataFrame:
+def unanswered(calls: DataFrame, ttl: str = "24 hours", lateness: str = "24 hours", state_groups: int = STATE_GROUPS) -> DataFrame:
     """The stream of calls that no kept call with the same key answers.
 
-    Spark's keyed state holds one time per key and drops it by an event-time timer, once the
-    newest call lies `ttl` and `lateness` behind it; a batch reads and writes the state of its own
-    keys only. A batch takes the times of a key in order, whatever the order of its rows, so the
-    kept rows do not depend on how calls that arrive in time order are cut into batches. Of calls
-    with the same key and time the one whose JSON is smallest stays. Calls without a time are all
-    kept, and so are calls older than the last kept one of their key, however late they come: the
-    clock is a column of its own that is null on the rows themselves, because Spark drops rows
-    behind the watermark. Only the distinct times of a key in one batch meet in one task;
-    `per_trigger` of `open_stream` bounds a batch.
+    Spark's keyed state holds one time per key and drops it, by an event-time timer or when its
+    group is next read, once the newest call lies `ttl` and `lateness` behind it. Keys are hashed
+    into `state_groups` groups, because a call of the state function costs milliseconds and a key
+    microseconds; a batch reads and writes the groups of its own keys only. The number must stay
+    the same for a checkpoint; on a large cluster take some hundred for each shuffle partition.
+
+    A batch takes the times of a key in order, whatever the order of its rows, so the kept rows do
+    not depend on how calls that arrive in time order are cut into batches. Of calls with the same
+    key and time the one whose JSON is smallest stays. Calls without a time are all kept, and so
+    are calls older than the last kept one of their key, however late they come: the clock is a
+    column of its own that is null on the rows themselves, because Spark drops rows behind the
+    watermark. The distinct times of a group's keys in one batch meet in one task; `per_trigger` of
+    `open_stream` bounds a batch.
     """
-    row = F.to_json(F.struct(*calls.columns), ROW_OPTIONS).alias("row")
+    row, key = (F.to_json(F.struct(*c), ROW_OPTIONS) for c in (calls.columns, CALL_KEY))
     clock = F.explode(F.array(F.lit(None).cast("timestamp"), "created_at")).alias("_clock")
-    timed = calls.filter("created_at is not null").select(*CALL_KEY, F.unix_micros("created_at").alias("at"), row, clock)
+    group = F.pmod(F.xxhash64(*CALL_KEY), F.lit(state_groups)).alias("group")
+    timed = calls.filter("created_at is not null").select(group, key.alias("key"), F.unix_micros("created_at").alias("at"), row.alias("row"), clock)
     # The rows that carry the clock end behind the watermark. The filter reads the clock, so it stays there.
     timed = timed.withWatermark("_clock", lateness).filter("_clock is null")
-    kept = timed.groupBy(*CALL_KEY).applyInPandasWithState(
-        answered(micros(calls.sparkSession, ttl)), "row string", "last_kept long", "append", GroupStateTimeout.EventTimeTimeout
+    kept = timed.groupBy("group").applyInPandasWithState(
+        answered(micros(calls.sparkSession, ttl)), "row string", STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
     rows = kept.select(F.from_json("row", calls.schema, ROW_OPTIONS).alias("r")).select("r.*")
     return rows.unionByName(calls.filter("created_at is null"))
