@@ -5,7 +5,8 @@ too large is split at vantage points taken from itself: a level of the tree send
 inwards or outwards by its Hamming distance to the level's point. By the triangle inequality a
 linked pair can only be parted where the inner one lies within the link radius of the boundary,
 so inner fingerprints of that rim go to both sides: every linked pair meets in some shard.
-Shards are then compared in blocks, and each gives at most one link for every fingerprint in it.
+Within a shard the tree goes on down to small leaves in the same way; only the pairs of a leaf are
+compared. A shard gives at most one link for every fingerprint in it.
 
 Texts without words (nulls, empty, white space) have fingerprint zero and are linked like others.
 Rows with a null doc_id get the component of their fingerprint, but never name one. Repeated rows
@@ -33,6 +34,8 @@ SHARD_LIMIT, SHARD_TARGET = 1 << 15, 1 << 13
 #: Fingerprints of a shard from which vantage points and radii are taken; they only set the balance.
 SAMPLE = 512
 LEVELS_AT_ONCE = 8
+#: Within a shard the tree goes on down to leaves of this size, with a smaller choice of points.
+LEAF, LEAF_SAMPLE, LEAF_VANTAGES = 512, 256, 4
 
 
 def text_fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -95,13 +98,13 @@ def distances(points: np.ndarray, to: np.uint64) -> np.ndarray:
     return np.bitwise_count(points ^ to).astype(np.int64)
 
 
-def vantage_levels(sample: np.ndarray, levels: int) -> list[tuple[int, int]]:
+def vantage_levels(sample: np.ndarray, levels: int, tried: int = 24) -> list[tuple[int, int]]:
     """(vantage point, inner radius) for each level: of a few candidates the one whose rim, which
     both sides get, is smallest beside what the split takes off the larger side."""
-    chosen, tried = [], list(sample[:: max(1, len(sample) // 24)][:24])
+    chosen, points = [], list(sample[:: max(1, len(sample) // tried)][:tried])
     for _ in range(levels):
         best = None
-        for point in tried:
+        for point in points:
             d = np.sort(distances(sample, point))
             for radius in {int(d[len(d) * part // 8]) for part in (3, 4, 5)}:
                 inner, rim = (d <= radius).mean(), ((d <= radius) & (d > radius - RADIUS)).mean()
@@ -109,7 +112,7 @@ def vantage_levels(sample: np.ndarray, levels: int) -> list[tuple[int, int]]:
                 if best is None or cost < best[0]:
                     best = (cost, int(point), radius)
         chosen.append(best[1:])
-        tried = [p for p in tried if int(p) != best[1]] or tried
+        points = [p for p in points if int(p) != best[1]] or points
     return chosen
 
 
@@ -125,12 +128,15 @@ def sent_to(points: np.ndarray, levels: list[tuple[int, int]]) -> tuple[np.ndarr
 
 
 def sharded(points: DataFrame) -> DataFrame:
-    """`points` (fp, rep) with a `shard`, so that every pair within the radius shares one."""
+    """`points` (fp, rep) with a `shard`, so that every pair within the radius shares one. Splitting ends
+    when no shard is above the limit, or when a round no longer makes the largest one smaller."""
     rows = stored(points.withColumn("shard", F.lit(0).cast("long")), "shards")
-    for _ in range(16):
+    largest = None
+    while True:
         sizes = {r["shard"]: r["n"] for r in rows.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD_LIMIT).collect()}
-        if not sizes:
+        if not sizes or (largest and max(sizes.values()) > 0.9 * largest):
             break
+        largest = max(sizes.values())
         rate = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(SAMPLE / n))])
         large = rows.filter(F.col("shard").isin(list(sizes)))
         taken = large.filter(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1 << 20)) < rate[F.col("shard")] * (1 << 20))
@@ -177,14 +183,36 @@ def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = jumped
 
 
+def leaves(fps: np.ndarray):
+    """Places of the fingerprints of each leaf of a vantage-point tree over a shard. A node's rim goes
+    to both branches, as between shards, so that every pair within the radius shares a leaf and all
+    other branches are pruned. What no vantage point splits well is a leaf of any size."""
+    open_nodes = [np.arange(len(fps))]
+    while open_nodes:
+        at = open_nodes.pop()
+        if len(at) > LEAF:
+            own = fps[at]
+            point, radius = vantage_levels(np.sort(own[:: max(1, len(own) // LEAF_SAMPLE)]), 1, tried=LEAF_VANTAGES)[0]
+            d = distances(own, np.uint64(point))
+            inner, outer = at[d <= radius], at[d > radius - RADIUS]
+            if max(len(inner), len(outer)) <= 0.9 * len(at):
+                open_nodes += [inner, outer]
+                continue
+        yield at
+
+
 def shard_links(table: pa.Table) -> pa.Table:
-    """At most one link for each fingerprint of a shard, with the shard's components."""
+    """At most one link for each fingerprint of a shard, with the shard's components. Pairs are
+    compared within the leaves of its tree, in blocks."""
     fps, reps = np.asarray(table["fp"]).view(np.uint64), np.asarray(table["rep"])
     labels = np.arange(len(fps))
-    for lo in range(0, len(fps), 256):
-        near = np.bitwise_count(fps[lo : lo + 256, None] ^ fps[lo:]) <= RADIUS
-        a, b = np.nonzero(near)
-        labels = unite(labels, a + lo, b + lo)
+    for at in leaves(fps):
+        own = fps[at]
+        for lo in range(0, len(at), 256):
+            a, b = np.nonzero(np.bitwise_count(own[lo : lo + 256, None] ^ own[lo:]) <= RADIUS)
+            apart = a < b
+            if apart.any():
+                labels = unite(labels, at[a[apart] + lo], at[b[apart] + lo])
     linked = np.flatnonzero(labels != np.arange(len(fps)))
     return pa.table({"u": pa.array(reps[linked]), "v": pa.array(reps[labels[linked]])})
 

@@ -208,6 +208,45 @@ def test_vantage_shards_lose_no_link(spark, monkeypatch):
     assert [roots.get(k, k) for k in range(len(fps))] == simhash.unite(labels, a, b).tolist()
 
 
+def test_leaves_hold_every_pair_and_few_others(monkeypatch):
+    draw = np.random.default_rng(8)
+    base = draw.integers(0, 1 << 63, 6000, dtype=np.uint64)
+    near = base[:2000] ^ (np.uint64(1) << draw.integers(0, 63, 2000).astype(np.uint64))
+    crowd = base[0] ^ (np.uint64(1) << draw.integers(0, 63, 900).astype(np.uint64)) ^ (np.uint64(1) << draw.integers(0, 63, 900).astype(np.uint64))
+    fps = np.unique(np.concatenate([base, near, crowd]))
+    monkeypatch.setattr(simhash, "LEAF", 200)
+    met, compared = np.zeros((len(fps), len(fps)), bool), 0
+    for at in simhash.leaves(fps):
+        compared += len(at) ** 2
+        met[np.ix_(at, at)] = True
+    a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps) <= 2)
+    assert met[a, b].all() and compared < len(fps) ** 2 / 2
+    links = simhash.shard_links(pa.table({"fp": fps.view(np.int64), "rep": np.arange(len(fps))}))
+    labels = simhash.unite(np.arange(len(fps)), a, b)
+    assert dict(zip(links["u"].to_pylist(), links["v"].to_pylist())) == {k: r for k, r in enumerate(labels.tolist()) if k != r}
+
+
+def test_near_duplicates_equal_brute_force(spark, monkeypatch):
+    """component_id from texts, against all pairs of fingerprints, with shards and leaves of a few rows."""
+    draw = np.random.default_rng(3)
+    texts = [None, "", " \n", "a", "A", "a b"]
+    for _ in range(60):
+        words = [f"w{x}" for x in draw.integers(0, 500, int(draw.integers(50, 700)))]
+        texts += [" ".join(words), " ".join(words).upper(), " ".join([*words[:-1], "else"]), " ".join(["new", *words, "end"])]
+    texts += [texts[6]] * 30
+    ids = draw.permutation(len(texts)).tolist()
+    for name, size in (("SHARD_LIMIT", 40), ("SHARD_TARGET", 20), ("LEAF", 8), ("LEAF_SAMPLE", 8)):
+        monkeypatch.setattr(simhash, name, size)
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id BIGINT, text STRING")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    fps = np.array([brute_fingerprint(t) for t in texts], np.uint64)
+    order = np.argsort(ids)
+    a, b = np.nonzero(np.bitwise_count(fps[order][:, None] ^ fps[order]) <= 2)
+    want = simhash.unite(np.arange(len(texts)), a, b)
+    assert (fps[order][a] != fps[order][b]).any()
+    assert [got[k] for k in range(len(texts))] == want.tolist()
+
+
 def test_components_of_a_chain(spark):
     links = spark.range(60).select((F.col("id") + 1).alias("u"), F.col("id").alias("v"))
     assert {(r["id"], r["root"]) for r in components.components(links).collect()} == {(k, 0) for k in range(1, 61)}
