@@ -1,6 +1,8 @@
 """Operators against brute force, libraries and hard inputs."""
 
+import functools
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -353,6 +355,80 @@ def test_kt_and_tree_weights_by_hand():
     assert np.exp(total[0]) == pytest.approx((own + 0.08) / 2) and weight[0] == pytest.approx(own / (own + 0.08))
 
 
+def brute_tree(words: list[bytes]):
+    """Context-tree weighting by definition, from {(context nearest first, bits): [zeros, ones]}."""
+    counts: dict = {}
+
+    def decisions(word):
+        line = bytes([0x20]) + word + bytes([0x20])
+        for place in range(1, len(line)):
+            context = line[max(0, place - tree_weighting.DEPTH) : place][::-1]
+            bits = f"{line[place]:08b}"
+            yield from ((context, bits[:k], int(bits[k])) for k in range(8))
+
+    for word in words:
+        for context, before, bit in decisions(word):
+            for depth in range(len(context) + 1):
+                counts.setdefault((context[:depth], before), [0, 0])[bit] += 1
+
+    def own(node):
+        zeros, ones = counts[node]
+        return math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - math.lgamma(zeros + ones + 1) - math.log(math.pi)
+
+    def leaf(context):
+        return len(context) == tree_weighting.DEPTH or context[-1:] == b" "
+
+    @functools.cache
+    def block(node):
+        context, before = node
+        if leaf(context):
+            return own(node)
+        under = sum(block((context + bytes([c]), before)) for c in range(256) if (context + bytes([c]), before) in counts)
+        return np.logaddexp(own(node), under) - math.log(2)
+
+    def one(context, before, depth=0):
+        node = (context[:depth], before)
+        if node not in counts:
+            return None
+        zeros, ones = counts[node]
+        here = (ones + 0.5) / (zeros + ones + 1)
+        under = None if leaf(node[0]) else one(context, before, depth + 1)
+        if under is None:
+            return here
+        weight = math.exp(own(node) - math.log(2) - block(node))
+        return weight * here + (1 - weight) * under
+
+    def log10(word):
+        found = ((one(context, before), bit) for context, before, bit in decisions(word))
+        return sum(math.log10(0.5 if p is None else p if bit else 1 - p) for p, bit in found)
+
+    return log10
+
+
+def test_tree_weighting_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    stems = ["baba", "abacus", "cabbage", "x", "bac", "longerthansixbytes", "\u00e9t\u00e9", "\u4e2d\u6587"]
+    rows = []
+    for k in range(60):
+        words = ["".join(rng.choice(stems, rng.integers(1, 3))) for _ in range(rng.integers(0, 12))]
+        rows.append((k, " ".join(words), k % 4 != 0, ["a", "b", None][k % 3]))
+    rows.append((60, "unseen zebra quux", False, "a"))
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, training BOOLEAN, lang STRING")
+    found = {r["doc_id"]: r["score"] for r in tree_weighting.score(docs, F.col("training"), F.col("lang")).collect()}
+
+    def words_of(text):
+        return [*(w.encode() for w in text.split()), b""]
+
+    shares = Counter(lang for _, _, training, lang in rows if training and lang)
+    trees = [(1.0, brute_tree([w for _, t, training, _ in rows if training for w in words_of(t)]))]
+    for name, n in shares.items():
+        trees.append((n, brute_tree([w for _, t, training, lang in rows if training and lang == name for w in words_of(t)])))
+    total = sum(n for n, _ in trees)
+    for doc_id, text, _, _ in rows:
+        logs = [math.log(n / total) + math.log(10) * sum(map(log10, words_of(text))) for n, log10 in trees]
+        assert found[doc_id] == pytest.approx(np.logaddexp.reduce(logs) / math.log(10), rel=1e-4, abs=1e-4), doc_id
+
+
 def test_toxicity(spark, hard, none, sf_dir):
     clean = [(k, f"plain words number {k} here", 0) for k in range(200)]
     toxic = [(k, f"you nasty{k % 3} words number {k}", 1) for k in range(200, 300)]
