@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Text bytes that one round of array work takes; longer documents are worked on in several rounds.
+#: Text bytes that one round of array work takes; a longer document takes a round of its own, whole.
 ROUND_BYTES = 1 << 20
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
