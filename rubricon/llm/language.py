@@ -6,9 +6,9 @@ Every language has a model with absolute discounting on top, continuation counts
 uniform law at the bottom. Grams of all languages lie in one sorted hash array per order, with a
 column for each language. A text goes to the language with the lowest cross-entropy per character.
 
-Models come from a sample of at most `MODEL_DOCS` labelled documents of each language, and the
-rejection limit of each from the cross-entropies of a second, disjoint sample of
-`LIMIT_DOCS`: the median, plus `SPREADS` times the distance to the 90 % point, plus an allowance
+Models count all labelled documents. The rejection limit of a language comes from the
+cross-entropies of all its documents, each read with a model of the half (by a hash of the text)
+that it is not in: the median, plus `SPREADS` times the distance to the 90 % point, plus an allowance
 for short texts. A text without a letter, and a null, is `und` with score 0. Labels that are null
 teach nothing; without any labelled text all texts are `und`. Rows are kept as they are, repeated
 ones too; columns that have the name of an added one are replaced.
@@ -16,6 +16,9 @@ ones too; columns that have the name of an added one are replaced.
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 from rubricon.llm.flat import row_rounds, span_hash, text_bytes, word_spans
 
 ORDER, DISCOUNT = 4, 0.75
-MODEL_DOCS, LIMIT_DOCS = 1500, 500
+#: Distinct words that a task holds before it gives out the counts of their grams.
+WORDS_HELD = 200_000
 #: How much the limit lies above the languages' usual cross-entropy, in nats a character.
 SPREADS, SHORT = 8.0, 8.0
 UNKNOWN = "und"
@@ -150,53 +154,75 @@ class Scorer:
         return sums, np.bincount(row, chars[ends] - chars[starts] + 1, n)
 
 
-def sample_of(labelled: DataFrame, sizes: dict[str, int], share: float, cap: int, salt: int) -> DataFrame:
-    """About `cap` documents of each language from its `share` of hashes (0.. or ..1)."""
-    place = F.pmod(F.xxhash64("text", F.lit(salt)), F.lit(1 << 20)) / float(1 << 20)
-    rate = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(abs(share), cap / n)))])
-    rate = rate[F.col("lang")]
-    return labelled.filter(place < rate if share > 0 else place >= 1 - rate)
-
-
-def train(labelled: DataFrame) -> tuple[Models, np.ndarray] | None:
-    """(models, rejection limits) from `labelled` (text, lang)."""
-    labelled = labelled.filter(F.col("lang").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return None
+def gram_counts(labelled: DataFrame) -> DataFrame:
+    """`lang, gram, n0, n1`: how often each string of ORDER characters occurs in the texts of a
+    language, over all rows of `labelled` (lang, text, fold), apart for the two folds."""
 
     def grams(batches):
-        pad = " " * (ORDER - 1)
+        words: dict[tuple[str, int], Counter] = {}
+
+        def summed(lang: str) -> pa.RecordBatch:
+            both = [words.get((lang, fold), Counter()) for fold in (0, 1)]
+            codes, places, word = word_codes([w for found in both for w in found])
+            window = codes[places[:, None] + np.arange(1 - ORDER, 1)]
+            # Two characters to a number, numbered anew: strings are told apart exactly.
+            pairs = [np.unique(window[:, k].astype(np.int64) << 21 | window[:, k + 1], return_inverse=True) for k in (0, 2)]
+            _, first, gram = np.unique(pairs[0][1] * len(pairs[1][0]) + pairs[1][1], return_index=True, return_inverse=True)
+            times = np.array([n for found in both for n in found.values()], np.int64)[word]
+            text = window[first].tobytes().decode("utf-32-le")
+            columns = [pa.array([lang] * len(first), pa.string()), pa.array([text[k : k + ORDER] for k in range(0, len(text), ORDER)], pa.string())]
+            for fold in (0, 1):
+                mine = (word >= len(both[0])) == fold
+                columns.append(pa.array(np.bincount(gram, times * mine, len(first)).astype(np.int64)))
+            return pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n0", "n1"])
+
+        def held():
+            for lang in sorted({lang for (lang, _), found in words.items() if found}):
+                yield summed(lang)
+            words.clear()
+
         for batch in batches:
-            counts: dict[tuple[str, str], int] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for word in (text or "").split():
-                    padded = f"{pad}{word} "
-                    for k in range(len(padded) - ORDER + 1):
-                        gram = (lang, padded[k : k + ORDER])
-                        counts[gram] = counts.get(gram, 0) + 1
-            columns = [pa.array([g[0] for g in counts]), pa.array([g[1] for g in counts]), pa.array(list(counts.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()))], ["lang", "gram", "n"])
-
-    taken = sample_of(labelled, sizes, 0.7, MODEL_DOCS, 11).select(letters(F.col("text")).alias("text"), "lang")
-    found = taken.mapInArrow(grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
-    langs = sorted({r["lang"] for r in found})
+            for lang, text, fold in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                words.setdefault((lang, fold), Counter()).update((text or "").split())
+                if sum(map(len, words.values())) > WORDS_HELD:
+                    yield from held()
+        yield from held()
+
+    texts = labelled.select("lang", letters(F.col("text")).alias("text"), "fold")
+    found = texts.mapInArrow(grams, "lang string, gram string, n0 long, n1 long")
+    return found.groupBy("lang", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def train(labelled: DataFrame) -> tuple[Models, np.ndarray] | None:
+    """(models, rejection limits) from all of `labelled` (text, lang)."""
+    fold = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(2)).cast("int")
+    labelled = labelled.filter(F.col("lang").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"), fold.alias("fold"))
+    found = gram_counts(labelled).toArrow()
+    langs = sorted(found["lang"].unique().to_pylist())
     if not langs:
         return None
     at = {lang: k for k, lang in enumerate(langs)}
-    models = Models(langs, [(at[r["lang"]], r["gram"], r["n"]) for r in found])
-    held = sample_of(labelled, sizes, -0.3, LIMIT_DOCS, 11)
-    scored = losses(held, models).filter("_chars > 0")
-    index = F.create_map(*[x for k, i in at.items() for x in (F.lit(k), F.lit(i))])[F.col("lang")]
+    index, gram = [at[x] for x in found["lang"].to_pylist()], found["gram"].to_pylist()
+    counts = [found[c].to_pylist() for c in ("n0", "n1")]
+    models = Models(langs, list(zip(index, gram, map(sum, zip(*counts)))))
+    parts = []
+    for other, n in enumerate(counts):  # texts of a fold are read with the model of the other one
+        taught = [x for x in zip(index, gram, n) if x[2]]
+        known = sorted({langs[x[0]] for x in taught})
+        if known:
+            held = labelled.filter((F.col("fold") != other) & F.col("lang").isin(known)).select("text", "lang")
+            parts.append(losses(held, Models(langs, taught)).filter("_chars > 0").select("lang", "_losses", "_chars"))
+    scored = reduce(DataFrame.unionAll, parts)
+    place = F.create_map(*[x for k, i in at.items() for x in (F.lit(k), F.lit(i))])[F.col("lang")]
     usual = (
-        scored.select("lang", (F.get("_losses", index) / F.col("_chars")).alias("h"))
+        scored.select("lang", (F.get("_losses", place) / F.col("_chars")).alias("h"))
         .groupBy("lang")
         .agg(F.percentile_approx("h", F.array(F.lit(0.5), F.lit(0.9))).alias("q"))
         .collect()
     )
     limits = np.full(len(langs), np.inf)
     for r in usual:
-        if r["lang"] in at and r["q"][0] is not None:
+        if r["q"][0] is not None:
             limits[at[r["lang"]]] = r["q"][0] + SPREADS * max(r["q"][1] - r["q"][0], 0.1)
     return models, limits
 
