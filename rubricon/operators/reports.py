@@ -245,9 +245,16 @@ def by_error_type(paper_runs: DataFrame) -> DataFrame:
 
 
 def by_table(paper_runs: DataFrame) -> DataFrame:
-    """Per paper table (0 when there is none), with the first error type by position."""
+    """Per paper table (0 when there is none), with the first error type by position.
+
+    Runs are folded by error type first: a smallest text can't be kept in a hash table, so that
+    all runs would be sorted for it; a smallest position can.
+    """
     key = F.coalesce("paper_table", F.lit(0)).alias("table_no")
-    grouped = paper_runs.groupBy(key).agg(*counts(), F.min_by("paper_error_type", "pos").alias("error_type"))
+    cells = paper_runs.groupBy(key, "paper_error_type").agg(*counts(), F.min("pos").alias("_pos"))
+    grouped = cells.groupBy("table_no").agg(
+        F.sum("total").alias("total"), F.sum("correct").alias("correct"), F.min_by("paper_error_type", "_pos").alias("error_type")
+    )
     return grouped.select("table_no", "error_type", "total", "correct", accuracy(1)).orderBy("table_no")
 
 
