@@ -36,7 +36,7 @@ def fold(modulus: int):
 
 @query
 def op1_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tree_weighting.score(documents(spark, sf_dir, "lang"), fold(10) != 0, F.col("lang"))
+    found = tree_weighting.score(documents(spark, sf_dir, "lang"), fold(10) != 0, F.col("lang"), across_words=True)
     held_out = (~F.col("training")).alias("held_out")
     return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 

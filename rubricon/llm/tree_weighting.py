@@ -2,12 +2,12 @@
 
 A text is its words, each a string of bytes with an end symbol, and one empty word at the end of
 the text. A byte is eight binary decisions; each decision has a context tree over the bytes before
-it in its word (nearest first, back to the word's beginning, `DEPTH` at most). A node estimates
-its bit by Krichevsky-Trofimov, and mixes that with what its children say, for all depths at once:
-its weight is the posterior that the tree ends there, from the block probabilities of everything
-counted. After training the tree is frozen, so the probability of a word does not depend on where
-it stands, and is worked out once for every distinct word. A path ends at the deepest node that
-training texts have visited.
+it in its text (nearest first, back to the text's beginning, `DEPTH` at most), ends of words
+included; on request contexts end at the word's beginning. A node estimates its bit by
+Krichevsky-Trofimov, and mixes that with what its children say, for all depths at once: its weight
+is the posterior that the tree ends there, from the block probabilities of everything counted.
+After training the tree is frozen, so the probability of a symbol depends on its context alone. A
+path ends at the deepest node that training texts have visited.
 
 There is one tree for all training texts, and one for the texts of each of the `KINDS` commonest
 kinds (languages, say), where a kind is given: a text's probability is the mixture of what the
@@ -15,14 +15,15 @@ trees give it, weighted by their shares of training texts, so the kind of the sc
 looked at.
 
 All training texts are counted and every node that they visit is kept: the trees grow with the
-input and are never in one place. Word counts and context counts are summed by key. Below depth 1
-the trees are worked on by groups of contexts that share their two nearest bytes; only the nodes of
-depth 0 and 1 (65,792 for each kind at most) are summed on the driver and broadcast. The contexts
-that words ask for are sent to those groups, and come back with their log probabilities. A group
-holds distinct contexts of `DEPTH` bytes only, however often they occur.
+input and are never in one place. Texts lie in chunks. A chunk sends each of its distinct events (a
+context and the symbol in it) once, with its counts by kind, to the group of contexts that share
+the two nearest bytes. Groups sum the counts, work out their trees below depth 1 and send each chunk
+the log probabilities of its events, which the chunk sums by text; only the nodes of depth 0 and 1
+(65,792 for each kind at most) are summed on the driver and broadcast. A group holds distinct
+contexts of `DEPTH` bytes of each chunk, however often they occur there.
 
-Scoring looks the `HOT_WORDS` most frequent words up in a broadcast table; all others are counted
-per text and joined with the word table, which also has the words of texts that teach nothing.
+Word counts go the same way: a chunk's distinct words are summed over all chunks, in buckets of
+words, of which there are as many as chunks, and sent back.
 
 Nulls, empty and white texts are one end symbol. Rows are kept as they are, repeated ones too.
 Columns other than doc_id, text and the training flag are not used. A text's words are cut whole,
@@ -35,6 +36,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,14 +47,14 @@ from rubricon.session import stored
 DEPTH = 6
 #: Kinds of text that get a tree of their own.
 KINDS = 8
-HOT_WORDS = 1 << 16
-#: Text bytes taken together when words are counted, so that fewer repeats leave a task.
-COUNT_BYTES = 8 << 20
-#: Contexts that a task holds before it sends their sums on.
-EVENT_ROWS = 1 << 21
-#: Neighbouring words that ask for their contexts together: so many words, or so many bytes.
-CHUNK_WORDS, CHUNK_BYTES = 1 << 18, 4 << 20
-END = 0x20
+#: Text bytes that ask for their contexts together, about; a longer text is a chunk of its own.
+CHUNK_BYTES = 16 << 20
+#: Events or words that a chunk holds unsummed.
+EVENT_ROWS = 1 << 22
+#: The end symbol, and what stands before the first byte of a context's text; neither is in a word.
+END, START = 0x20, 0x0A
+#: In place of a kind: texts that teach nothing.
+NOTHING = 255
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -69,29 +71,35 @@ def kt_block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - math.log(math.pi)
 
 
-def word_events(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context and symbol of every byte and end of the words, word of each). The lowest byte is
-    the symbol, the byte below the highest (a kind's) the nearest of the context; a word begins
-    with END as its context, behind which are zeros."""
-    sizes = lengths + 2  # END, the word, END
+def text_events(data: np.ndarray, offsets: np.ndarray, across_words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(context and symbol of every byte and end in the words of lower-cased texts, first event of
+    each text). The lowest byte is the symbol, the byte below the highest (a kind's) the nearest of
+    the context; behind the beginning, START, are zeros."""
+    starts, ends, bounds = word_spans(data, offsets)
+    lengths = ends - starts
+    sizes = np.insert(lengths, bounds[1:], 0) + 1  # every word and the empty one, with END
     begin = np.cumsum(sizes) - sizes
+    first = begin[bounds[:-1] + np.arange(len(bounds) - 1)]
     line = np.full(int(sizes.sum()), END, np.uint8)
-    line[gather_spans(begin + 1, lengths)] = data[gather_spans(starts, lengths)]
-    word = np.repeat(np.arange(len(lengths)), sizes - 1)
-    places = gather_spans(begin + 1, sizes - 1)
-    nth = places - begin[word]
-    key = line[places].astype(np.uint64)
+    words = np.delete(begin, bounds[1:] + np.arange(len(bounds) - 1))
+    line[gather_spans(words, lengths)] = data[gather_spans(starts, lengths)]
+    key = line.astype(np.uint64)
     for back in range(1, DEPTH + 1):
-        byte = line[np.maximum(places - back, 0)].astype(np.uint64)
-        key |= np.where(nth >= back, byte, np.uint64(0)) << np.uint64(56 - 8 * back)
-    return key, word
+        key[back:] |= line[:-back].astype(np.uint64) << np.uint64(56 - 8 * back)
+    units = first if across_words else begin
+    lasts = np.append(units[1:], len(line))
+    for nth in range(DEPTH):
+        at = units[units + nth < lasts] + nth
+        kept = np.uint64(255 | (((1 << (8 * nth)) - 1) << (56 - 8 * nth)))
+        key[at] = key[at] & kept | np.uint64(START << (48 - 8 * nth))
+    return key, first
 
 
 def context_sizes(events: np.ndarray) -> np.ndarray:
-    """Bytes of context of each event: up to the word's beginning, DEPTH at most."""
+    """Bytes of context of each event: up to its beginning, DEPTH at most."""
     sizes = np.full(len(events), DEPTH, np.int64)
     for back in range(DEPTH, 0, -1):
-        sizes[(events >> np.uint64(56 - 8 * back)) & np.uint64(255) == END] = back
+        sizes[(events >> np.uint64(56 - 8 * back)) & np.uint64(255) == START] = back
     return sizes
 
 
@@ -140,7 +148,7 @@ class Level:
     def weigh(self, below: Level | None) -> None:
         """Sets weight and total of the nodes from the level one deeper."""
         last = (self.entries[self.first] >> np.uint64(8)) & np.uint64(255)
-        leaf = (last == END) if 0 < self.depth < DEPTH else np.full(len(last), self.depth == DEPTH)
+        leaf = (last == START) if 0 < self.depth < DEPTH else np.full(len(last), self.depth == DEPTH)
         under = None
         if below is not None:
             # An entry of the deeper level belongs to the entry with its context's last byte off.
@@ -224,7 +232,7 @@ class Top:
         size = kinds << 16
         zeros, ones, children = (np.bincount(place, x, size) for x in (zeros, ones, children))
         near, nodes = (np.arange(size) >> 8) & 255, np.arange(size)
-        weight, total = weighted(nodes, zeros, ones, 1, (nodes, children), near == END)
+        weight, total = weighted(nodes, zeros, ones, 1, (nodes, children), near == START)
         self._keep(zeros, ones, weight)
         root = (nodes >> 16 << 8) | (nodes & 255)
         total = np.where(zeros + ones > 0, total, 0.0)
@@ -276,162 +284,251 @@ def string_array(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> p
     return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(flat.tobytes()))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(kind, word, n) of all texts (kind, text); the empty word counts the texts. Kind -1 is text
-    that teaches nothing."""
+def pack(values: np.ndarray) -> bytes:
+    """The bytes of numbers, first bytes before second ones, compressed: what neighbours share
+    takes no room."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T)
+    return pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack(packed: bytes, kind: type, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(packed, n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+
+
+class Places:
+    """Finds numbers in an array of distinct ones by two tables of hashes, the rest by search."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.tables, left = keys, [], np.arange(len(keys))
+        shift = np.uint64(62 - max(1, len(keys)).bit_length())
+        for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            table = np.zeros(1 << (64 - int(shift)), np.int32)
+            slots = ((keys[left] * np.uint64(salt)) >> shift).astype(np.int64)
+            table[slots] = left
+            self.tables.append((np.uint64(salt), shift, table))
+            left = left[table[slots] != left]
+        self.rest = left[np.argsort(keys[left])]
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Place of each wanted number, all of which are there."""
+        at = missed = None
+        for salt, shift, table in self.tables:
+            asked = wanted if at is None else wanted[missed]
+            found = table[((asked * salt) >> shift).astype(np.int64)]
+            wrong = np.flatnonzero(self.keys[found] != asked)
+            if at is None:
+                at, missed = found, wrong
+            else:
+                at[missed], missed = found, missed[wrong]
+        if len(missed):
+            at[missed] = self.rest[np.searchsorted(self.keys[self.rest], wanted[missed])]
+        return at
+
+
+def frozen(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def thawed(rows: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """(rows, lower-cased bytes of their texts, offsets)."""
+    table = pa.ipc.open_stream(rows).read_all()
+    data, offsets = text_bytes(table["text"])
+    return table, lower_ascii(data), offsets
+
+
+def in_chunks(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(chunk, rows) of the texts (doc_id, training, kind, text): neighbouring rows frozen together;
+    and about how many chunks. Small partitions are read together, large ones are cut."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def run(batches):
+        chunk, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            kinds, (data, offsets) = np.asarray(batch.column(0)), text_bytes(batch.column(1))
-            for lo, hi in row_rounds(offsets, COUNT_BYTES):
-                part = lower_ascii(data[offsets[lo] : offsets[hi]])
-                starts, ends, bounds = word_spans(part, offsets[lo : hi + 1] - offsets[lo])
-                kind = np.repeat(kinds[lo:hi], np.diff(bounds))
-                salted = span_hash(part, starts, ends) ^ ((kind + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-                _, first, counts = np.unique(salted, return_index=True, return_counts=True)
-                words = string_array(part, starts[first], (ends - starts)[first])
-                yield pa.RecordBatch.from_arrays([pa.array(kind[first], pa.int32()), words, pa.array(counts.astype(np.int64))], names)
-            texts = np.bincount(kinds + 1, minlength=1)
-            ends_of = [pa.array(np.arange(len(texts)) - 1, pa.int32()), pa.array([""] * len(texts)), pa.array(texts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(ends_of, names)
+            _, offsets = text_bytes(batch.column(3))
+            for lo, hi in row_rounds(offsets):
+                more = int(offsets[hi] - offsets[lo]) + hi - lo
+                if held and held + more > CHUNK_BYTES * 3 // 2:
+                    chunk, held = chunk + 1, 0
+                held += more
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([frozen(batch.slice(lo, hi - lo))], pa.binary())], ["chunk", "rows"])
+
+    docs = docs.select("doc_id", "training", "kind", "text").coalesce(size // CHUNK_BYTES + 1)
+    return stored(docs.mapInArrow(run, "chunk long, rows binary"), "chunks"), size // CHUNK_BYTES + 1
+
+
+def slices_of(keys: np.ndarray):
+    """Ranges of neighbours with the same key."""
+    cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[: len(keys)]
+    return list(zip(cuts, np.append(cuts[1:], len(keys))))
+
+
+def by_chunk(batches, held_of, merged, out):
+    """What `out` makes of all `held_of` of a chunk's frozen rows, which `merged` sums."""
+    at, held, size = None, [], 0
+    for batch in batches:
+        for chunk, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if held and chunk != at:
+                yield from out(at, merged(held))
+                held, size = [], 0
+            at = chunk
+            held.append(held_of(*thawed(rows)))
+            size += len(held[-1][0])
+            if size > EVENT_ROWS:
+                held = [merged(held)]
+                size = len(held[0][0]) // 2
+    if held:
+        yield from out(at, merged(held))
 
-    names = ["kind", "word", "n"]
-    rows = docs.select("kind", "text").mapInArrow(run, "kind int, word string, n long")
-    return rows.filter("n > 0").groupBy("kind", "word").agg(F.sum("n").alias("n"))
 
+def word_line(words: pa.Array) -> np.ndarray:
+    """Words, each with END behind it."""
+    data, offsets = text_bytes(words)
+    lengths = np.diff(offsets)
+    line = np.full(len(data) + len(lengths), END, np.uint8)
+    line[gather_spans(offsets[:-1] + np.arange(len(lengths)), lengths)] = data
+    return line
 
-def near_two(event: str) -> Column:
-    """The two nearest context bytes of an event: contexts that share them make a group."""
-    return F.shiftrightunsigned(event, 40).bitwiseAND(0xFFFF).cast("int").alias("near")
 
+def line_spans(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words of a line."""
+    ends = np.flatnonzero(line == END)
+    return np.append(0, ends + 1)[:-1], ends
 
-def context_counts(words: DataFrame) -> DataFrame:
-    """(event, n) of a table (kind, word, n), in the tree of each kind and in that of kind 0."""
 
-    def counted(batches):
-        held, size = [], 0
+def asked_words(texts: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, chunk, n, size, words, counts) of frozen texts: the n distinct words of a chunk in a
+    bucket (by hash), and how often the texts that teach have them."""
 
-        def summed():
-            events, times = (np.concatenate(x) for x in zip(*held))
-            keys, at = np.unique(events, return_inverse=True)
-            return keys, np.bincount(at, times, len(keys))
+    def held_of(table, data, offsets):
+        starts, ends, bounds = word_spans(data, offsets)
+        teaches = np.repeat(np.asarray(table["kind"]) != NOTHING, np.diff(bounds))
+        hashes, first, at = np.unique(span_hash(data, starts, ends), return_index=True, return_inverse=True)
+        return hashes, string_array(data, starts[first], (ends - starts)[first]), np.bincount(at, teaches, len(first))
 
-        def batch_of(keys, times):
-            for lo in range(0, len(keys), 1 << 16):
-                own = [pa.array(keys[lo : lo + (1 << 16)].view(np.int64)), pa.array(times[lo : lo + (1 << 16)].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(own, ["event", "n"])
+    def merged(held):
+        hashes, words, times = zip(*held)
+        hashes, first, at = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        return hashes, pa.concat_arrays(words).take(pa.array(first)), np.bincount(at, np.concatenate(times), len(first))
 
-        for batch in batches:
-            kinds, times = np.asarray(batch.column(0)), np.asarray(batch.column(2)).astype(float)
-            data, offsets = text_bytes(batch.column(1))
-            for lo, hi in row_rounds(offsets):
-                events, word = word_events(data, offsets[lo:hi], np.diff(offsets[lo : hi + 1]))
-                kind, n = kinds[lo:hi][word].astype(np.uint64), times[lo:hi][word]
-                own = kind > 0
-                events = np.concatenate([events, events[own] | kind[own] << np.uint64(56)])
-                held.append((events, np.concatenate([n, n[own]])))
-                size += len(events)
-            if size > EVENT_ROWS:
-                held = [summed()]
-                size = len(held[0][0])
-                if size > EVENT_ROWS // 2:
-                    yield from batch_of(*held[0])
-                    held, size = [], 0
-        if held:
-            yield from batch_of(*summed())
+    def out(chunk, found):
+        hashes, words, times = found
+        bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        for lo, hi in slices_of(bucket):
+            line = word_line(words.slice(lo, hi - lo))
+            row = [int(bucket[lo]), chunk, int(hi - lo), len(line), pack(line), pack(times[lo:hi].astype(np.uint32))]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row))], schema)
+
+    schema = pa.schema({"bucket": pa.int32(), "chunk": pa.int64(), "n": pa.int64(), "size": pa.int64(), "words": pa.binary(), "counts": pa.binary()})
+    return texts.mapInArrow(lambda batches: by_chunk(batches, held_of, merged, out), "bucket int, chunk long, n long, size long, words binary, counts binary")
 
-    return words.mapInArrow(counted, "event long, n long").groupBy("event").agg(F.sum("n").alias("n"))
 
+def answered_words(asked: DataFrame) -> DataFrame:
+    """(chunk, n, size, keys, found, tokens, distinct) of the asked words: how often all texts that
+    teach have each. One row of a bucket has its number of tokens and of distinct words."""
 
-def top_levels(events: DataFrame, kinds: int) -> Top:
+    def run(group: pa.Table) -> pa.Table:
+        sizes = group["n"].to_pylist()
+        line = np.concatenate([unpack(x, np.uint8, n) for x, n in zip(group["words"].to_pylist(), group["size"].to_pylist())])
+        starts, ends = line_spans(line)
+        at = np.asarray(string_array(line, starts, ends - starts).dictionary_encode().indices)
+        totals = np.bincount(at, np.concatenate([unpack(x, np.uint32, n) for x, n in zip(group["counts"].to_pylist(), sizes)])).astype(np.int64)
+        found = [pack(totals[at[hi - n : hi]]) for hi, n in zip(np.cumsum(sizes), sizes)]
+        sums = [pa.array([int(x)] + [0] * (len(found) - 1), pa.int64()) for x in (totals.sum(), (totals > 0).sum())]
+        names = ["chunk", "n", "size", "keys", "found", "tokens", "distinct"]
+        return pa.table([group["chunk"], group["n"], group["size"], group["words"], pa.array(found, pa.binary()), *sums], names)
+
+    return asked.groupBy("bucket").applyInArrow(run, "chunk long, n long, size long, keys binary, found binary, tokens long, distinct long")
+
+
+ASKED = "near int, chunk long, n long, events binary, counts binary"
+
+
+def asked_events(texts: DataFrame, kinds: int, across_words: bool) -> DataFrame:
+    """(near, chunk, n, events, counts) of frozen texts: the n distinct events of a chunk whose two
+    nearest bytes of context are `near`, and how often each kind of text has them."""
+
+    def held_of(table, data, offsets):
+        events, first = text_events(data, offsets, across_words)
+        kind = np.asarray(table["kind"]).astype(np.uint64) << np.uint64(56)
+        return np.unique(events | np.repeat(kind, np.diff(np.append(first, len(events)))), return_counts=True)
+
+    def merged(held):
+        keys, times = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return keys[cuts], np.add.reduceat(times[order], cuts)
+
+    def out(chunk, found):
+        keys, times = found
+        kind, event = (keys >> np.uint64(56)).astype(np.int64), keys & np.uint64((1 << 56) - 1)
+        events = np.unique(event)
+        counts = np.zeros((len(events), kinds), np.uint32)
+        taught = kind != NOTHING
+        counts[np.searchsorted(events, event[taught]), kind[taught]] = times[taught]
+        near = (events >> np.uint64(40)).astype(np.int64)
+        slices = slices_of(near)
+        for some in range(0, len(slices), 256):
+            rows = [(int(near[lo]), chunk, int(hi - lo), pack(events[lo:hi]), pack(counts[lo:hi].T)) for lo, hi in slices[some : some + 256]]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row)) for row in rows], schema)
+
+    schema = pa.schema({"near": pa.int32(), "chunk": pa.int64(), "n": pa.int64(), "events": pa.binary(), "counts": pa.binary()})
+    return texts.mapInArrow(lambda batches: by_chunk(batches, held_of, merged, out), ASKED)
+
+
+def group_counts(asked: pa.Table, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct events of a group, their counts by tree, place of each event of each ask). The
+    first tree is that of all texts, of whatever kind."""
+    sizes = asked["n"].to_pylist()
+    events = np.concatenate([unpack(x, np.uint64, n) for x, n in zip(asked["events"].to_pylist(), sizes)])
+    events, at = np.unique(events, return_inverse=True)
+    counts, done = np.zeros((kinds, len(events))), 0
+    for x, n in zip(asked["counts"].to_pylist(), sizes):  # an event is in an ask once
+        counts[:, at[done : done + n]] += unpack(x, np.uint32, n * kinds).reshape(kinds, n)
+        done += n
+    counts[0] = counts.sum(axis=0)
+    return events, counts, at
+
+
+def top_levels(asked: DataFrame, kinds: int) -> Top:
     """Depths 0 and 1, from sums over the groups: at most 65,536 rows a kind."""
 
     def run(group: pa.Table) -> pa.Table:
-        keys, *sums = below_top(np.asarray(group["event"]).view(np.uint64), np.asarray(group["n"]).astype(float))
-        return pa.table([pa.array(x) for x in (keys, *sums)], ["place", "zeros", "ones", "children"])
+        events, counts, _ = group_counts(group, kinds)
+        kind, at = np.nonzero(counts)
+        sums = below_top(events[at] | kind.astype(np.uint64) << np.uint64(56), counts[kind, at]) if len(at) else [np.zeros(0, np.int64)] + [np.zeros(0)] * 3
+        return pa.table([pa.array(x) for x in sums], ["place", "zeros", "ones", "children"])
 
     schema = "place long, zeros double, ones double, children double"
-    rows = events.select(near_two("event"), "event", "n").groupBy("near").applyInArrow(run, schema)
+    rows = asked.groupBy("near").applyInArrow(run, schema)
     sums = rows.groupBy("place").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "children")]).orderBy("place").toArrow()
     return Top(*(np.asarray(sums[c]) for c in ("place", "zeros", "ones", "children")), kinds)
 
 
-def chunked(words: DataFrame) -> DataFrame:
-    """(chunk, word, n) of words dealt by range: neighbours in the alphabet, which share most of
-    their contexts, in chunks of bounded size."""
-
-    def run(batches):
-        chunk, room_words, room_bytes = TaskContext.get().partitionId() << 32, CHUNK_WORDS, CHUNK_BYTES
-        for batch in batches:
-            _, offsets = text_bytes(batch.column(0))
-            chunks = np.empty(batch.num_rows, np.int64)
-            for lo, hi in row_rounds(offsets, CHUNK_BYTES // 32):
-                if room_words < hi - lo or room_bytes < offsets[hi] - offsets[lo]:
-                    chunk, room_words, room_bytes = chunk + 1, CHUNK_WORDS, CHUNK_BYTES
-                chunks[lo:hi] = chunk
-                room_words, room_bytes = room_words - (hi - lo), room_bytes - int(offsets[hi] - offsets[lo])
-            yield pa.RecordBatch.from_arrays([pa.array(chunks), *batch.columns], ["chunk", "word", "n"])
-
-    by_letter = words.sortWithinPartitions("word")
-    return stored(by_letter.select("word", "n").mapInArrow(run, "chunk long, word string, n long"), "chunks")
+def answered_events(asked: DataFrame, kinds: int) -> DataFrame:
+    """(chunk, n, size, keys, found) of the asked events: the log10 probability of each in each tree.
+    `size` is null."""
+    top = asked.sparkSession.sparkContext.broadcast(top_levels(asked, kinds))
 
-
-def with_word_logs(chunks: DataFrame, events: DataFrame, kinds: int) -> DataFrame:
-    """(word, n, logp) of the words (chunk, word, n); logp has a log10 probability for each kind, by
-    the trees of the counted `events`. Chunks ask the groups of contexts, which answer by chunk."""
-    top = chunks.sparkSession.sparkContext.broadcast(top_levels(events, kinds))
-
-    def asked(batches):
-        at, held = None, []  # the chunk that is being read, its contexts so far
-
-        def asks():
-            events = np.unique(np.concatenate(held))
-            own = [pa.array(np.full(len(events), at)), pa.array(events.view(np.int64))]
-            return pa.RecordBatch.from_arrays(own, ["chunk", "event"])
-
-        for batch in batches:
-            chunk, (data, offsets) = np.asarray(batch.column(0)), text_bytes(batch.column(1))
-            cuts = np.append(np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))[: len(chunk)], len(chunk))
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if held and chunk[lo] != at:
-                    yield asks()
-                    held = []
-                at = chunk[lo]
-                held.append(np.unique(word_events(data, offsets[lo:hi], np.diff(offsets[lo : hi + 1]))[0]))
-        if held:
-            yield asks()
-
-    def answered(counted: pa.Table, asked: pa.Table) -> pa.Table:
-        events, counts = np.asarray(counted["event"]).view(np.uint64), np.asarray(counted["n"]).astype(float)
-        wanted, at = np.unique(np.asarray(asked["event"]).view(np.uint64), return_inverse=True)
-        logs = np.zeros((len(wanted), kinds), np.float32)
+    def run(group: pa.Table) -> pa.Table:
+        events, counts, at = group_counts(group, kinds)
+        logs = np.zeros((kinds, len(events)), np.float32)
         for kind in range(kinds):
-            of_kind = events >> np.uint64(56) == kind
-            levels = group_levels(events[of_kind], counts[of_kind])
-            for lo in range(0, len(wanted), 1 << 16):
-                logs[lo : lo + (1 << 16), kind] = event_logs(wanted[lo : lo + (1 << 16)] | np.uint64(kind << 56), levels, top.value)
-        if not asked.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.list_(pa.float32()))], ["chunk", "event", "logs"])
-        return pa.table([asked["chunk"], asked["event"], lists(logs[at])], ["chunk", "event", "logs"])
-
-    def summed(words: pa.Table, answers: pa.Table) -> pa.Table:
-        data, offsets = text_bytes(words["word"])
-        known, first = np.unique(np.asarray(answers["event"]).view(np.uint64), return_index=True)
-        logs = np.asarray(answers["logs"].combine_chunks().flatten()).reshape(-1, kinds)[first].astype(float)
-        out = np.zeros((words.num_rows, kinds))
-        for lo, hi in row_rounds(offsets):
-            events, word = word_events(data, offsets[lo:hi], np.diff(offsets[lo : hi + 1]))
-            at = np.searchsorted(known, events)
-            for kind in range(kinds):
-                out[lo:hi, kind] = np.bincount(word, logs[at, kind], hi - lo)
-        return pa.table([words["word"], words["n"], lists(out.astype(np.float32))], ["word", "n", "logp"])
-
-    queries = chunks.select("chunk", "word").mapInArrow(asked, "chunk long, event long")
-    groups = events.select(near_two("event"), "event", "n").groupBy("near")
-    answers = groups.cogroup(queries.select(near_two("event"), "chunk", "event").groupBy("near")).applyInArrow(
-        answered, "chunk long, event long, logs array<float>"
-    )
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(summed, "word string, n long, logp array<float>")
+            seen, mark = np.flatnonzero(counts[kind]), np.uint64(kind << 56)
+            levels = group_levels(events[seen] | mark, counts[kind, seen])
+            for lo in range(0, len(events), 1 << 16):
+                logs[kind, lo : lo + (1 << 16)] = event_logs(events[lo : lo + (1 << 16)] | mark, levels, top.value)
+        sizes = np.asarray(group["n"])
+        found = [pack(logs[:, at[hi - n : hi]]) for hi, n in zip(np.cumsum(sizes), sizes)]
+        sizes_of_words = pa.nulls(len(sizes), pa.int64())
+        return pa.table([group["chunk"], group["n"], sizes_of_words, group["events"], pa.array(found, pa.binary())], ["chunk", "n", "size", "keys", "found"])
+
+    return asked.groupBy("near").applyInArrow(run, "chunk long, n long, size long, keys binary, found binary")
 
 
 def lists(values: np.ndarray) -> pa.Array:
@@ -439,11 +536,11 @@ def lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
 
 
-def score(docs: DataFrame, is_training: Column, kind: Column | None = None) -> DataFrame:
+def score(docs: DataFrame, is_training: Column, kind: Column | None = None, across_words: bool = False) -> DataFrame:
     """(doc_id, training, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each
     row of `docs` (doc_id, text), by the model of the rows that `is_training` picks. `kind` is only
-    read on training rows; where it is null, they teach the common tree alone."""
-    spark = docs.sparkSession
+    read on training rows; where it is null, they teach the common tree alone. `across_words`:
+    contexts run on over the beginnings of words, to the text's."""
     kind = F.lit(None).cast("string") if kind is None else kind.cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(is_training, F.lit(False)).alias("training"), kind.alias("named"))
     training = docs.filter("training")
@@ -453,89 +550,50 @@ def score(docs: DataFrame, is_training: Column, kind: Column | None = None) -> D
     kinds = len(common) + 1
     priors = [1.0, *[float(r["n"]) for r in common]]
     priors = [math.log10(p / sum(priors)) for p in priors]
-    teaches = F.when(F.col("training"), number).otherwise(-1).cast("int").alias("kind")
-    by_kind = stored(word_counts(docs.select(teaches, "text")), "words")
-    words = by_kind.repartitionByRange("word").groupBy("word").agg(F.sum(F.when(F.col("kind") >= 0, F.col("n")).otherwise(0)).alias("n"))
-    events = stored(context_counts(by_kind.filter("kind >= 0")), "contexts")
-    table = stored(with_word_logs(chunked(words), events, kinds), "word-logs")
-    size = table.agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > 0).alias("distinct")).first()
-    tokens, distinct = size["tokens"] or 0, size["distinct"]
-    hot = table.orderBy(F.desc("n"), "word").limit(HOT_WORDS).select("word", "n", *[F.get("logp", F.lit(k)).alias(f"_{k}") for k in range(kinds)])
-    hot = hot.toArrow()
-    data, offsets = text_bytes(hot["word"])
-    hot_keys = span_hash(data, offsets[:-1], offsets[1:])
-    order = np.argsort(hot_keys)
-    hot_logs = np.stack([np.asarray(hot[f"_{k}"]) for k in range(kinds)], axis=1)
-    hot_table = spark.sparkContext.broadcast((hot_keys[order], np.asarray(hot["n"]).astype(float)[order], hot_logs[order].astype(np.float32)))
+    teaches = F.when(F.col("training"), number).otherwise(NOTHING).cast("int").alias("kind")
+    texts, chunks = in_chunks(docs.select("doc_id", "training", teaches, "text"))
+    words = stored(answered_words(asked_words(texts, chunks)), "words")
+    size = words.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
+    ends = training.count()  # each text has one end, which is a word of its own
+    tokens, distinct = (size["tokens"] or 0) + ends, (size["distinct"] or 0) + (1 if ends else 0)
     whole = tokens + 0.1 * (distinct + 1)
-    end = table.filter("word = ''").first()
-    end_log = np.array(end["logp"]) if end else np.zeros(kinds)
-    end_known = bool(end and end["n"])
-    end_base = math.log10(((end["n"] if end else 0) + 0.1) / whole)
-
-    names = ["row", "doc_id", "training", "n_tokens", "n_bytes", "word", "n", "n_known", "base_score", "logp"]
-    arrow = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())]
-
-    def looked_up(batches):
-        keys, counts, logs = hot_table.value
-        bases = np.log10((counts + 0.1) / whole)
-        slots = np.full(1 << 20, -1)
-        by_count = np.argsort(counts, kind="stable")
-        slots[(keys[by_count] >> np.uint64(44)).astype(np.int64)] = by_count  # the most frequent word has the slot
-        for batch in batches:
-            row_ids = np.asarray(batch.column(0))
-            all_data, offsets = text_bytes(batch.column(3))
-            for lo, hi in row_rounds(offsets):
-                part = lower_ascii(all_data[offsets[lo] : offsets[hi]])
-                starts, ends, bounds = word_spans(part, offsets[lo : hi + 1] - offsets[lo])
-                hashes, n = span_hash(part, starts, ends), hi - lo
-                at = slots[(hashes >> np.uint64(44)).astype(np.int64)]
-                if len(keys):  # words whose slot is another's are found by binary search
-                    taken = np.flatnonzero((at >= 0) & (keys[at] != hashes))
-                    there = np.minimum(np.searchsorted(keys, hashes[taken]), len(keys) - 1)
-                    at[taken] = np.where(keys[there] == hashes[taken], there, -1)
-                row = np.repeat(np.arange(n), np.diff(bounds))
-                hit, missed = at >= 0, np.flatnonzero(at < 0)
-                sums = [np.bincount(row[hit], logs[at[hit], k], n) + end_log[k] for k in range(kinds)]
-                own = [
-                    pa.array(row_ids[lo:hi]), batch.column(1).slice(lo, n), batch.column(2).slice(lo, n),
-                    pa.array(np.diff(bounds) + 1), pa.array(np.diff(offsets[lo : hi + 1])), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()),
-                    pa.array(np.bincount(row[hit], counts[at[hit]] > 0, n).astype(np.int64) + (1 if end_known else 0)),
-                    pa.array(np.bincount(row[hit], bases[at[hit]], n) + end_base), lists(np.stack(sums, axis=1)),
-                ]
-                yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(own, arrow)], names)
-                mixed = hashes[missed] ^ ((row[missed].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-                _, first, times = np.unique(mixed, return_index=True, return_counts=True)
-                where = missed[first]
-                rest = [pa.nulls(len(first), k) for k in arrow]
-                rest[0] = pa.array(row_ids[lo:hi][row[where]])
-                rest[5], rest[6] = string_array(part, starts[where], (ends - starts)[where]), pa.array(times.astype(np.int64))
-                yield pa.RecordBatch.from_arrays(rest, names)
-
-    schema = (
-        "row long, doc_id long, training boolean, n_tokens long, n_bytes long, word string, n long, n_known long, "
-        "base_score double, logp array<double>"
-    )
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "training", "text")
-    rows = stored(numbered.mapInArrow(looked_up, schema), "looked-up")
-    missed = rows.filter("word is not null").select("word", "row", F.col("n").alias("times"))
-    logs = [F.get("logp", F.lit(k)).cast("double") for k in range(kinds)]
-    parts = missed.join(table, "word").select(
-        "row",
-        *[F.lit(None).cast(k).alias(c) for c, k in (("doc_id", "long"), ("training", "boolean"), ("n_tokens", "long"), ("n_bytes", "long"))],
-        F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("n_known"),
-        (F.col("times") * F.log10((F.col("n") + 0.1) / F.lit(whole))).alias("base_score"),
-        *[(F.col("times") * x).alias(f"_{k}") for k, x in enumerate(logs)],
-    )
-    whole_rows = rows.filter("word is null").select(
-        "row", "doc_id", "training", "n_tokens", "n_bytes", "n_known", "base_score", *[x.alias(f"_{k}") for k, x in enumerate(logs)]
-    )
-    first, summed = ["doc_id", "training", "n_tokens", "n_bytes"], ["n_known", "base_score", *[f"_{k}" for k in range(kinds)]]
-    sums = whole_rows.unionByName(parts).groupBy("row").agg(*[F.max(c).alias(c) for c in first], *[F.sum(c).alias(c) for c in summed])
-    by_tree = [F.col(f"_{k}") + priors[k] for k in range(kinds)]
+    end_base = math.log10((ends + 0.1) / whole)
+    asked = stored(asked_events(texts, kinds, across_words), "asked")
+    answers = answered_events(asked, kinds).unionByName(words.select("chunk", "n", "size", "keys", "found"))
+
+    def summed(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        is_word = pc.is_valid(answers["size"])
+        of_words, of_events = answers.filter(is_word), answers.filter(pc.invert(is_word))
+        line = np.concatenate([np.zeros(0, np.uint8), *[unpack(x, np.uint8, n) for x, n in zip(of_words["keys"].to_pylist(), of_words["size"].to_pylist())]])
+        known, first = np.unique(span_hash(line, *line_spans(line)), return_index=True)
+        totals = [unpack(x, np.int64, n) for x, n in zip(of_words["found"].to_pylist(), of_words["n"].to_pylist())]
+        words, totals = Places(known), np.concatenate([np.zeros(0), *totals])[first]
+        bases = np.log10((totals + 0.1) / whole)
+        sizes = of_events["n"].to_pylist()
+        events = np.concatenate([unpack(x, np.uint64, n) for x, n in zip(of_events["keys"].to_pylist(), sizes)])
+        logs = np.concatenate([unpack(x, np.float32, n * kinds).reshape(kinds, n).T for x, n in zip(of_events["found"].to_pylist(), sizes)])
+        events, first = np.unique(events, return_index=True)  # a chunk that two tasks read has asked twice
+        logs, places = logs[first], Places(events)
+        parts = []
+        for frozen_rows in rows["rows"].to_pylist():
+            table, data, offsets = thawed(frozen_rows)
+            starts, stops, bounds = word_spans(data, offsets)
+            row, n = np.repeat(np.arange(len(table)), np.diff(bounds)), len(table)
+            at = words.find(span_hash(data, starts, stops)) if len(starts) else np.zeros(0, np.int64)
+            wanted, first = text_events(data, offsets, across_words)
+            sums = np.add.reduceat(logs[places.find(wanted)].astype(float), first)
+            own = [np.diff(bounds) + 1, np.diff(offsets), np.bincount(row, totals[at] > 0, n).astype(np.int64) + (1 if ends else 0)]
+            own.append(np.bincount(row, bases[at], n) + end_base)
+            parts.append(pa.table([table["doc_id"], table["training"], *map(pa.array, own), lists(sums)], names))
+        return pa.concat_tables(parts)
+
+    names = ["doc_id", "training", "n_tokens", "n_bytes", "n_known", "base_score", "logp"]
+    schema = "doc_id long, training boolean, n_tokens long, n_bytes long, n_known long, base_score double, logp array<double>"
+    rows = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(summed, schema)
+    by_tree = [F.get("logp", F.lit(k)) + priors[k] for k in range(kinds)]
     top = F.greatest(*by_tree) if kinds > 1 else by_tree[0]
     mixture = top + F.log10(sum((F.pow(F.lit(10.0), x - top) for x in by_tree[1:]), F.pow(F.lit(10.0), by_tree[0] - top)))
-    return sums.withColumn("score", mixture).select(
+    return rows.withColumn("score", mixture).select(
         "doc_id", "training", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score",
         (-F.col("score") / math.log10(2) / F.greatest(F.lit(1), F.col("n_bytes"))).alias("bits_per_byte"),
     )
