@@ -211,7 +211,7 @@ def train(labelled: DataFrame) -> tuple[Models, np.ndarray] | None:
         known = sorted({langs[x[0]] for x in taught})
         if known:
             held = labelled.filter((F.col("fold") != other) & F.col("lang").isin(known)).select("text", "lang")
-            parts.append(losses(held, Models(langs, taught)).filter("_chars > 0").select("lang", "_losses", "_chars"))
+            parts.append(losses(held, Models(langs, taught), keep=["lang"]).filter("_chars > 0"))
     scored = reduce(DataFrame.unionAll, parts)
     place = F.create_map(*[x for k, i in at.items() for x in (F.lit(k), F.lit(i))])[F.col("lang")]
     usual = (
@@ -227,25 +227,28 @@ def train(labelled: DataFrame) -> tuple[Models, np.ndarray] | None:
     return models, limits
 
 
-def losses(df: DataFrame, models: Models) -> DataFrame:
-    """Adds `_losses` (array, in the order of the models' languages) and `_chars`."""
+def losses(df: DataFrame, models: Models, keep: list[str] | None = None) -> DataFrame:
+    """Adds `_losses` (array, in the order of the models' languages) and `_chars`. Of the columns
+    those of `keep` stay, or all."""
     shared = df.sparkSession.sparkContext.broadcast(models)
     rows = df.drop("_losses", "_chars", "_letters")
-    schema = rows.withColumns({"_losses": F.array(F.lit(0.0)), "_chars": F.lit(0).cast("long")}).schema
+    rows = rows.withColumn("_letters", letters(F.col("text")))
+    if keep is not None:
+        rows = rows.select(*keep, "_letters")
+    schema = rows.drop("_letters").withColumns({"_losses": F.array(F.lit(0.0)), "_chars": F.lit(0).cast("long")}).schema
 
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
             data, offsets = text_bytes(batch.column(batch.num_columns - 1))
-            parts = [scorer.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in row_rounds(offsets)]
             n = len(scorer.models.langs)
-            sums = np.concatenate([p[0] for p in parts] or [np.zeros((0, n))])
-            chars = np.concatenate([p[1] for p in parts] or [np.zeros(0)]).astype(np.int64)
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * n, pa.int32()), pa.array(sums.ravel().astype(float)))
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, listed, pa.array(chars)], [*batch.schema.names[:-1], "_losses", "_chars"])
+            for lo, hi in row_rounds(offsets):  # rows leave by rounds: a whole batch of texts is not held twice
+                sums, chars = scorer.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * n, pa.int32()), pa.array(sums.ravel().astype(float)))
+                columns = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*columns, listed, pa.array(chars.astype(np.int64))], [*batch.schema.names[:-1], "_losses", "_chars"])
 
-    return rows.withColumn("_letters", letters(F.col("text"))).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def identify(df: DataFrame, labelled: DataFrame) -> DataFrame:

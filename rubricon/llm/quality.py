@@ -111,13 +111,10 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(batch.schema.names.index(text)))
-            parts = [
-                text_counts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                for lo, hi in row_rounds(offsets)
-            ]
-            columns = [batch.column(batch.schema.names.index(c)) for c in kept]
-            made = [pa.array(np.concatenate([p[c] for p in parts] or [np.zeros(0)]).astype(np.int64)) for c in COUNTS]
-            yield pa.RecordBatch.from_arrays(columns + made, [*kept, *COUNTS])
+            for lo, hi in row_rounds(offsets):
+                counts = text_counts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                columns = [batch.column(batch.schema.names.index(c)).slice(lo, hi - lo) for c in kept]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(counts[c].astype(np.int64)) for c in COUNTS], [*kept, *COUNTS])
 
     return df.mapInArrow(run, schema)
 

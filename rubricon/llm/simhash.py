@@ -86,10 +86,9 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(text))
-            made = [np.zeros(0, np.uint64)]
             for lo, hi in row_rounds(offsets):
-                made.append(text_fingerprints(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
-            yield with_column(batch, out, pa.array(np.concatenate(made).view(np.int64)))
+                made = text_fingerprints(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                yield with_column(batch.slice(lo, hi - lo), out, pa.array(made.view(np.int64)))
 
     return df.mapInArrow(run, df.drop(out).withColumn(out, F.lit(0).cast("long")).schema)
 
