@@ -17,10 +17,11 @@ looked at.
 All training texts are counted and every node that they visit is kept: the trees grow with the
 input and are never in one place. Texts lie in chunks. A chunk sends each of its distinct events (a
 context and the symbol in it) once, with its counts by kind, to the group of contexts that share
-the two nearest bytes. Groups sum the counts, work out their trees below depth 1 and send each chunk
-the log probabilities of its events, which the chunk sums by text; only the nodes of depth 0 and 1
-(65,792 for each kind at most) are summed on the driver and broadcast. A group holds distinct
-contexts of `DEPTH` bytes of each chunk, however often they occur there.
+the two nearest bytes. Groups sum the counts, are written with what was asked of them, work out
+their trees below depth 1 and send each chunk the log probabilities of its events, which the chunk
+sums by text; only the nodes of depth 0 and 1 (65,792 for each kind at most) are summed on the
+driver and broadcast. A group holds distinct contexts of `DEPTH` bytes of each chunk, however often
+they occur there. What is sent goes by the distinct events of the chunks, so large chunks send less.
 
 Word counts go the same way: a chunk's distinct words are summed over all chunks, in buckets of
 words, of which there are as many as chunks, and sent back.
@@ -36,7 +37,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,9 +48,15 @@ DEPTH = 6
 #: Kinds of text that get a tree of their own.
 KINDS = 8
 #: Text bytes that ask for their contexts together, about; a longer text is a chunk of its own.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 48 << 20
+#: Text bytes that are frozen and worked on together.
+ROW_BYTES = 1 << 18
 #: Events or words that a chunk holds unsummed.
-EVENT_ROWS = 1 << 22
+EVENT_ROWS = 1 << 20
+#: Events of a group, times trees, that are worked on together.
+GROUP_EVENTS = 1 << 16
+#: Answers that leave a task together, about.
+ANSWER_BYTES = 1 << 22
 #: The end symbol, and what stands before the first byte of a context's text; neither is in a word.
 END, START = 0x20, 0x0A
 #: In place of a kind: texts that teach nothing.
@@ -66,9 +72,23 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (shifted - 0.5) * np.log(shifted) - shifted + 0.5 * math.log(2 * math.pi) + series - fix
 
 
+#: `log_gamma` of small counts and a half, and of small counts and one.
+GAMMA_HALF, GAMMA_ONE = (log_gamma(np.arange(1 << 12) + add) for add in (0.5, 1.0))
+
+
+def log_gamma_of(counts: np.ndarray, add: float, small: np.ndarray) -> np.ndarray:
+    """`log_gamma` of whole counts and `add`, from its table where that has it."""
+    found = small[np.minimum(counts, len(small) - 1).astype(np.int64)]
+    large = np.flatnonzero(counts >= len(small))
+    if len(large):
+        found[large] = log_gamma(counts[large] + add)
+    return found
+
+
 def kt_block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
-    return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - math.log(math.pi)
+    ones_and_zeros = log_gamma_of(n0, 0.5, GAMMA_HALF) + log_gamma_of(n1, 0.5, GAMMA_HALF)
+    return ones_and_zeros - log_gamma_of(n0 + n1, 1.0, GAMMA_ONE) - math.log(math.pi)
 
 
 def text_events(data: np.ndarray, offsets: np.ndarray, across_words: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -291,24 +311,33 @@ def pack(values: np.ndarray) -> bytes:
     return pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def unpack(packed: bytes, kind: type, n: int) -> np.ndarray:
+def unpack(packed: bytes | pa.Buffer, kind: type, n: int) -> np.ndarray:
     size = np.dtype(kind).itemsize
     planes = np.frombuffer(pa.decompress(packed, n * size, codec="zstd", asbytes=True), np.uint8)
     return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order, by sorting: `np.unique` hashes, which takes longer."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])[: len(values)]]
+
+
 class Places:
-    """Finds numbers in an array of distinct ones by two tables of hashes, the rest by search."""
+    """Finds numbers in an array by two tables of hashes, the rest by search. Of equal ones it finds
+    any."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys, self.tables, left = keys, [], np.arange(len(keys))
-        shift = np.uint64(62 - max(1, len(keys)).bit_length())
+        self.keys, self.tables, left = keys, [], np.arange(len(keys), dtype=np.int32)
         for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            shift = np.uint64(63 - max(1, len(left)).bit_length())
             table = np.zeros(1 << (64 - int(shift)), np.int32)
-            slots = ((keys[left] * np.uint64(salt)) >> shift).astype(np.int64)
-            table[slots] = left
+            parts = [left[lo : lo + (1 << 17)] for lo in range(0, len(left), 1 << 17)]
+            slots_of = lambda part: ((keys[part] * np.uint64(salt)) >> shift).astype(np.int64)  # noqa: B023, E731
+            for part in parts:
+                table[slots_of(part)] = part
             self.tables.append((np.uint64(salt), shift, table))
-            left = left[table[slots] != left]
+            left = np.concatenate([np.zeros(0, np.int32), *[part[table[slots_of(part)] != part] for part in parts]])
         self.rest = left[np.argsort(keys[left])]
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
@@ -334,7 +363,7 @@ def frozen(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def thawed(rows: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+def thawed(rows: bytes | pa.Buffer) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     """(rows, lower-cased bytes of their texts, offsets)."""
     table = pa.ipc.open_stream(rows).read_all()
     data, offsets = text_bytes(table["text"])
@@ -350,9 +379,9 @@ def in_chunks(docs: DataFrame) -> tuple[DataFrame, int]:
         chunk, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             _, offsets = text_bytes(batch.column(3))
-            for lo, hi in row_rounds(offsets):
+            for lo, hi in row_rounds(offsets, ROW_BYTES):
                 more = int(offsets[hi] - offsets[lo]) + hi - lo
-                if held and held + more > CHUNK_BYTES * 3 // 2:
+                if held and held + more > CHUNK_BYTES * 5 // 4:
                     chunk, held = chunk + 1, 0
                 held += more
                 yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([frozen(batch.slice(lo, hi - lo))], pa.binary())], ["chunk", "rows"])
@@ -371,18 +400,18 @@ def by_chunk(batches, held_of, merged, out):
     """What `out` makes of all `held_of` of a chunk's frozen rows, which `merged` sums."""
     at, held, size = None, [], 0
     for batch in batches:
-        for chunk, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for chunk, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
             if held and chunk != at:
-                yield from out(at, merged(held))
-                held, size = [], 0
+                found, held, size = merged(held), [], 0
+                yield from out(at, found)
             at = chunk
-            held.append(held_of(*thawed(rows)))
+            held.append(held_of(*thawed(rows.as_buffer())))
             size += len(held[-1][0])
             if size > EVENT_ROWS:
-                held = [merged(held)]
-                size = len(held[0][0]) // 2
+                held, size = [merged(held)], 0
     if held:
-        yield from out(at, merged(held))
+        found, held = merged(held), []
+        yield from out(at, found)
 
 
 def word_line(words: pa.Array) -> np.ndarray:
@@ -455,80 +484,156 @@ def asked_events(texts: DataFrame, kinds: int, across_words: bool) -> DataFrame:
     def held_of(table, data, offsets):
         events, first = text_events(data, offsets, across_words)
         kind = np.asarray(table["kind"]).astype(np.uint64) << np.uint64(56)
-        return np.unique(events | np.repeat(kind, np.diff(np.append(first, len(events)))), return_counts=True)
+        keys, times = np.unique(events | np.repeat(kind, np.diff(np.append(first, len(events)))), return_counts=True)
+        return keys, times.astype(np.uint32)
 
     def merged(held):
-        keys, times = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(keys, kind="stable")
+        (first, sums), *more = held
+        if not more:
+            return first, sums
+        keys, times = (np.concatenate(x) for x in zip(*more))
+        order = np.argsort(keys)
         keys = keys[order]
         cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        return keys[cuts], np.add.reduceat(times[order], cuts)
+        keys, times = keys[cuts], np.add.reduceat(times[order], cuts, dtype=np.uint32)
+        at = np.searchsorted(first, keys)
+        there = first[np.minimum(at, len(first) - 1)] == keys
+        sums[at[there]] += times[there]
+        new = ~there
+        return np.insert(first, at[new], keys[new]), np.insert(sums, at[new], times[new])
 
     def out(chunk, found):
         keys, times = found
-        kind, event = (keys >> np.uint64(56)).astype(np.int64), keys & np.uint64((1 << 56) - 1)
-        events = np.unique(event)
-        counts = np.zeros((len(events), kinds), np.uint32)
-        taught = kind != NOTHING
-        counts[np.searchsorted(events, event[taught]), kind[taught]] = times[taught]
-        near = (events >> np.uint64(40)).astype(np.int64)
-        slices = slices_of(near)
-        for some in range(0, len(slices), 256):
-            rows = [(int(near[lo]), chunk, int(hi - lo), pack(events[lo:hi]), pack(counts[lo:hi].T)) for lo, hi in slices[some : some + 256]]
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row)) for row in rows], schema)
+        for nearest in range(256):
+            parts = []
+            for kind in [*range(kinds), NOTHING]:
+                begin = (kind << 56) | (nearest << 48)
+                lo, hi = np.searchsorted(keys, np.uint64(begin)), np.searchsorted(keys, np.uint64(begin | ((1 << 48) - 1)), "right")
+                parts.append((keys[lo:hi] & np.uint64((1 << 56) - 1), times[lo:hi]))
+            events = distinct(np.concatenate([x for x, _ in parts]))
+            counts = np.zeros((kinds, len(events)), np.uint32)
+            for kind in range(kinds):
+                counts[kind, np.searchsorted(events, parts[kind][0])] = parts[kind][1]
+            near = (events >> np.uint64(40)).astype(np.int64)
+            if len(near):
+                rows = [(int(near[lo]), chunk, int(hi - lo), pack(events[lo:hi]), pack(counts[:, lo:hi])) for lo, hi in slices_of(near)]
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row)) for row in rows], schema)
 
     schema = pa.schema({"near": pa.int32(), "chunk": pa.int64(), "n": pa.int64(), "events": pa.binary(), "counts": pa.binary()})
     return texts.mapInArrow(lambda batches: by_chunk(batches, held_of, merged, out), ASKED)
 
 
-def group_counts(asked: pa.Table, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct events of a group, their counts by tree, place of each event of each ask). The
-    first tree is that of all texts, of whatever kind."""
+def group_counts(asked: pa.Table, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct events of a group, their counts by tree). The first tree is that of all texts, of
+    whatever kind."""
     sizes = asked["n"].to_pylist()
-    events = np.concatenate([unpack(x, np.uint64, n) for x, n in zip(asked["events"].to_pylist(), sizes)])
-    events, at = np.unique(events, return_inverse=True)
-    counts, done = np.zeros((kinds, len(events))), 0
-    for x, n in zip(asked["counts"].to_pylist(), sizes):  # an event is in an ask once
-        counts[:, at[done : done + n]] += unpack(x, np.uint32, n * kinds).reshape(kinds, n)
-        done += n
+    asks = [unpack(x, np.uint64, n) for x, n in zip(asked["events"].to_pylist(), sizes)]
+    events = distinct(np.concatenate(asks))
+    counts = np.zeros((kinds, len(events)))
+    for ask, x in zip(asks, asked["counts"].to_pylist()):  # an event is in an ask once
+        counts[:, np.searchsorted(events, ask)] += unpack(x, np.uint32, len(ask) * kinds).reshape(kinds, len(ask))
     counts[0] = counts.sum(axis=0)
-    return events, counts, at
+    return events, counts
 
 
-def top_levels(asked: DataFrame, kinds: int) -> Top:
-    """Depths 0 and 1, from sums over the groups: at most 65,536 rows a kind."""
+GROUPS = (
+    "n long, events binary, counts binary, chunks array<long>, sizes array<long>, keys array<binary>, "
+    "sums array<struct<place: long, zeros: double, ones: double, children: double>>"
+)
+
+
+def grouped_events(asked: DataFrame, kinds: int) -> DataFrame:
+    """A row for each group: its n distinct events and their counts by tree, the asks (chunk, number
+    and events of each), and what its contexts add to depths 0 and 1."""
 
     def run(group: pa.Table) -> pa.Table:
-        events, counts, _ = group_counts(group, kinds)
+        events, counts = group_counts(group, kinds)
         kind, at = np.nonzero(counts)
         sums = below_top(events[at] | kind.astype(np.uint64) << np.uint64(56), counts[kind, at]) if len(at) else [np.zeros(0, np.int64)] + [np.zeros(0)] * 3
-        return pa.table([pa.array(x) for x in sums], ["place", "zeros", "ones", "children"])
+        sums = pa.StructArray.from_arrays([pa.array(x) for x in sums], ["place", "zeros", "ones", "children"])
+        asks = [row_of(group[c].combine_chunks()) for c in ("chunk", "n", "events")]
+        packed = [pa.array([x], pa.binary()) for x in (pack(events), pack(counts.astype(np.uint64)))]
+        return pa.table([pa.array([len(events)]), *packed, *asks, row_of(sums)], ["n", "events", "counts", "chunks", "sizes", "keys", "sums"])
+
+    return asked.groupBy("near").applyInArrow(run, GROUPS)
 
-    schema = "place long, zeros double, ones double, children double"
-    rows = asked.groupBy("near").applyInArrow(run, schema)
+
+def row_of(values: pa.Array) -> pa.Array:
+    """One row with all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def top_levels(groups: DataFrame, kinds: int) -> Top:
+    """Depths 0 and 1, from sums over the groups: at most 65,536 rows a kind."""
+    rows = groups.select(F.inline("sums"))
     sums = rows.groupBy("place").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "children")]).orderBy("place").toArrow()
     return Top(*(np.asarray(sums[c]) for c in ("place", "zeros", "ones", "children")), kinds)
 
 
-def answered_events(asked: DataFrame, kinds: int) -> DataFrame:
+def answered_events(groups: DataFrame, kinds: int) -> DataFrame:
     """(chunk, n, size, keys, found) of the asked events: the log10 probability of each in each tree.
-    `size` is null."""
-    top = asked.sparkSession.sparkContext.broadcast(top_levels(asked, kinds))
-
-    def run(group: pa.Table) -> pa.Table:
-        events, counts, at = group_counts(group, kinds)
-        logs = np.zeros((kinds, len(events)), np.float32)
-        for kind in range(kinds):
-            seen, mark = np.flatnonzero(counts[kind]), np.uint64(kind << 56)
-            levels = group_levels(events[seen] | mark, counts[kind, seen])
-            for lo in range(0, len(events), 1 << 16):
-                logs[kind, lo : lo + (1 << 16)] = event_logs(events[lo : lo + (1 << 16)] | mark, levels, top.value)
-        sizes = np.asarray(group["n"])
-        found = [pack(logs[:, at[hi - n : hi]]) for hi, n in zip(np.cumsum(sizes), sizes)]
-        sizes_of_words = pa.nulls(len(sizes), pa.int64())
-        return pa.table([group["chunk"], group["n"], sizes_of_words, group["events"], pa.array(found, pa.binary())], ["chunk", "n", "size", "keys", "found"])
+    `size` is null. Groups are whole rows, so nothing is shuffled to answer."""
+    top = groups.sparkSession.sparkContext.broadcast(top_levels(groups, kinds))
+
+    def answers(n, events, counts, chunks, sizes, keys):
+        events, counts = unpack(events, np.uint64, n), unpack(counts, np.uint64, n * kinds).reshape(kinds, n)
+        logs, some = np.zeros((kinds, n), np.float32), max(1, GROUP_EVENTS // n)
+        marks = np.arange(kinds, dtype=np.uint64)[:, None] << np.uint64(56)
+        for k in range(0, kinds, some):  # the trees of a small group are worked on together
+            mine, wanted = counts[k : k + some], events | marks[k : k + some]
+            levels = group_levels(wanted[mine > 0], mine[mine > 0].astype(float))
+            found, wanted = logs[k : k + some].reshape(-1), wanted.ravel()
+            for lo in range(0, len(wanted), 1 << 16):
+                found[lo : lo + (1 << 16)] = event_logs(wanted[lo : lo + (1 << 16)], levels, top.value)
+        for chunk, size, ask in zip(chunks, sizes, keys):
+            found = pack(logs[:, np.searchsorted(events, unpack(ask, np.uint64, size))])
+            yield {"chunk": chunk, "n": size, "size": None, "keys": ask, "found": found}
 
-    return asked.groupBy("near").applyInArrow(run, "chunk long, n long, size long, keys binary, found binary")
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for k in range(len(batch)):
+                for row in answers(*(batch.column(c)[k].as_py() for c in ("n", "events", "counts", "chunks", "sizes", "keys"))):
+                    held.append(row)
+                    size += len(row["found"]) + len(row["keys"])
+                    if size > ANSWER_BYTES:
+                        yield pa.RecordBatch.from_pylist(held, schema)
+                        held, size = [], 0
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+    schema = pa.schema({"chunk": pa.int64(), "n": pa.int64(), "size": pa.int64(), "keys": pa.binary(), "found": pa.binary()})
+    wanted = groups.select("n", "events", "counts", "chunks", "sizes", "keys")
+    return wanted.mapInArrow(run, "chunk long, n long, size long, keys binary, found binary")
+
+
+class Answers:
+    """What a chunk was answered; packed, and not copied, until the first read."""
+
+    def __init__(self, kinds: int):
+        self.kinds, self.words, self.events, self.known = kinds, [], [], None
+
+    def add(self, n: int, size: int | None, keys: pa.Buffer, found: pa.Buffer) -> None:
+        if size is None:
+            self.events.append((n, keys, found))
+        else:
+            self.words.append((n, size, keys, found))
+
+    def read(self) -> tuple[Places, np.ndarray, Places, np.ndarray]:
+        """(hashes of words, how often each is in texts that teach, events, log10 probabilities of
+        each by tree). A chunk that two tasks read has asked twice, and has equal answers."""
+        if self.known is None:
+            line = np.concatenate([np.zeros(0, np.uint8), *[unpack(keys, np.uint8, size) for _, size, keys, _ in self.words]])
+            totals = np.concatenate([np.zeros(0), *[unpack(found, np.int64, n) for n, _, _, found in self.words]])
+            words, self.words = Places(span_hash(line, *line_spans(line))), []
+            size, done = sum(n for n, _, _ in self.events), 0
+            events, logs = np.empty(size, np.uint64), np.empty((size, self.kinds), np.float32)
+            while self.events:
+                n, keys, found = self.events.pop()
+                events[done : done + n] = unpack(keys, np.uint64, n)
+                logs[done : done + n] = unpack(found, np.float32, n * self.kinds).reshape(self.kinds, n).T
+                done += n
+            self.known = words, totals, Places(events), logs
+        return self.known
 
 
 def lists(values: np.ndarray) -> pa.Array:
@@ -558,38 +663,39 @@ def score(docs: DataFrame, is_training: Column, kind: Column | None = None, acro
     tokens, distinct = (size["tokens"] or 0) + ends, (size["distinct"] or 0) + (1 if ends else 0)
     whole = tokens + 0.1 * (distinct + 1)
     end_base = math.log10((ends + 0.1) / whole)
-    asked = stored(asked_events(texts, kinds, across_words), "asked")
-    answers = answered_events(asked, kinds).unionByName(words.select("chunk", "n", "size", "keys", "found"))
-
-    def summed(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        is_word = pc.is_valid(answers["size"])
-        of_words, of_events = answers.filter(is_word), answers.filter(pc.invert(is_word))
-        line = np.concatenate([np.zeros(0, np.uint8), *[unpack(x, np.uint8, n) for x, n in zip(of_words["keys"].to_pylist(), of_words["size"].to_pylist())]])
-        known, first = np.unique(span_hash(line, *line_spans(line)), return_index=True)
-        totals = [unpack(x, np.int64, n) for x, n in zip(of_words["found"].to_pylist(), of_words["n"].to_pylist())]
-        words, totals = Places(known), np.concatenate([np.zeros(0), *totals])[first]
-        bases = np.log10((totals + 0.1) / whole)
-        sizes = of_events["n"].to_pylist()
-        events = np.concatenate([unpack(x, np.uint64, n) for x, n in zip(of_events["keys"].to_pylist(), sizes)])
-        logs = np.concatenate([unpack(x, np.float32, n * kinds).reshape(kinds, n).T for x, n in zip(of_events["found"].to_pylist(), sizes)])
-        events, first = np.unique(events, return_index=True)  # a chunk that two tasks read has asked twice
-        logs, places = logs[first], Places(events)
-        parts = []
-        for frozen_rows in rows["rows"].to_pylist():
-            table, data, offsets = thawed(frozen_rows)
-            starts, stops, bounds = word_spans(data, offsets)
-            row, n = np.repeat(np.arange(len(table)), np.diff(bounds)), len(table)
-            at = words.find(span_hash(data, starts, stops)) if len(starts) else np.zeros(0, np.int64)
-            wanted, first = text_events(data, offsets, across_words)
-            sums = np.add.reduceat(logs[places.find(wanted)].astype(float), first)
-            own = [np.diff(bounds) + 1, np.diff(offsets), np.bincount(row, totals[at] > 0, n).astype(np.int64) + (1 if ends else 0)]
-            own.append(np.bincount(row, bases[at], n) + end_base)
-            parts.append(pa.table([table["doc_id"], table["training"], *map(pa.array, own), lists(sums)], names))
-        return pa.concat_tables(parts)
+    groups = stored(grouped_events(asked_events(texts, kinds, across_words), kinds), "groups")
+    answers = answered_events(groups, kinds).unionByName(words.select("chunk", "n", "size", "keys", "found"))
+    rows = texts.select("chunk", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("size"), F.col("rows").alias("keys"), F.lit(None).cast("binary").alias("found"))
+
+    def summed(batches):
+        at, held = None, None
+        for batch in batches:
+            for chunk, n, size, keys, found in zip(*batch.columns):
+                if chunk.as_py() != at:  # its answers come first, then its texts
+                    at, held = chunk.as_py(), None
+                    pa.default_memory_pool().release_unused()
+                    held = Answers(kinds)
+                if found.is_valid:
+                    held.add(n.as_py(), size.as_py(), keys.as_buffer(), found.as_buffer())
+                else:
+                    yield of_texts(keys.as_buffer(), *held.read())
+
+    def of_texts(frozen_rows, words: Places, totals: np.ndarray, places: Places, logs: np.ndarray) -> pa.RecordBatch:
+        table, data, offsets = thawed(frozen_rows)
+        starts, stops, bounds = word_spans(data, offsets)
+        row, n = np.repeat(np.arange(len(table)), np.diff(bounds)), len(table)
+        found = totals[words.find(span_hash(data, starts, stops))] if len(starts) else np.zeros(0)
+        wanted, first = text_events(data, offsets, across_words)
+        sums = np.add.reduceat(logs[places.find(wanted)], first, dtype=float)
+        own = [np.diff(bounds) + 1, np.diff(offsets), np.bincount(row, found > 0, n).astype(np.int64) + (1 if ends else 0)]
+        own.append(np.bincount(row, np.log10((found + 0.1) / whole), n) + end_base)
+        plain = [table[c].combine_chunks() for c in ("doc_id", "training")]
+        return pa.RecordBatch.from_arrays([*plain, *map(pa.array, own), lists(sums)], names)
 
     names = ["doc_id", "training", "n_tokens", "n_bytes", "n_known", "base_score", "logp"]
     schema = "doc_id long, training boolean, n_tokens long, n_bytes long, n_known long, base_score double, logp array<double>"
-    rows = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(summed, schema)
+    together = answers.unionByName(rows).repartition("chunk").sortWithinPartitions("chunk", F.col("found").isNull())
+    rows = together.mapInArrow(summed, schema)
     by_tree = [F.get("logp", F.lit(k)) + priors[k] for k in range(kinds)]
     top = F.greatest(*by_tree) if kinds > 1 else by_tree[0]
     mixture = top + F.log10(sum((F.pow(F.lit(10.0), x - top) for x in by_tree[1:]), F.pow(F.lit(10.0), by_tree[0] - top)))

@@ -105,3 +105,31 @@ def test_order_of_words_counts_in_the_query(spark, tmp_path):
     assert found[100]["base_score"] == pytest.approx(found[101]["base_score"])
     assert found[100]["score"] > found[101]["score"] + 1
     assert found[102]["n_tokens"] == found[103]["n_tokens"] == 1 and found[102]["score"] == found[103]["score"]
+
+
+def test_what_is_sent_grows_less_than_the_text(spark):
+    """Asks are shuffled once, to groups that are written whole; chunks are large."""
+    plain = spark.range(40).select("id", F.lit(True).alias("training"), F.lit(0).alias("kind"), F.repeat(F.lit("many a word "), 1 << 16).alias("text"))
+    texts, _ = tree_weighting.in_chunks(plain.withColumnRenamed("id", "doc_id"))
+    assert texts.select("chunk").distinct().count() == 1
+    asked = tree_weighting.asked_events(texts, 1, True)
+    asks = asked.select("chunk", "near").collect()
+    groups = tree_weighting.stored(tree_weighting.grouped_events(asked, 1), "groups")
+    assert groups.count() == len({r["near"] for r in asks})
+    answers = tree_weighting.answered_events(groups, 1)
+    assert "Exchange" not in answers._jdf.queryExecution().toString()
+    assert answers.count() == len(asks)
+
+
+def test_groups_are_answered_alike_in_parts(spark, monkeypatch):
+    words = ["abacus", "bac", "x", "été", "longerthansixbytes"]
+    rows = [(k, " ".join(words[(k * j) % 5] for j in range(1, 9)), "ab"[k % 2]) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+
+    def scores():
+        return sorted(map(tuple, tree_weighting.score(docs, F.col("doc_id") % 4 != 0, F.col("lang"), across_words=True).select("doc_id", "score").collect()))
+
+    whole = scores()
+    monkeypatch.setattr(tree_weighting, "GROUP_EVENTS", 1)
+    monkeypatch.setattr(tree_weighting, "ANSWER_BYTES", 1)
+    assert scores() == [(doc_id, pytest.approx(score, rel=1e-6)) for doc_id, score in whole]
