@@ -33,12 +33,13 @@ a word of any length counts as one.
 
 from __future__ import annotations
 
+import contextlib
 import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rubricon.llm.flat import gather_spans, lower_ascii, row_rounds, span_hash, text_bytes, word_spans
@@ -55,6 +56,8 @@ ROW_BYTES = 1 << 18
 EVENT_ROWS = 1 << 20
 #: Events of a group, times trees, that are worked on together.
 GROUP_EVENTS = 1 << 16
+#: Rows of packed bytes that go to Python together; the default of 10,000 is a whole chunk and more.
+BATCH_ROWS = 64
 #: Answers that leave a task together, about.
 ANSWER_BYTES = 1 << 22
 #: The end symbol, and what stands before the first byte of a context's text; neither is in a word.
@@ -356,6 +359,18 @@ class Places:
         return at
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """What is written within goes to Python by `BATCH_ROWS`."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def frozen(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -657,13 +672,15 @@ def score(docs: DataFrame, is_training: Column, kind: Column | None = None, acro
     priors = [math.log10(p / sum(priors)) for p in priors]
     teaches = F.when(F.col("training"), number).otherwise(NOTHING).cast("int").alias("kind")
     texts, chunks = in_chunks(docs.select("doc_id", "training", teaches, "text"))
-    words = stored(answered_words(asked_words(texts, chunks)), "words")
+    with small_batches(docs.sparkSession):
+        words = stored(answered_words(asked_words(texts, chunks)), "words")
     size = words.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
     ends = training.count()  # each text has one end, which is a word of its own
     tokens, distinct = (size["tokens"] or 0) + ends, (size["distinct"] or 0) + (1 if ends else 0)
     whole = tokens + 0.1 * (distinct + 1)
     end_base = math.log10((ends + 0.1) / whole)
-    groups = stored(grouped_events(asked_events(texts, kinds, across_words), kinds), "groups")
+    with small_batches(docs.sparkSession):
+        groups = stored(grouped_events(asked_events(texts, kinds, across_words), kinds), "groups")
     answers = answered_events(groups, kinds).unionByName(words.select("chunk", "n", "size", "keys", "found"))
     rows = texts.select("chunk", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("size"), F.col("rows").alias("keys"), F.lit(None).cast("binary").alias("found"))
 
@@ -695,7 +712,8 @@ def score(docs: DataFrame, is_training: Column, kind: Column | None = None, acro
     names = ["doc_id", "training", "n_tokens", "n_bytes", "n_known", "base_score", "logp"]
     schema = "doc_id long, training boolean, n_tokens long, n_bytes long, n_known long, base_score double, logp array<double>"
     together = answers.unionByName(rows).repartition("chunk").sortWithinPartitions("chunk", F.col("found").isNull())
-    rows = together.mapInArrow(summed, schema)
+    with small_batches(docs.sparkSession):
+        rows = stored(together.mapInArrow(summed, schema), "sums")
     by_tree = [F.get("logp", F.lit(k)) + priors[k] for k in range(kinds)]
     top = F.greatest(*by_tree) if kinds > 1 else by_tree[0]
     mixture = top + F.log10(sum((F.pow(F.lit(10.0), x - top) for x in by_tree[1:]), F.pow(F.lit(10.0), by_tree[0] - top)))

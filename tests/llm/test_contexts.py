@@ -129,7 +129,10 @@ def test_groups_are_answered_alike_in_parts(spark, monkeypatch):
     def scores():
         return sorted(map(tuple, tree_weighting.score(docs, F.col("doc_id") % 4 != 0, F.col("lang"), across_words=True).select("doc_id", "score").collect()))
 
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
     whole = scores()
+    assert spark.conf.get(name) == before
     monkeypatch.setattr(tree_weighting, "GROUP_EVENTS", 1)
     monkeypatch.setattr(tree_weighting, "ANSWER_BYTES", 1)
     assert scores() == [(doc_id, pytest.approx(score, rel=1e-6)) for doc_id, score in whole]
