@@ -4,11 +4,13 @@ Vectors are projected on a few random orthogonal directions; every curve shifts
 anew and gives each vector its Hilbert key. Spark range-partitions the rows of each curve by key,
 and a query is compared with its neighbouring key window on every curve; the answers of all curves
 merge and are reranked. They are the result, but for what a check adds: their k-th distance bounds
-the true one from above, and each short key window of the first curve has a centre and a radius.
-Only these are sent to the queries; a window that the triangle inequality can't rule out is open,
-and its rows are sent to the queries it is open for and to no others. So answers are exact, however
-badly keys keep neighbours together; on clustered data few windows are open, on random directions
-nearly all.
+the true one from above, and each short key window of the first curve has a centre and a radius. A
+window that the triangle inequality can't rule out is open for a query, and only its rows are
+compared with that query. So answers are exact, however badly keys keep neighbours together; on
+clustered data few windows are open, on random directions nearly all.
+
+The check moves no rows: slices of the queries, bounded in bytes, go to the rows of the first curve
+where these lie, and a task gives out the k best of its rows for each query at most.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite
 components take no part. Of rows with the same vec_id one counts, the smallest vector. Equal
@@ -29,10 +31,12 @@ from rubricon.session import stored
 DIRECTIONS, BITS = 8, 7
 #: Rows on either side of a query in key order that its curve window takes.
 REACH = 200
-#: Rows of a key window with centre and radius; queries worked on together.
-WINDOW_ROWS, QUERY_ROWS = 256, 4096
-#: Windows whose centres meet a slice of queries in one task.
-CHUNK_WINDOWS = 1 << 14
+#: Rows of a key window with centre and radius.
+WINDOW_ROWS = 256
+#: Bytes of the vectors (as doubles) of a slice of queries, which every task holds; queries at once.
+SLICE_BYTES, QUERY_ROWS = 32 << 20, 4096
+#: Candidates that a task gathers before it keeps the best of each query only.
+HELD_CANDIDATES = 1 << 20
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -106,47 +110,110 @@ def answers(query_ids, ids, found) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
 
 
+def packed(v: np.ndarray, kind: str) -> pa.Array:
+    """Rows of a matrix as binary values."""
+    data = np.ascontiguousarray(v, kind)
+    offsets = np.arange(len(v) + 1, dtype=np.int32) * (data.itemsize * data.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def unpacked(column: pa.Array, kind: str) -> np.ndarray:
+    """The matrix that `packed` was given, as doubles."""
+    column = column.cast(pa.binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4)
+    flat = np.frombuffer(data, np.uint8, at[-1] - at[0], at[0]).view(kind)
+    return flat.reshape(len(column), -1).astype(np.float64)
+
+
 def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """(vec_id, v) of the rows that take part."""
+    """(vec_id, v) of the rows that take part. Only vectors whose id comes again are shuffled."""
     v = F.col("v")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+    kind = "float" if df.select(F.col(vector)).dtypes[0][1] == "array<float>" else "double"
+    rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast(f"array<{kind}>").alias("v"))
     rows = rows.filter(v.isNotNull() & F.col("vec_id").isNotNull()).filter(fine & F.exists(v, lambda x: x != 0))
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     rows = rows.filter(F.size("v") == (common["n"] if common else 0))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-
-
-OPEN = "slice long, window long, query_id long, v array<double>, bound double"
-
-
-def ball(window: pa.Table) -> pa.Table:
-    """Centre and radius of a key window's rows."""
-    v = matrix(window["v"].combine_chunks())
-    centre = v.mean(0)
-    radius = np.sqrt(((v - centre) ** 2).sum(1)).max()
-    return pa.table({"window": window["window"][:1], "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": [radius]})
-
-
-def open_windows(queries: pa.Table, windows: pa.Table) -> pa.Table:
-    """A row for each query and window that may hold a row within the query's bound (none yet: any)."""
-    schema = pa.schema([("slice", pa.int64()), ("window", pa.int64()), ("query_id", pa.int64()), ("v", pa.list_(pa.float64())), ("bound", pa.float64())])
-    if not queries.num_rows or not windows.num_rows:
-        return schema.empty_table()
-    q, centres, radius = matrix(queries["v"].combine_chunks()), matrix(windows["centre"].combine_chunks()), np.asarray(windows["radius"])
-    bound = queries["bound"].to_numpy().astype(float)
-    bound = np.where(np.isnan(bound), np.inf, bound)
-    made = []
-    for lo in range(0, len(centres), 512):
-        part, wide = centres[lo : lo + 512], radius[lo : lo + 512]
-        square = (q**2).sum(1)[:, None] + (part**2).sum(1) - 2 * q @ part.T
-        slack = 1e-9 * ((q**2).sum(1)[:, None] + (part**2).sum(1))
-        at, window = np.nonzero(np.sqrt(np.maximum(square - slack, 0)) - wide <= bound[:, None] * (1 + 1e-9))
-        made.append((at, window + lo))
-    at, window = (np.concatenate(x) for x in zip(*made))
-    picked = queries.take(pa.array(at))
-    columns = [picked["slice"], windows["window"].take(pa.array(window)), picked["query_id"], picked["v"], pa.array(bound[at])]
-    return pa.table(columns, schema=schema)
+    again = stored(rows.groupBy("vec_id").count().filter("count > 1").select("vec_id"), "repeated-ids")
+    if again.isEmpty():
+        return rows
+    once = rows.join(again, "vec_id", "left_anti")
+    return once.unionByName(rows.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v")))
+
+
+def open_pairs(queries: np.ndarray, bound: np.ndarray, centres: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """(queries, windows): may the window hold a row within the query's bound?"""
+    scale = (queries**2).sum(1)[:, None] + (centres**2).sum(1)
+    square = scale - 2 * queries @ centres.T
+    with np.errstate(invalid="ignore"):
+        return ~(np.sqrt(np.maximum(square - 1e-9 * scale, 0)) - radius > bound[:, None] * (1 + 1e-9))
+
+
+class Nearest:
+    """The k best rows of a slice of queries among the windows shown so far."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, bound: np.ndarray, k: int):
+        self.ids, self.v, self.k = ids, vectors, k
+        #: Distance that a row may have at most: what the curves found, then what the task has found.
+        self.limit = bound.copy()
+        # Rough distances are made near the queries' mean, in single precision; those that may be
+        # within the limit are then worked out exactly.
+        self.mean = vectors.mean(0)
+        near = vectors - self.mean
+        self.square = (near**2).sum(1)
+        self.near = np.column_stack([-2 * near, np.ones(len(near)), np.zeros(len(near))]).astype(np.float32)
+        self.slack = 4e-7 * (vectors.shape[1] + 8)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def show(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        """Compare a window with the queries it is open for."""
+        centre = rows.mean(0)
+        radius = np.sqrt(((rows - centre) ** 2).sum(1)).max()
+        at = np.flatnonzero(open_pairs(self.v, self.limit, centre[None], radius[None])[:, 0])
+        near = rows - self.mean
+        square = (near**2).sum(1)
+        with np.errstate(over="ignore"):
+            wide = np.column_stack([near, square, np.ones(len(rows))]).astype(np.float32).T.copy()
+        for lo in range(0, len(at), QUERY_ROWS):
+            part = at[lo : lo + QUERY_ROWS]
+            # (distance squared) - (limit squared) - slack, out of one product.
+            asked = self.near[part]
+            limit = self.limit[part] ** 2
+            asked[:, -1] = self.square[part] - limit - self.slack * (self.square[part] + square.max() + np.where(np.isinf(limit), 0, limit))
+            with np.errstate(over="ignore", invalid="ignore"):
+                rough = asked @ wide
+            for q, r in self._within(part, rough, ids, rows):
+                self.found.append((q, ids[r[0]], r[1]))
+                self.held += len(q)
+            if self.held > HELD_CANDIDATES:
+                self.settle()
+
+    def _within(self, part: np.ndarray, rough: np.ndarray, ids: np.ndarray, rows: np.ndarray):
+        q, r = np.nonzero(~(rough > 0))  # what overflowed is worked out, too
+        for lo in range(0, len(q), 1 << 16):
+            cut = slice(lo, lo + (1 << 16))
+            asked, row = part[q[cut]], r[cut]
+            exact = np.sqrt(((self.v[asked] - rows[row]) ** 2).sum(1))
+            good = (exact <= self.limit[asked]) & (self.ids[asked] != ids[row])
+            if good.any():
+                yield asked[good], (row[good], exact[good])
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query index, row id, distance) of the best so far; the limits are drawn to them."""
+        if not self.found:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        q, ids, exact = (np.concatenate(x) for x in zip(*self.found))
+        order = np.lexsort((ids, exact, q))
+        q, ids, exact = q[order], ids[order], exact[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.k - 1
+        self.limit[q[last]] = np.minimum(self.limit[q[last]], exact[last])
+        keep = place < self.k
+        self.found = [(q[keep], ids[keep], exact[keep])]
+        self.held = 0
+        return self.found[0]
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -160,31 +227,31 @@ def search(
     """(query_id, rank, vec_id, score): the k nearest of all rows for each row that `is_query`
     (over `vec_id`) picks."""
     rows = usable(df, vec_id, vector)
-
-    def keyed(batches):
-        frames = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = matrix(batch.column(1))
-            frames = frames or curve_frames(v.shape[1], curves)
-            unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-            spread = 3 / np.sqrt(v.shape[1])
-            for curve, (turned, shift) in enumerate(frames):
-                place = np.clip((unit @ turned / spread + 1) / 2, 0, 1) + shift  # in 0..2
-                cells = np.minimum((place * (1 << BITS - 1)).astype(np.int64), (1 << BITS) - 1)
-                key = pa.array(hilbert_keys(cells, BITS))
-                columns = [pa.array(np.full(len(v), curve, np.int32)), key, batch.column(0), batch.column(1)]
-                yield pa.RecordBatch.from_arrays(columns, ["curve", "key", "vec_id", "v"])
-
-    order = ["curve", "key", "vec_id"]
-    on_curves = (
-        rows.mapInArrow(keyed, "curve int, key long, vec_id long, v array<double>")
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumns({"query": is_query, "window": int_div(F.monotonically_increasing_id(), WINDOW_ROWS)})
-    )
-    on_curves = stored(on_curves, "curves")
+    kind = "<f4" if dict(rows.dtypes)["v"] == "array<float>" else "<f8"
+
+    def on_curve(chosen: list[int]) -> DataFrame:
+        """The rows of these curves in key order."""
+
+        def keyed(batches):
+            frames = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                v = matrix(batch.column(1))
+                frames = frames or curve_frames(v.shape[1], curves)
+                unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+                spread = 3 / np.sqrt(v.shape[1])
+                for curve in chosen:
+                    turned, shift = frames[curve]
+                    place = np.clip((unit @ turned / spread + 1) / 2, 0, 1) + shift  # in 0..2
+                    cells = np.minimum((place * (1 << BITS - 1)).astype(np.int64), (1 << BITS) - 1)
+                    key = pa.array(hilbert_keys(cells, BITS))
+                    columns = [pa.array(np.full(len(v), curve, np.int32)), key, batch.column(0), packed(v, kind)]
+                    yield pa.RecordBatch.from_arrays(columns, ["curve", "key", "vec_id", "v"])
+
+        order = ["curve", "key", "vec_id"]
+        on_curves = rows.mapInArrow(keyed, "curve int, key long, vec_id long, v binary")
+        return on_curves.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("query", is_query)
 
     def near_in_order(batches):
         held: list[pa.RecordBatch] = []
@@ -193,7 +260,7 @@ def search(
         def compared(last: bool):
             table = pa.Table.from_batches(held).combine_chunks()
             curve, ids = np.asarray(table["curve"]), np.asarray(table["vec_id"])
-            v, query = matrix(table["v"].combine_chunks()), np.asarray(table["query"])
+            v, query = unpacked(table["v"].combine_chunks(), kind), np.asarray(table["query"])
             stop = len(ids) if last else len(ids) - REACH
             for p in np.flatnonzero(query[fresh:stop]) + fresh:
                 window = slice(max(0, p - REACH), p + REACH + 1)
@@ -211,36 +278,50 @@ def search(
         if n:
             yield from compared(True)
 
-    first = stored(best(on_curves.drop("key", "window").mapInArrow(near_in_order, FOUND).distinct(), k), "windows")
+    # The first curve is kept for the check; the others are read once.
+    window = int_div(F.monotonically_increasing_id(), WINDOW_ROWS)
+    base = stored(on_curve([0]).withColumn("window", window), "curve")
+    near = base.drop("key", "window").mapInArrow(near_in_order, FOUND)
+    if curves > 1:
+        near = near.unionByName(on_curve([*range(1, curves)]).drop("key").mapInArrow(near_in_order, FOUND))
+    first = stored(best(near.distinct(), k), "windows")
     # Fewer than k found leaves the bound open.
     bounds = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("score")).alias("bound"))
-    base = on_curves.filter("curve = 0")
-    size = base.agg(F.count_if("query").alias("queries"), F.count("*").alias("rows")).first()
-    slices, chunks = max(1, -(-size["queries"] // QUERY_ROWS)), max(1, -(-size["rows"] // (WINDOW_ROWS * CHUNK_WINDOWS)))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    asked = (
-        base.filter("query")
-        .select(F.col("vec_id").alias("query_id"), "v")
-        .join(bounds, "query_id", "left")
-        .withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices).cast("long")))
-        .withColumn("chunk", each(chunks))
-    )
-    windows = base.groupBy("window").applyInArrow(ball, "window long, centre array<double>, radius double")
-    windows = windows.withColumn("chunk", F.pmod(F.xxhash64("window"), F.lit(chunks).cast("long"))).withColumn("slice", each(slices))
-    found = asked.groupBy("slice", "chunk").cogroup(windows.groupBy("slice", "chunk")).applyInArrow(open_windows, OPEN)
-    opened = stored(found, "open-windows")
-    wanted = opened.select(F.col("window").alias("row_window"), F.col("slice").alias("row_slice")).distinct()
-    held = base.select(F.col("window").alias("row_window"), F.col("vec_id").alias("row_id"), F.col("v").alias("row_v")).join(wanted, "row_window")
-
-    def reread(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]).empty_table()
-        query_ids, q = np.asarray(left["query_id"]), matrix(left["v"].combine_chunks())
-        bound, ids = np.asarray(left["bound"]), np.asarray(right["row_id"])
-        near = nearest_of(q, query_ids, matrix(right["row_v"].combine_chunks()), ids, k)
-        good = near[2] <= bound[near[0]]
-        return pa.Table.from_batches([answers(query_ids, ids, tuple(x[good] for x in near))])
-
-    checked = opened.groupBy("window", "slice").cogroup(held.groupBy("row_window", "row_slice")).applyInArrow(reread, FOUND)
-    merged = first.select("query_id", "vec_id", "score").unionByName(checked).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    asked = base.filter("query").select(F.col("vec_id").alias("query_id"), "v")
+    size = asked.agg(F.count("*").alias("queries"), F.max(F.octet_length("v")).alias("bytes")).first()
+    slices = -(-size["queries"] * (size["bytes"] or 0) * 8 // (SLICE_BYTES * np.dtype(kind).itemsize))
+    slices = max(1, slices)
+    asked = asked.join(bounds, "query_id", "left").withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices).cast("long")))
+    asked = stored(asked, "asked")
+    merged = first.select("query_id", "vec_id", "score")
+    for part in range(slices if size["queries"] else 0):
+        merged = merged.unionByName(stored(_checked(base, asked.filter(F.col("slice") == part), kind, k), "checked"))
+    merged = merged.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return best(merged, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _checked(base: DataFrame, asked: DataFrame, kind: str, k: int) -> DataFrame:
+    """The best of each task's rows within the bounds of a slice of queries."""
+    table = asked.select("query_id", "v", "bound").toArrow().combine_chunks()
+    if not table.num_rows:
+        return base.sparkSession.createDataFrame([], FOUND)
+    bound = table["bound"].to_numpy().astype(float)
+    bound = np.where(np.isnan(bound), np.inf, bound)
+    vectors = np.frombuffer(b"".join(table["v"].to_pylist()), kind).reshape(table.num_rows, -1)
+    held = base.sparkSession.sparkContext.broadcast((np.asarray(table["query_id"]), vectors, bound))
+
+    def reread(batches):
+        query_ids, vectors, bound = held.value
+        near = Nearest(query_ids, vectors.astype(np.float64), bound, k)
+        for batch in batches:
+            ids, window = np.asarray(batch.column(0)), np.asarray(batch.column(2))
+            cuts = [0, *(np.flatnonzero(np.diff(window)) + 1).tolist(), len(ids)] if len(ids) else [0]
+            for lo, hi in zip(cuts, cuts[1:]):
+                near.show(ids[lo:hi], unpacked(batch.column(1).slice(lo, hi - lo), kind))
+        q, ids, distance = near.settle()
+        for lo in range(0, len(q), 1 << 16):
+            part = slice(lo, lo + (1 << 16))
+            columns = [pa.array(query_ids[q[part]], pa.int64()), pa.array(ids[part], pa.int64()), pa.array(distance[part])]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
+
+    return base.select("vec_id", "v", "window").mapInArrow(reread, FOUND)
