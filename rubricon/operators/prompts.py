@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rubricon.functions.text import as_col
+from rubricon.functions.text import as_col, first_chars
 from rubricon.templates import (
     ANALYSIS_PROMPT,
     COT_PREFIX,
@@ -83,13 +83,13 @@ def experiment_prompt(method: Column | str, question: Column | str, context: Col
 
 def analysis_prompt(question: Column, context: Column, truth: Column, predicted: Column, response: Column) -> Column:
     """Prompt that asks why an answer is wrong, with long inputs cut to their limits."""
-    shown = F.when(F.coalesce(context, F.lit("")) == "", NO_CONTEXT).otherwise(F.left(context, F.lit(CONTEXT_LIMIT)))
+    shown = F.when(F.coalesce(context, F.lit("")) == "", NO_CONTEXT).otherwise(first_chars(context, CONTEXT_LIMIT))
     values = {
         "question": question,
         "context": shown,
         "ground_truth": truth.cast("string"),
         "predicted_answer": F.coalesce(predicted.cast("string"), F.lit("None")),
-        "raw_response": F.left(response, F.lit(RESPONSE_LIMIT)),
+        "raw_response": first_chars(response, RESPONSE_LIMIT),
     }
     return fill(ANALYSIS_PROMPT, values)
 
